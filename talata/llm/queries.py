@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import langid, packing, quality, simhash, tokenfiles
 
-QUERIES = {"op1_best_fit_packing": packing.op1_best_fit_packing}
+QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_quality_ftrl": quality.op2_quality_ftrl,
+    "op5_simhash_bk_tree": simhash.op5_simhash_bk_tree,
+    "op7_language_compression": langid.op7_language_compression,
+    "op9_token_id_files": tokenfiles.op9_token_id_files,
+}
 ORACLES: dict[str, str] = {}
