@@ -18,7 +18,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, read
@@ -221,5 +221,36 @@ def simhash_components(docs: DataFrame, *, radius: int = RADIUS, shingle: int =
     )
 
 
+#: Ids of dropped documents up to so many (8 bytes each) are broadcast; beyond it they are shuffled.
+MOST_BROADCAST = 1_000_000
+
+
+def keep_one(docs: DataFrame, *, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates, columns as they are.
+
+    The document with the least doc_id stays. Rows that share a doc_id are one document, of which
+    the row with the least text hash stays. Rows with a null id go if they are linked to a document
+    with one; otherwise they all stay, as nothing tells them apart.
+    """
+    found = materialize(simhash_components(docs, radius=radius, shingle=shingle, seed=seed), "groups")
+    by_id = found.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count("*").alias("rows"))
+    by_id = materialize(by_id.where("NOT stays OR rows > 1").select(F.col("doc_id").alias("_id"), "stays", "rows"), "losers")
+    losers, repeated = by_id.where("NOT stays AND _id IS NOT NULL").select("_id"), by_id.where("rows > 1 AND stays AND _id IS NOT NULL").select("_id")
+    out = docs.join(F.broadcast(losers) if losers.count() <= MOST_BROADCAST else losers, docs["doc_id"] == losers["_id"], "left_anti")
+    if not found.where("doc_id IS NULL AND component_id IS NOT NULL").isEmpty():
+        run = partial(_fingerprints, shingle=shingle, seed=seed)
+        anonymous = docs.where("doc_id IS NULL").withColumn("_text", F.xxhash64("text"))
+        linked = found.where("doc_id IS NULL AND component_id IS NOT NULL").select(F.conv("fingerprint", 16, -10).cast("bigint").alias("_print")).distinct()
+        prints = anonymous.select(F.col("_text").alias("doc_id"), "text").distinct().mapInArrow(run, "doc_id long, print long")
+        going = prints.join(linked, prints["print"] == linked["_print"], "left_semi").select(F.col("doc_id").alias("_text"))
+        out = out.where("doc_id IS NOT NULL").unionAll(anonymous.join(going, "_text", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]))
+    if repeated.isEmpty():
+        return out
+    once = out.join(repeated, out["doc_id"] == repeated["_id"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    again = out.join(repeated, out["doc_id"] == repeated["_id"], "left_semi").withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    return once.unionAll(again)
+
+
 def op5_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"))
