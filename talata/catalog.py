@@ -1,51 +1,4 @@
-"""Names, functions and SQL of all queries over the test tables."""
+"""All queries of the library over the test tables, and their SQL."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with the DuckDB SQL of its result."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query("""
-    SELECT lang, count(*) AS n_docs, round(avg(n), 6) AS mean_len, round(coalesce(stddev_pop(n), 0), 6) AS std_len,
-           min(n) AS min_len, max(n) AS max_len, median(n)::DOUBLE AS median_len
-    FROM (SELECT lang, length(text)::BIGINT AS n FROM documents) GROUP BY lang""")
-def char_token_length_stats(spark, sf_dir):
-    """Character tokens of every document, length statistics by language."""
-    ids = F.transform(F.split("text", ""), lambda c: F.when(F.ascii(c) < 128, F.ascii(c)).otherwise(0))
-    n = F.size(ids).cast("bigint")
-    return (
-        table(spark, sf_dir, "documents")
-        .select("lang", n.alias("n"))
-        .groupBy("lang")
-        .agg(
-            F.count("*").alias("n_docs"),
-            F.round(F.avg("n"), 6).alias("mean_len"),
-            F.round(F.stddev_pop("n"), 6).alias("std_len"),
-            F.min("n").alias("min_len"),
-            F.max("n").alias("max_len"),
-            F.median("n").cast("double").alias("median_len"),
-        )
-    )
+from .queries.base import ORACLES, QUERIES, query, table  # noqa: F401
+from . import queries  # noqa: F401  (registers them)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import functools
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -260,8 +261,6 @@ def _nfd():
     """Full canonical decomposition needs Python: Spark has no such expression."""
     import unicodedata
 
-    import pandas as pd
-
     @F.pandas_udf(T.StringType())
     def strip_marks(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,8 +55,6 @@ def split_syllables(word: str) -> list[str]:
 
 @functools.cache
 def _syllabify():
-    import pandas as pd
-
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def syllables(words: pd.Series) -> pd.Series:
         return words.map(lambda w: None if w is None else split_syllables(w))

@@ -453,7 +453,10 @@ def language_games(words: DataFrame, game: str, n: int, options: int = 4, seed:
         "longest": (lambda w: F.length(w) >= 7, lambda w: F.length(w) <= 4),
         "shortest": (lambda w: F.length(w) <= 3, lambda w: F.length(w) >= 6),
     }[game]
-    made = mixed.withColumn("aux", aux).select("id", "aux", F.get(F.filter("all", fits[0]), F.lit(0)).alias("answer"), F.slice(F.filter("all", fits[1]), 1, options - 1).alias("wrong"))
+    # Generated rows keep later filters from being pushed below, where they would repeat the shuffle for each word.
+    ready = mixed.withColumn("aux", aux).select(F.inline(F.array(F.struct("id", "all", "aux"))))
+    made = ready.select("id", "aux", F.get(F.filter("all", fits[0]), F.lit(0)).alias("answer"), F.slice(F.filter("all", fits[1]), 1, options - 1).alias("wrong"))
+    made = made.select(F.inline(F.array(F.struct("id", "aux", "answer", "wrong"))))
     made = made.where(F.col("answer").isNotNull() & (F.size("wrong") == options - 1)).withColumn("options", F.concat(F.array("answer"), F.col("wrong")))
     choose = lambda xs, tag: pick(F.array(*[F.lit(x) for x in xs]), number(f"{seed}-{tag}", F.col("id")))
     fill = lambda t: F.replace(F.replace(F.replace(t, F.lit("<OPTIONS>"), choose(prompts.OPTIONS, "os")), F.lit("<OPTION>"), choose(prompts.OPTION, "o")), F.lit("<THE>"), choose(prompts.THE, "t"))
