@@ -61,12 +61,18 @@ def splits_of(text: Column, parts: int) -> Column:
     n = F.length(text)
     state = "array<struct<done:array<string>,at:int>>"
     ways = F.array(F.struct(F.array().cast("array<string>").alias("done"), F.lit(1).alias("at"))).cast(state)
-    for left in range(parts - 1, 0, -1):
-        def cut(w: Column, left: int = left) -> Column:
+
+    def cut(left: int):
+        """The next piece of a way, with ``left`` pieces still to come."""
+
+        def longer(w: Column) -> Column:
             ends = F.sequence(w["at"], n - left)
             return F.transform(ends, lambda e: F.struct(F.concat(w["done"], F.array(F.substr(text, w["at"], e - w["at"] + 1))).alias("done"), (e + 1).alias("at")))
 
-        ways = F.flatten(F.transform(ways, cut)).cast(state)
+        return longer
+
+    for left in range(parts - 1, 0, -1):
+        ways = F.flatten(F.transform(ways, cut(left))).cast(state)
     whole = F.transform(ways, lambda w: F.concat(w["done"], F.array(F.substr(text, w["at"]))))
     return F.when(n > parts, whole).otherwise(F.array(F.split(text, "")))
 

@@ -48,6 +48,10 @@ def by_value(pairs: dict[str, tuple[str, str]], value: Column, **values: Column)
     return out[0], out[1]
 
 
+def _except(options: Column, right: Column) -> Column:
+    return F.filter(options, lambda x: x != right)
+
+
 def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -191,12 +195,14 @@ def manipulation(lexicon: DataFrame, n: int | None = None, form: str = "mcq", se
     """Edits of every occurrence of a character, case changes and mark removal."""
     words = lexicon.where(F.length("normalized_word") >= MIN_LENGTH["manipulation"])
     w = F.col("normalized_word")
+    # Chosen characters are columns, so later expressions refer to them instead of repeating the choice.
     own = F.array_sort(F.array_distinct(chars.to_chars(w)))
     alphabet = F.array(*[F.lit(c) for c in chars.ALPHABET])
-    a = pick(own, number(f"{seed}-a", w))
-    new = pick(F.array_except(alphabet, F.array(a)), number(f"{seed}-new", w))
-    b = F.coalesce(pick(F.array_except(own, F.array(a)), number(f"{seed}-b", w)), new)
-    other = F.coalesce(pick(F.array_except(own, F.array(a, b)), number(f"{seed}-other", w)), new)
+    words = words.withColumn("_a", pick(own, number(f"{seed}-a", w)))
+    a, new, b, other = F.col("_a"), F.col("_new"), F.col("_b"), F.col("_other")
+    words = words.withColumn("_new", pick(F.array_except(alphabet, F.array(a)), number(f"{seed}-new", w)))
+    words = words.withColumn("_b", F.coalesce(pick(F.array_except(own, F.array(a)), number(f"{seed}-b", w)), new))
+    words = words.withColumn("_other", F.coalesce(pick(F.array_except(own, F.array(a, b)), number(f"{seed}-other", w)), new))
     done = {
         "deletion": chars.delete_char(w, a),
         "insertion": chars.insert_char(w, a, new),
@@ -218,7 +224,7 @@ def manipulation(lexicon: DataFrame, n: int | None = None, form: str = "mcq", se
         rows = sampled(words, n, seed + i)
         # Two of the other operations, the identity included, and the operation with a wrong character.
         others = F.array(w, *[x for k, x in done.items() if k != kind])
-        wrong = F.slice(F.array_distinct(F.concat(F.array(F.when(astray[kind] != right, astray[kind]).otherwise(F.concat(right, new))), F.filter(shuffled(others, f"{seed}-{kind}", w), lambda x, right=right: x != right))), 1, 3)
+        wrong = F.slice(F.array_distinct(F.concat(F.array(F.when(astray[kind] != right, astray[kind]).otherwise(F.concat(right, new))), _except(shuffled(others, f"{seed}-{kind}", w), right))), 1, 3)
         parts.append(task(rows, "manipulation", kind, rendered(texts[kind], **names), right, wrong if form == "mcq" else None, w))
     mixed, half = chars.random_case(w, seed), chars.half_upper(w)
     cased = words.where(w.rlike(r"\p{L}"))
@@ -358,7 +364,6 @@ def affix_levels(annotated: DataFrame, n: int | None = None, form: str = "mcq",
     rows = affix_rows(annotated, seed)
     mcq = form == "mcq"
     pools = rows.groupBy("affix_type").agg(F.array_sort(F.collect_set("affix")).alias("pool"))  # three rows
-    roots = rows.agg(F.array_sort(F.collect_set("root")).alias("roots")) if mcq else None
     out = rows if n is None else rows.orderBy(order_key(seed, F.col("word")), "word").limit(n)
     out = out.join(F.broadcast(pools), "affix_type").withColumn("count", F.size(syllables.syllabify(F.col("word"))))
     # A few other roots for each row: neighbours by hash in place of a join of all with all.
@@ -384,7 +389,6 @@ def affix_levels(annotated: DataFrame, n: int | None = None, form: str = "mcq",
         _level(applied, 4, "composition", "affix_application", w, distractors if mcq else None, values, F.concat(F.lit("affix_application_"), kind)),
         multi_step(rows, n, mcq, seed),
     ]
-    del roots
     return union(parts)
 
 
