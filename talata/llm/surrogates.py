@@ -21,7 +21,7 @@ _SECRET = _SECRET_HEAD + r"[A-Za-z0-9_+/\-]{12,}={0,2}"
 _EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
 _IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b(?<=\d)"
 _IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
-_PHONE = r"(?:\+\d{1,3}[ .\-]?|(?<![\d.\-+]))\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\d)|(?<![\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?!\d)"
+_PHONE = r"(?:\+\d{1,3}[ .\-]?|(?<![\d.\-+]))\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\d)|(?<![\d.\-])(?:1[.\-])?\d{3}[.\-]\d{3}[.\-]\d{4}(?!\d)"
 _SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 _CARD = r"(?<![\d.\-])\d{4}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7}(?!\d)"
 _TITLE = r"(?:Mr|Mrs|Ms|Miss|Mister|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra|Господин|Госпожа|Κύριος|Κυρία)"
@@ -144,6 +144,7 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> C
     tail = F.substring_index(domain, ".", -1)
     head = F.substr(domain, F.lit(1), F.length(domain) - F.length(tail))
     email = F.concat(_same_classes(local, key, kind, canon, attempt), F.lit("@"), _same_classes(head, key, F.lit("domain"), domain), tail)
+    # Where many people share a family name, later attempts take double and triple given names.
     code = F.split(F.substring_index(canon, ":", 1), "-")
     name = F.split(F.substring_index(canon, ":", -1), " ")
     family = F.element_at(name, -1)
@@ -157,7 +158,8 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> C
     surnames = F.when(script == "cyrillic", surname(SYLLABLES["cyrillic"])).when(script == "greek", surname(SYLLABLES["greek"])).otherwise(surname(SYLLABLES["latin"]))
     given = F.lit("")
     for option, names in GIVEN.items():
-        given = F.when(F.substring_index(canon, ":", 1) == option, _pick(names, n[0])).otherwise(given)
+        more = [F.when(attempt >= least, F.concat(F.lit("-"), _pick(names, x))).otherwise(F.lit("")) for least, x in ((3, n[1]), (8, n[2]))]
+        given = F.when(F.substring_index(canon, ":", 1) == option, F.concat(_pick(names, n[0]), *more)).otherwise(given)
     person = F.concat(F.substring_index(canon, ":", 1), F.lit(":"), F.when(F.size(name) > 1, F.concat(given, F.lit(" "))).otherwise(F.lit("")), surnames)
     return (
         F.when(kind == "phone", phone)
