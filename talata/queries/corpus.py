@@ -23,7 +23,7 @@ def char_token_length_stats(spark, sf_dir):
 
 @query("SELECT doc_id, length(text) AS n FROM documents WHERE length(text) > 0")
 def corpus_nonempty_scan(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(F.length("text") > 0).select("doc_id", F.length("text").alias("n"))
+    return table(spark, sf_dir, "documents").where(F.length("text") > 0).select("doc_id", F.length("text").cast("bigint").alias("n"))
 
 
 @query("SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // ceil(count(*) OVER () / 20.0)::BIGINT)::INT AS chunk_id FROM documents")

@@ -35,9 +35,9 @@ _word_query(
     "CASE WHEN length(word) >= 3 THEN substr(word, 3, 1) || substr(word, 2, 1) || substr(word, 1, 1) || substr(word, 4) ELSE word END",
 )
 _word_query("char_at", lambda: chars.char_at(F.col("word"), F.lit(2)), "substr(word, 2, 1)")
-_word_query("char_count", lambda: chars.count_char(F.col("word"), F.lit("e")), "length(word) - length(replace(word, 'e', ''))")
-_word_query("diacritic_count", lambda: chars.count_diacritics(F.col("word")), f"length(word) - length(regexp_replace(word, '[{chars.DIACRITICS}]', '', 'g'))")
-_word_query("word_length", lambda: F.length(F.col("word")), "length(word)")
+_word_query("char_count", lambda: chars.count_char(F.col("word"), F.lit("e")).cast("bigint"), "length(word) - length(replace(word, 'e', ''))")
+_word_query("diacritic_count", lambda: chars.count_diacritics(F.col("word")).cast("bigint"), f"length(word) - length(regexp_replace(word, '[{chars.DIACRITICS}]', '', 'g'))")
+_word_query("word_length", lambda: F.length(F.col("word")).cast("bigint"), "length(word)")
 _word_query("capitalize_word", lambda: chars.capitalize(F.col("word")), "upper(substr(word, 1, 1)) || lower(substr(word, 2))", "ß")
 _word_query("half_upper", lambda: chars.half_upper(F.col("word")), "upper(substr(word, 1, length(word) // 2)) || lower(substr(word, length(word) // 2 + 1))", "ß")
 _word_query("ordinal_of_length", lambda: chars.ordinal(F.length(F.col("word"))), "length(word)::VARCHAR || CASE length(word) WHEN 1 THEN 'st' WHEN 2 THEN 'nd' WHEN 3 THEN 'rd' ELSE 'th' END")
