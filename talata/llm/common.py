@@ -47,6 +47,12 @@ def drop_table(spark: SparkSession, df_path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def range_partitions(df: DataFrame, bytes_each: int = 512 << 20) -> int:
+    """Partitions for a shuffle of all of ``df``: the session's number, and more where its files are larger than that can hold."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-min(size, 1 << 50) // bytes_each))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -133,33 +133,41 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> C
     size = F.length(canon)
     stream = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: (_number(key, kind, canon, attempt, i) % 10).cast("string")), "")
     nanp = canon.rlike("^1[2-9][0-9]{9}$")
-    phone = F.when(nanp, F.concat(F.lit("1"), (2 + n[0] % 8).cast("string"), F.lpad((n[1] % 100).cast("string"), 2, "0"), F.lit("555"), F.lpad((n[2] % 10000).cast("string"), 4, "0"))).otherwise(
+    # Fictional numbers and private addresses first; they are too few for a large corpus, so later attempts leave them.
+    exchange = F.when(attempt < 3, "555").otherwise((200 + n[3] % 800).cast("string"))
+    phone = F.when(nanp, F.concat(F.lit("1"), (2 + n[0] % 8).cast("string"), F.lpad((n[1] % 100).cast("string"), 2, "0"), exchange, F.lpad((n[2] % 10000).cast("string"), 4, "0"))).otherwise(
         F.concat(F.substring(canon, 1, 2), F.substr(stream, F.lit(3)))
     )
     body = F.concat(F.substring(canon, 1, 1), F.substr(stream, F.lit(2), size - 2))
     check = F.pmod(-_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
     card = F.concat(body, F.when(_luhn_sum(canon) % 10 == 0, check).otherwise(F.substr(stream, size, F.lit(1))))
-    ip = F.concat_ws(".", F.lit("10"), *[(1 + x % 254).cast("string") for x in n[:3]])
+    ip = F.concat_ws(".", F.when(attempt < 3, "10").otherwise((240 + n[3] % 15).cast("string")), *[(1 + x % 254).cast("string") for x in n[:3]])
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     tail = F.substring_index(domain, ".", -1)
     head = F.substr(domain, F.lit(1), F.length(domain) - F.length(tail))
     email = F.concat(_same_classes(local, key, kind, canon, attempt), F.lit("@"), _same_classes(head, key, F.lit("domain"), domain), tail)
-    # Where many people share a family name, later attempts take double and triple given names.
+    # Where many people share a family name, later attempts take double and triple given
+    # names, then spelt ones that grow with each attempt.
     code = F.split(F.substring_index(canon, ":", 1), "-")
     name = F.split(F.substring_index(canon, ":", -1), " ")
     family = F.element_at(name, -1)
     script = F.get(code, F.lit(0))
 
-    def surname(syllables: list[str]) -> Column:
-        later = F.when(F.size(name) == 1, attempt).otherwise(F.lit(0))
-        raw = F.array_join(F.transform(F.sequence(F.lit(1), SYLLABLES_EACH + later), lambda i: _pick(syllables, _number(key, F.lit("family"), F.lower(family), i))), "")
-        return F.initcap(raw)
+    def spelled(count: Column, *parts: Column) -> Column:
+        """A name of so many syllables in the script of the mention."""
 
-    surnames = F.when(script == "cyrillic", surname(SYLLABLES["cyrillic"])).when(script == "greek", surname(SYLLABLES["greek"])).otherwise(surname(SYLLABLES["latin"]))
+        def of(syllables: list[str]) -> Column:
+            return F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), count), lambda i: _pick(syllables, _number(key, *parts, i))), ""))
+
+        return F.when(script == "cyrillic", of(SYLLABLES["cyrillic"])).when(script == "greek", of(SYLLABLES["greek"])).otherwise(of(SYLLABLES["latin"]))
+
+    surnames = spelled(SYLLABLES_EACH + F.when(F.size(name) == 1, attempt).otherwise(F.lit(0)), F.lit("family"), F.lower(family))
     given = F.lit("")
     for option, names in GIVEN.items():
         more = [F.when(attempt >= least, F.concat(F.lit("-"), _pick(names, x))).otherwise(F.lit("")) for least, x in ((3, n[1]), (8, n[2]))]
         given = F.when(F.substring_index(canon, ":", 1) == option, F.concat(_pick(names, n[0]), *more)).otherwise(given)
+    spelt = F.when(attempt >= 12, F.concat(F.lit("-"), spelled((attempt / 4).cast("int"), F.lit("given"), canon, attempt))).otherwise(F.lit(""))
+    given = F.concat(given, spelt)
     person = F.concat(F.substring_index(canon, ":", 1), F.lit(":"), F.when(F.size(name) > 1, F.concat(given, F.lit(" "))).otherwise(F.lit("")), surnames)
     return (
         F.when(kind == "phone", phone)

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, read
+from .common import materialize, new_path, range_partitions, read
 from .wordbpe import word_bpe
 
 MAGIC = b"TLTIDS01"
@@ -144,6 +144,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_
     """
     spark = docs.sparkSession
     width = 2 if word_bpe(tokenizer_path).vocab_size <= 1 << 16 and end_id < 1 << 16 else 4
+    parts, usual = range_partitions(docs), int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", "text")
     raw = train_dictionary(docs, tokenizer_path, width)
     fs, base = _open(folder)
@@ -151,7 +152,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_
     with fs.open_output_stream(f"{base}/dictionary-{hashlib.sha256(raw).hexdigest()}.zdict") as f:
         f.write(raw)
     shared = spark.sparkContext.broadcast(raw)  # DICT_BYTES at most
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.length("text"), "text")
+    # Left to the session, small partitions are merged; a number is given only where the session's is too few.
+    ranged = docs.repartitionByRange(parts, "doc_id") if parts > usual else docs.repartitionByRange("doc_id")
+    ordered = ranged.sortWithinPartitions("doc_id", F.length("text"), "text")
     write = partial(_write, path=tokenizer_path, folder=folder, dictionary=shared, width=width, end_id=end_id, file_bytes=file_bytes)
     manifest = materialize(ordered.mapInArrow(write, MANIFEST), "token-manifest")
     before = Window.orderBy("task", "part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from talata.llm import components, decontaminate, langid, licenses, linefreq, packing, quality, simhash, surrogates, tokenfiles, urlgraph
-from talata.llm.common import new_path
+from talata.llm.common import new_path, range_partitions
 from talata.llm.wordbpe import WordBpe
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -289,6 +289,24 @@ def test_surrogates_are_distinct(spark):
     assert phones.made.is_unique and not set(phones.made) & set(phones.canon) and len(phones) == 3000
 
 
+def test_surrogates_leave_small_spaces(spark):
+    """Later attempts of phones, addresses and names of one family leave the small space of the first ones."""
+    rows = [("phone", "12025550123"), ("ip", "8.8.8.8"), ("person", "latin-f:Ann Smith"), ("person", "greek-m:Άρης Ψ")]
+    tried = spark.createDataFrame(rows, "kind string, canon string").crossJoin(spark.range(40).select(F.col("id").cast("int").alias("attempt")))
+    made = tried.select("kind", "canon", "attempt", surrogates.surrogate(F.col("kind"), F.col("canon"), F.col("attempt")).alias("made")).toPandas()
+    assert made.made.notna().all()
+    assert all(bool(re.fullmatch(r"1[2-9]\d\d555\d{4}", m)) == (a < 3 or m[4:7] == "555") and re.fullmatch(r"1[2-9]\d\d[2-9]\d{6}", m) for k, _, a, m in made.values if k == "phone")
+    assert all((m.startswith("10.") if a < 3 else 240 <= int(m.split(".")[0]) < 255) and re.fullmatch(surrogates._IP, m) for k, _, a, m in made.values if k == "ip")
+    people = made[(made.kind == "person") & (made.attempt >= 12)]
+    assert people.made.nunique() == len(people) and people.groupby("canon").made.apply(lambda x: len({m.split(" ")[-1] for m in x})).eq(1).all()
+
+
+def test_range_partitions(spark, data, empty):
+    documents = spark.read.parquet(f"{data}/documents.parquet")
+    assert range_partitions(documents) == int(spark.conf.get("spark.sql.shuffle.partitions")) == range_partitions(empty)
+    assert range_partitions(documents, bytes_each=10_000) > 20
+
+
 def test_decontamination(spark, docs, empty):
     rng = random.Random(4)
     vocab = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
