@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talata.llm import decontaminate, langid, packing, simhash, surrogates
+from talata.llm import decontaminate, langid, packing, shingles, surrogates
 from talata.llm.common import materialize, read
 
 
@@ -21,8 +21,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """Keeps one document of each group of near-duplicates: 0.8 or more of their five-word shingles in common."""
+    return shingles.keep_one_similar(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

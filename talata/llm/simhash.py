@@ -30,21 +30,27 @@ SHARD_MOST = 1500
 LEAF = 24
 
 
-def fingerprint_of(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The fingerprint of one text, unsigned."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> list[int]:
+    """The hashes of a text's shingles in order; fewer words than a shingle are one, no words none."""
     import xxhash
 
     words = (text or "").encode().lower().split()  # bytes: A-Z and the six ASCII white spaces alone
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, seed)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(joined, seed)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+
+
+def fingerprint_of(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The fingerprint of one text, unsigned."""
+    hashes = shingle_hashes(text, shingle, seed)
+    if not hashes:
+        return 0
     bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     ones = bits.sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
@@ -208,8 +214,13 @@ def simhash_components(docs: DataFrame, *, radius: int = RADIUS, shingle: int =
     """
     run = partial(_fingerprints, shingle=shingle, seed=seed)
     prints = materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, print long"), "prints")
+    return labelled(prints, near_links(materialize(prints.select("print").distinct(), "nodes"), radius))
+
+
+def labelled(prints: DataFrame, links: DataFrame) -> DataFrame:
+    """``prints`` (doc_id, print) with the components that ``links`` (u, v: prints) make of them."""
     nodes = materialize(prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
-    roots = connected_components(near_links(nodes.select("print"), radius))
+    roots = connected_components(links)
     linked = nodes.join(roots.select(F.col("node").alias("print"), "root"), "print", "left").select("print", "first", "n", F.coalesce("root", "print").alias("root"))
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("size"))
     found = materialize(linked.join(least.where("size > 1"), "root").select("print", "component_id"), "components")
@@ -225,24 +236,24 @@ def simhash_components(docs: DataFrame, *, radius: int = RADIUS, shingle: int =
 MOST_BROADCAST = 1_000_000
 
 
-def keep_one(docs: DataFrame, *, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+def keep_one(docs: DataFrame, *, components=simhash_components, prints=partial(_fingerprints, shingle=SHINGLE, seed=SEED)) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, columns as they are.
 
     The document with the least doc_id stays. Rows that share a doc_id are one document, of which
     the row with the least text hash stays. Rows with a null id go if they are linked to a document
-    with one; otherwise they all stay, as nothing tells them apart.
+    with one; otherwise they all stay, as nothing tells them apart. ``components`` makes the groups,
+    and ``prints`` their fingerprints of (doc_id, text).
     """
-    found = materialize(simhash_components(docs, radius=radius, shingle=shingle, seed=seed), "groups")
+    found = materialize(components(docs), "groups")
     by_id = found.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count("*").alias("rows"))
     by_id = materialize(by_id.where("NOT stays OR rows > 1").select(F.col("doc_id").alias("_id"), "stays", "rows"), "losers")
     losers, repeated = by_id.where("NOT stays AND _id IS NOT NULL").select("_id"), by_id.where("rows > 1 AND stays AND _id IS NOT NULL").select("_id")
     out = docs.join(F.broadcast(losers) if losers.count() <= MOST_BROADCAST else losers, docs["doc_id"] == losers["_id"], "left_anti")
     if not found.where("doc_id IS NULL AND component_id IS NOT NULL").isEmpty():
-        run = partial(_fingerprints, shingle=shingle, seed=seed)
         anonymous = docs.where("doc_id IS NULL").withColumn("_text", F.xxhash64("text"))
         linked = found.where("doc_id IS NULL AND component_id IS NOT NULL").select(F.conv("fingerprint", 16, -10).cast("bigint").alias("_print")).distinct()
-        prints = anonymous.select(F.col("_text").alias("doc_id"), "text").distinct().mapInArrow(run, "doc_id long, print long")
-        going = prints.join(linked, prints["print"] == linked["_print"], "left_semi").select(F.col("doc_id").alias("_text"))
+        made = anonymous.select(F.col("_text").alias("doc_id"), "text").distinct().mapInArrow(prints, "doc_id long, print long")
+        going = made.join(linked, made["print"] == linked["_print"], "left_semi").select(F.col("doc_id").alias("_text"))
         out = out.where("doc_id IS NOT NULL").unionAll(anonymous.join(going, "_text", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]))
     if repeated.isEmpty():
         return out
