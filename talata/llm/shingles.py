@@ -1,11 +1,17 @@
-"""Near-duplicates by similarity: the Jaccard similarity of the documents' sets of five-word shingles.
-
-Documents with equal sets are one node. Each node has BANDS keys of ROWS least hashes (MinHash);
-nodes that share a key are candidates, and a candidate pair is linked only if its exact similarity
-is 0.8 or more. A pair at 0.8 shares no key with a chance of (1 - 0.8 ** 5) ** 32, about 3 in a
-million, and less above. All pairs of a key's nodes are compared, up to PAIRED nodes at once; nodes
-of a larger group are compared with a few leaders first, and then only with nodes they are not yet
-connected to.
+"""Near-duplicates by similarity: SimHash and BK-trees find candidates, exact Jaccard links them.
+
+Two documents are linked when their sets of five-word shingles have a Jaccard similarity of 0.8 or
+more. Their SimHash fingerprints are then some 10 bits apart and at most RADIUS, which is too wide
+for shards of equal bits as in ``simhash``; the shards are the keys of BANDS times ROWS least hashes
+instead (two documents at 0.8 share none with a chance of (1 - 0.8 ** 4) ** 24, about 3 in a
+million). The steps:
+
+1. Documents with equal sets are one node, with one fingerprint.
+2. A BK-tree over each shard links the fingerprints within RADIUS bits; shards over SHARD_MOST are
+   dealt as pairs of bounded trees. The components of these links hold every candidate pair.
+3. Each component's sets are compared exactly, one text a node, in a task. Components over
+   MOST_SHINGLES or MOST_NODES are dealt as pairs of bounded blocks, so nothing a task holds grows
+   with a component. A task emits a spanning forest of its exact links.
 """
 
 from __future__ import annotations
@@ -17,15 +23,16 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import connected_components
-from .simhash import SEED, keep_one, labelled, shingle_hashes
+from .simhash import MOST_BROADCAST, SEED, fingerprint_of_hashes, keep_one, labelled, shard_links, shingle_hashes
 
-SHINGLE = 5
+SHINGLE, RADIUS = 5, 24
 #: Linked at 0.8 or more: 9 * common >= 4 * (both sizes).
 COMMON, SIZES = 9, 4
-BANDS, ROWS = 32, 5
-#: Texts a task holds the sets of at once.
+BANDS, ROWS = 24, 4
+#: Shingles and nodes of a component that one task compares at once; also of the blocks of larger ones.
+MOST_SHINGLES, MOST_NODES = 1_000_000, 3000
+#: Texts a task holds the sets of at once while it signs them.
 HELD = 256
-PAIRED, LEADERS = 50, 4
 _DRAWN = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64)
 _TIMES, _PLUS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
 
@@ -62,79 +69,97 @@ def _parts(batches):
             yield batch.slice(i, HELD)
 
 
+SIGNATURE = "doc_id long, key long, node long, print long, n int, bands array<long>"
+
+
 def _signatures(batches):
     for batch in _parts(batches):
         sets = [shingle_set(t.as_py()) for t in batch.column(2)]
         keys = [band_keys(s) for s in sets]
         ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-        bands = pa.ListArray.from_arrays(pa.array(ends), _signed([k for ks in keys for k in ks]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _signed([node_of(s) for s in sets]), bands], ["doc_id", "text_key", "print", "bands"])
-
-
-def _sets(batches):
-    for batch in _parts(batches):
-        sets = [shingle_set(t.as_py()) for t in batch.column(0)]
-        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-        hashes = pa.ListArray.from_arrays(pa.array(ends), _signed(np.concatenate([*sets, np.zeros(0, np.uint64)])))
-        yield pa.RecordBatch.from_arrays([_signed([node_of(s) for s in sets]), pa.array([len(s) for s in sets], pa.int32()), hashes], ["node", "n", "hashes"])
+        columns = [batch.column(0), batch.column(1), _signed([node_of(s) for s in sets]), _signed([fingerprint_of_hashes(s) for s in sets]), pa.array([len(s) for s in sets], pa.int32())]
+        columns.append(pa.ListArray.from_arrays(pa.array(ends), _signed([k for ks in keys for k in ks])))
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "node", "print", "n", "bands"])
 
 
-def _prints(batches):
+def _nodes(batches):
     """(key, text) -> (doc_id, print), as ``keep_one`` asks for rows without an id."""
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column(0), _signed([node_of(shingle_set(t.as_py())) for t in batch.column(1)])], ["doc_id", "print"])
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (u, v) -> those with a similarity of 0.8 or more; sizes are compared before sets move."""
-    sizes, sets = sets.select("node", "n"), sets.select("node", "hashes")
-    near = pairs.distinct().join(sizes.toDF("u", "nu"), "u").join(sizes.toDF("v", "nv"), "v")
-    near = near.where((5 * F.col("nu") >= 4 * F.col("nv")) & (5 * F.col("nv") >= 4 * F.col("nu"))).select("u", "v")
-    met = near.join(sets.toDF("u", "hu"), "u").join(sets.toDF("v", "hv"), "v")
-    common = F.size(F.array_intersect("hu", "hv"))
-    return materialize(met.where(COMMON * common >= SIZES * (F.size("hu") + F.size("hv"))).select("u", "v"), "similar")
-
-
-def _crossing(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """``members`` (key, node, weight) with the component ``edges`` give each node, of keys that hold two or more."""
-    roots = connected_components(edges)
-    rows = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_keys = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    return materialize(rows.join(open_keys, "key", "left_semi").select("key", "node", "weight", "root"), "crossing")
-
-
-def _pairs(rows: DataFrame) -> DataFrame:
-    a, b = rows.select("key", F.col("node").alias("u"), F.col("root").alias("ru")), rows.select("key", F.col("node").alias("v"), F.col("root").alias("rv"))
-    return a.join(b, "key").where("u < v AND ru <> rv").select("u", "v")
-
-
-def similar_links(docs: DataFrame, prints: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect what pairs of similar nodes of ``prints`` (text_key, print, bands) connect."""
-    nodes = prints.groupBy("print").agg(F.min(F.struct("text_key", "bands")).alias("one")).select(F.col("print").alias("node"), "one.text_key", "one.bands")
-    nodes = materialize(nodes, "signed-nodes")
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(keyed.join(shared, "key"), "shared-keys")
-    wanted = nodes.select("node", "text_key").join(members.select("node").distinct(), "node", "left_semi").select("text_key")
-    texts = docs.withColumn("text_key", F.xxhash64("text")).join(wanted, "text_key", "left_semi").select("text_key", "text").dropDuplicates(["text_key"])
-    sets = materialize(texts.select("text").mapInArrow(_sets, "node long, n int, hashes array<long>"), "shingle-sets")
-    few = members.where(F.col("n") <= PAIRED).select("key", "node", F.col("node").alias("root"))
-    edges = _similar(_pairs(few), sets)
-    many = members.where(F.col("n") > PAIRED)
-    if many.isEmpty():
-        return edges
-    # The node that meets the most others is the likeliest origin of a large group, so it leads first.
-    many = materialize(many.join(many.groupBy("node").agg(F.sum("n").alias("weight")), "node").select("key", "node", "weight"), "large-groups")
-    for i in range(LEADERS):
-        rows = _crossing(many, edges)
-        if rows.isEmpty():
-            return edges
-        order = -F.col("weight") if i == 0 else F.xxhash64(F.lit(i), "node")
-        leaders = rows.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("leader"), F.col("root").alias("led"))).alias("one")).select("key", "one.o", "one.leader", "one.led")
-        led = rows.join(leaders, "key").where("root <> led").groupBy("node").agg(F.min(F.struct("o", "leader")).alias("one")).select("node", "one.leader")
-        pairs = led.select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v"))
-        edges = edges.unionAll(_similar(pairs, sets))
-    return edges.unionAll(_similar(_pairs(_crossing(many, edges)), sets))
+def exact_links(sets: list[np.ndarray], sides: list[int]) -> list[tuple[int, int]]:
+    """Links (place, least place of its component) that connect all similar pairs of ``sets``.
+
+    All pairs are compared by counting common hashes; with two sides, only pairs across them.
+    """
+    n, two = len(sets), len(set(sides)) > 1
+    sizes, side = np.array([len(s) for s in sets]), np.array(sides)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    owner = np.repeat(np.arange(n), sizes)
+    _, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    postings = owner[np.argsort(which, kind="stable")]
+    begin = np.cumsum(count) - count
+    root = np.arange(n)
+    for i in range(n):
+        if two and sides[i]:
+            continue
+        own = which[ends[i] : ends[i + 1]]
+        own = own[count[own] > 1]
+        if not len(own):
+            continue
+        each = count[own]
+        at = np.repeat(begin[own] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        common = np.bincount(postings[at], minlength=n)
+        near = COMMON * common >= SIZES * (sizes[i] + sizes)
+        met = np.unique(root[near & (side != sides[i]) if two else near])
+        met = np.union1d(met, root[i : i + 1])
+        if len(met) > 1:
+            root[np.isin(root, met)] = met[0]
+    return [(i, int(r)) for i, r in enumerate(root) if r != i]
+
+
+def _compared(batches):
+    """Rows (cell, side, text) sorted by cell -> links of similar nodes."""
+    current, sets, sides = None, [], []
+
+    def close():
+        links = exact_links(sets, sides) if len(sets) > 1 else []
+        nodes = [node_of(s) for s in sets] if links else []
+        sets.clear()
+        sides.clear()
+        return pa.RecordBatch.from_arrays([_signed([nodes[x[i]] for x in links]) for i in (0, 1)], ["u", "v"])
+
+    for batch in batches:
+        for cell, side, text in zip(*batch.columns, strict=True):
+            if cell.as_py() != current:
+                yield close()
+                current = cell.as_py()
+            sets.append(shingle_set(text.as_py()))
+            sides.append(side.as_py())
+    yield close()
+
+
+def similar_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """Edges (u, v) that connect what pairs of similar nodes of ``signed`` (see SIGNATURE) connect."""
+    one = F.min(F.struct("key", "print", "n", "bands")).alias("one")
+    nodes = materialize(signed.where("n > 0").groupBy("node").agg(one).select("one.*"), "signed-nodes")
+    keyed = nodes.select("print", F.explode("bands").alias("shard"))
+    shared = keyed.groupBy("shard").agg(F.count("*").alias("members")).where("members > 1").select("shard")
+    sharded = materialize(keyed.join(shared, "shard", "left_semi").select("shard", "print"), "shards")
+    roots = connected_components(shard_links(sharded, RADIUS)).withColumnRenamed("node", "print")
+    placed = nodes.select("key", "print", "n").join(roots, "print", "left").select("key", "n", F.coalesce("root", "print").alias("group"))
+    groups = materialize(placed.groupBy("group").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles")).where("nodes > 1"), "group-sizes")
+    parts = F.greatest(F.ceil(F.col("shingles") / MOST_SHINGLES), F.ceil(F.col("nodes") / MOST_NODES)).cast("int")
+    placed = placed.join(groups, "group").select("key", "group", parts.alias("parts"))
+    placed = materialize(placed.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")), "groups")
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    texts = texts.join(F.broadcast(placed) if placed.count() <= MOST_BROADCAST else placed, "key").dropDuplicates(["key"])
+    cells = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        F.xxhash64("group", F.least("part", "other"), F.greatest("part", "other")).alias("cell"), F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"), "text"
+    )
+    dealt = cells.repartition("cell").sortWithinPartitions("cell", "side")
+    return dealt.mapInArrow(_compared, "u long, v long")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -142,11 +167,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     Null and blank texts are one group. Ids, nulls and repeated rows are as in ``simhash_components``.
     """
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    prints = materialize(rows.mapInArrow(_signatures, "doc_id long, text_key long, print long, bands array<long>"), "signatures")
-    return labelled(prints.select("doc_id", "print"), similar_links(docs.select("text"), prints))
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+    signed = materialize(rows.mapInArrow(_signatures, SIGNATURE), "signatures")
+    return labelled(signed.select("doc_id", F.col("node").alias("print")), materialize(similar_links(docs, signed), "similar"))
 
 
 def keep_one_similar(docs: DataFrame) -> DataFrame:
     """``keep_one`` with similar documents as groups."""
-    return keep_one(docs, components=jaccard_components, prints=_prints)
+    return keep_one(docs, components=jaccard_components, prints=_nodes)

@@ -46,16 +46,20 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -
     return [digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
 
 
-def fingerprint_of(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The fingerprint of one text, unsigned."""
-    hashes = shingle_hashes(text, shingle, seed)
-    if not hashes:
+def fingerprint_of_hashes(hashes) -> int:
+    """The bits set in over half of the hashes, unsigned; zero of none."""
+    if not len(hashes):
         return 0
     bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     ones = bits.sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint_of(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The fingerprint of one text, unsigned."""
+    return fingerprint_of_hashes(shingle_hashes(text, shingle, seed))
+
+
 def _fingerprints(batches, shingle: int, seed: int):
     for batch in batches:
         prints = np.array([fingerprint_of(t.as_py(), shingle, seed) for t in batch.column(1)], dtype=np.uint64)
@@ -168,41 +172,52 @@ def _linked_shards(rows: DataFrame, radius: int) -> DataFrame:
     return dealt.select("shard", "side", "print").mapInArrow(partial(_link, radius=radius), "u long, v long")
 
 
+def _cells(rows: DataFrame, most: int) -> DataFrame:
+    """``rows`` (shard, print, n: members of the shard) dealt as pairs of parts of at most about ``most`` members."""
+    parts = rows.select("shard", "print", F.ceil(F.col("n") / most).cast("int").alias("k"))
+    parts = parts.withColumn("part", F.pmod(F.xxhash64("print"), F.col("k")).cast("int"))
+    return parts.select("shard", "print", "part", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")).select(
+        F.xxhash64("shard", F.least("part", "other"), F.greatest("part", "other")).alias("shard"), F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"), "print"
+    )
+
+
+def _large(sharded: DataFrame, most: int) -> DataFrame:
+    return materialize(sharded.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > most), "large-shards")
+
+
+def _whole(rows: DataFrame) -> DataFrame:
+    return rows.select("shard", F.lit(0).alias("side"), "print")
+
+
+def shard_links(sharded: DataFrame, radius: int, most: int = SHARD_MOST) -> DataFrame:
+    """Edges that connect, within each shard of ``sharded`` (shard, print), what is within the radius.
+
+    A shard over ``most`` is searched as pairs of bounded trees.
+    """
+    large = _large(sharded, most)
+    if large.isEmpty():
+        return _linked_shards(_whole(sharded), radius)
+    fits = _linked_shards(_whole(sharded.join(large, "shard", "left_anti")), radius)
+    return fits.unionAll(_linked_shards(_cells(sharded.join(large, "shard"), most), radius))
+
+
 def near_links(prints: DataFrame, radius: int = RADIUS, most: int = SHARD_MOST) -> DataFrame:
     """Edges that connect all of ``prints`` (print: distinct longs) within ``radius`` bits of each other.
 
     Two prints within the radius are in one component of the returned (u, v); not every such pair
     is an edge. Null prints link nothing; no rows give no edges.
     """
-    first = _spans(BITS, radius + 1)
     p = F.col("print")
-    sharded = prints.where(p.isNotNull()).select(p, F.explode(_keys(p, [_mask([s]) for s in first])).alias("shard"))
-    large = materialize(sharded.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > most), "large-shards")
+    sharded = prints.where(p.isNotNull()).select(p, F.explode(_keys(p, [_mask([s]) for s in _spans(BITS, radius + 1)])).alias("shard"))
+    large = _large(sharded, most)
     if large.isEmpty():
-        return _linked_shards(sharded.select("shard", F.lit(0).alias("side"), "print"), radius)
-    fits = sharded.join(large, "shard", "left_anti")
-    edges = _linked_shards(fits.select("shard", F.lit(0).alias("side"), "print"), radius)
+        return _linked_shards(_whole(sharded), radius)
+    edges = _linked_shards(_whole(sharded.join(large, "shard", "left_anti")), radius)
     # Second level: among 2 * radius blocks, at least `radius` are equal.
     blocks = _spans(BITS, 2 * radius)
     masks = [_mask([blocks[i] for i in c]) for c in combinations(range(2 * radius), radius)]
     hot = sharded.join(large.select("shard"), "shard", "left_semi").select("print").distinct()
-    again = hot.select("print", F.explode(_keys(p, masks)).alias("shard"))
-    rest = materialize(again.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > most), "large-shards")
-    fits = again.join(rest, "shard", "left_anti")
-    edges = edges.unionAll(_linked_shards(fits.select("shard", F.lit(0).alias("side"), "print"), radius))
-    if rest.isEmpty():
-        return edges
-    # What is still larger: trees of bounded size, and each tree's queries in groups of that size.
-    parts = again.join(rest, "shard").select("shard", "print", F.ceil(F.col("n") / most).cast("int").alias("k"))
-    parts = parts.withColumn("part", F.pmod(F.xxhash64("print"), F.col("k")).cast("int"))
-    cells = parts.select(
-        "shard", "print", "part", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
-    ).select(
-        F.xxhash64("shard", F.least("part", "other"), F.greatest("part", "other")).alias("shard"),
-        F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"),
-        "print",
-    )
-    return edges.unionAll(_linked_shards(cells, radius))
+    return edges.unionAll(shard_links(hot.select("print", F.explode(_keys(p, masks)).alias("shard")), radius, most))
 
 
 def simhash_components(docs: DataFrame, *, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -241,26 +256,28 @@ def keep_one(docs: DataFrame, *, components=simhash_components, prints=partial(_
 
     The document with the least doc_id stays. Rows that share a doc_id are one document, of which
     the row with the least text hash stays. Rows with a null id go if they are linked to a document
-    with one; otherwise they all stay, as nothing tells them apart. ``components`` makes the groups,
-    and ``prints`` their fingerprints of (doc_id, text).
+    with one; otherwise they all stay, as nothing tells them apart. Other columns may have any name.
+    ``components`` makes the groups, and ``prints`` their fingerprints of (doc_id, text).
     """
-    found = materialize(components(docs), "groups")
+    found = materialize(components(docs.select("doc_id", "text")), "groups")
     by_id = found.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count("*").alias("rows"))
-    by_id = materialize(by_id.where("NOT stays OR rows > 1").select(F.col("doc_id").alias("_id"), "stays", "rows"), "losers")
-    losers, repeated = by_id.where("NOT stays AND _id IS NOT NULL").select("_id"), by_id.where("rows > 1 AND stays AND _id IS NOT NULL").select("_id")
-    out = docs.join(F.broadcast(losers) if losers.count() <= MOST_BROADCAST else losers, docs["doc_id"] == losers["_id"], "left_anti")
-    if not found.where("doc_id IS NULL AND component_id IS NOT NULL").isEmpty():
-        anonymous = docs.where("doc_id IS NULL").withColumn("_text", F.xxhash64("text"))
-        linked = found.where("doc_id IS NULL AND component_id IS NOT NULL").select(F.conv("fingerprint", 16, -10).cast("bigint").alias("_print")).distinct()
-        made = anonymous.select(F.col("_text").alias("doc_id"), "text").distinct().mapInArrow(prints, "doc_id long, print long")
-        going = made.join(linked, made["print"] == linked["_print"], "left_semi").select(F.col("doc_id").alias("_text"))
-        out = out.where("doc_id IS NOT NULL").unionAll(anonymous.join(going, "_text", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]))
+    by_id = materialize(by_id.where("doc_id IS NOT NULL AND (NOT stays OR rows > 1)").withColumnRenamed("doc_id", "id"), "losers")
+    losers, repeated = by_id.where("NOT stays").select("id"), by_id.where("rows > 1 AND stays").select("id")
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_key"))
+    kept = [F.col("doc").getField(c).alias(c) for c in docs.columns]
+    out = out.join(F.broadcast(losers) if losers.count() <= MOST_BROADCAST else losers, "id", "left_anti")
+    linked = found.where("doc_id IS NULL AND component_id IS NOT NULL").select(F.conv("fingerprint", 16, -10).cast("bigint").alias("print")).distinct()
+    if not linked.isEmpty():
+        anonymous = out.where("id IS NULL")
+        texts = anonymous.select(F.col("text_key").alias("doc_id"), F.col("doc").getField("text").alias("text")).distinct()
+        going = texts.mapInArrow(prints, "doc_id long, print long").join(linked, "print", "left_semi").select(F.col("doc_id").alias("text_key"))
+        out = out.where("id IS NOT NULL").unionByName(anonymous.join(going, "text_key", "left_anti").select(*out.columns))
     if repeated.isEmpty():
-        return out
-    once = out.join(repeated, out["doc_id"] == repeated["_id"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    again = out.join(repeated, out["doc_id"] == repeated["_id"], "left_semi").withColumn("_rank", rank).where("_rank = 1").drop("_rank")
-    return once.unionAll(again)
+        return out.select(*kept)
+    once = out.join(repeated, "id", "left_anti")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("text_key"))
+    again = out.join(repeated, "id", "left_semi").withColumn("rank", rank).where("rank = 1")
+    return once.select(*kept).unionAll(again.select(*kept))
 
 
 def op5_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,8 +20,8 @@ _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\\s{_LETT
 _NOT_PLAIN = re.compile("[^\t-\r -~ -įı-ſ]|<\\|")
 _SPLIT_REGEX = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-MAX_WORDS = 300_000  # remembered words and space-separated pieces; then they are forgotten
-MAX_PIECES = 450_000
+#: Remembered words and space-separated pieces, some 30 MB a worker; then they are forgotten. More saves no time.
+MAX_WORDS, MAX_PIECES = 60_000, 120_000
 MAX_KEPT_LENGTH = 48
 
 
