@@ -1,9 +1,12 @@
 """PII: each detected entity gets a keyed surrogate of its type, gender, script and format.
 
 A surrogate depends on the key, the entity's canonical form and an attempt number alone, so one
-entity has one surrogate everywhere (coreference). The distinct entities of the corpus are checked:
-where two have the same surrogate, or a surrogate is a real entity, all but the least go to their
-next attempt, until no clash is left (distinctness). Only documents with entities are shuffled.
+entity has one surrogate everywhere (coreference). Persons are two entities, a given and a family
+name, so everyone of a family shares its surrogate, and a person's full, short and untitled mentions
+agree. The distinct entities of the corpus are checked: where two have the same surrogate, or a
+surrogate is a real entity, all but the least go to their next attempt (distinctness). Later attempts
+of every type draw from a larger space each time, so no corpus runs out of surrogates. Only documents
+with entities are shuffled.
 """
 
 from __future__ import annotations
@@ -13,29 +16,31 @@ from pyspark.sql import functions as F
 
 from .common import materialize, read, text_or_empty
 
-KEY = "talata-surrogates-1"  # production callers pass their own secret
-MOST_ATTEMPTS = 40
+#: Of the query and the tests, so that their results can be compared. Callers of the operator pass their own secret.
+TEST_KEY = "talata-surrogates-1"
 
 _SECRET_HEAD = r"""\b(?i:token|password|passwd|secret|api[_-]?key|access[_-]?key)\b\s{0,3}[=:]\s{0,3}["']?"""
-_SECRET = _SECRET_HEAD + r"[A-Za-z0-9_+/\-]{12,}={0,2}"
+_SECRET = _SECRET_HEAD + r"(?=[_+/\-]*[A-Za-z0-9])[A-Za-z0-9_+/\-]{12,}={0,2}"
 _EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
 _IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b(?<=\d)"
 _IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
+_IP6 = r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])"
 _PHONE = r"(?:\+\d{1,3}[ .\-]?|(?<![\d.\-+]))\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\d)|(?<![\d.\-])(?:1[.\-])?\d{3}[.\-]\d{3}[.\-]\d{4}(?!\d)"
 _SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 _CARD = r"(?<![\d.\-])\d{4}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7}(?!\d)"
-_TITLE = r"(?:Mr|Mrs|Ms|Miss|Mister|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra|Господин|Госпожа|Κύριος|Κυρία)"
-_PERSON = rf"\b{_TITLE}\.?\s\p{{Lu}}[\p{{Ll}}'’\-]+(?:\s\p{{Lu}}[\p{{Ll}}'’\-]+)?"
+_TITLE = r"(?:Mr|Mrs|Ms|Miss|Mister|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra|Dr|Prof|Господин|Госпожа|Κύριος|Κυρία)"
+_NAME = r"\p{Lu}[\p{L}'’]*+(?:[-‐]\p{L}[\p{L}'’]*+)*+"
+_PERSON = rf"\b{_TITLE}\.?\s(?:\p{{Lu}}\.\s){{0,3}}{_NAME}(?:\s{_NAME})?"
 
 #: Types in the order of the alternatives: where two could start at one place, the first wins.
-TYPES = {"secret": _SECRET, "email": _EMAIL, "iban": _IBAN, "ip": _IP, "ssn": _SSN, "phone": _PHONE, "card": _CARD, "person": _PERSON}
+TYPES = {"secret": _SECRET, "email": _EMAIL, "iban": _IBAN, "ip": _IP, "ip6": _IP6, "ssn": _SSN, "phone": _PHONE, "card": _CARD, "person": _PERSON}
 #: One pattern for all; the alternatives begin on few characters, so most of a text is passed over fast.
 ENTITY = "|".join(f"(?:{p})" for p in TYPES.values())
 
 #: What a text must contain, one of them, to hold an entity: cheap to look for in every text.
 _MARKS = ["@", "=", ":", *_TITLE[3:-1].replace("Señora?", "Señor").split("|")]
 
-# Given names by gender and script, and syllables of family names by script.
+# Given names by gender and script, and syllables of other names by script.
 GIVEN = {
     "latin-m": ["Adam", "Bruno", "Carlo", "Daniel", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leo", "Marco", "Nils", "Oscar", "Paul", "Ruben", "Simon", "Tomas", "Viktor"],
     "latin-f": ["Alma", "Berta", "Clara", "Diana", "Elena", "Flora", "Greta", "Helena", "Irene", "Julia", "Klara", "Laura", "Maria", "Nora", "Olga", "Paula", "Rosa", "Sofia", "Teresa", "Vera"],
@@ -49,7 +54,11 @@ SYLLABLES = {
     "cyrillic": ["ба", "ве", "ги", "до", "за", "ке", "ли", "мо", "ну", "па", "ре", "си", "то", "фе", "хи", "шо"],
     "greek": ["βα", "γε", "δι", "ζο", "θα", "κε", "λι", "μο", "νυ", "πα", "ρε", "σι", "το", "φε", "χι", "ψο"],
 }
+#: What ends a given name made of syllables.
+ENDINGS = {"latin-m": "n", "latin-f": "na", "cyrillic-m": "н", "cyrillic-f": "на", "greek-m": "ς", "greek-f": "να"}
 SYLLABLES_EACH = 4  # of a family name; one more with each attempt
+#: Attempts in the usual space of a type: fictional numbers, private addresses, names of the lists, the mention's own length.
+USUAL = 3
 
 
 def _number(key: str, *parts: Column) -> Column:
@@ -70,14 +79,27 @@ def _each(s: Column, f) -> Column:
     return F.array_join(F.transform(F.split(s, ""), f), "")
 
 
-def _same_classes(s: Column, key: str, *parts: Column) -> Column:
+def _drawn(alphabet: str, count: Column, key: str, *parts: Column) -> Column:
+    """So many keyed characters of the alphabet; none for 0 or less."""
+    some = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(F.lit(alphabet), (_number(key, *parts, F.lit("drawn"), i) % len(alphabet)).cast("int") + 1, 1))
+    return F.when(count > 0, F.array_join(some, "")).otherwise("")
+
+
+_HEX, _SMALL, _TEN = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+
+
+def _is_hex(s: Column) -> Column:
+    return s.rlike("^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$")
+
+
+def _same_classes(s: Column, key: str, *parts: Column, hexes: Column | None = None) -> Column:
     """Letters for letters of the same case, digits for digits, the rest as it is; hex stays hex."""
-    hexes = s.rlike("^[0-9a-f]+$")
+    hexes = _is_hex(s) if hexes is None else hexes
 
     def change(c: Column, i: Column) -> Column:
         n = _number(key, *parts, i)
         return (
-            F.when(hexes, F.substring(F.lit("0123456789abcdef"), (n % 16).cast("int") + 1, 1))
+            F.when(hexes & c.rlike("[0-9a-f]"), F.substring(F.lit(_HEX), (n % 16).cast("int") + 1, 1))
             .when(c.rlike("[a-z]"), F.char(97 + n % 26))
             .when(c.rlike("[A-Z]"), F.char(65 + n % 26))
             .when(c.rlike("[0-9]"), (n % 10).cast("string"))
@@ -93,6 +115,15 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, x: a + x)
 
 
+def _mod97(s: Column) -> Column:
+    """A string of digits and A-Z (A is 10) as a number modulo 97."""
+
+    def step(a: Column, c: Column) -> Column:
+        return F.when(c.rlike("[0-9]"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+
+    return F.aggregate(F.split(s, ""), F.lit(0), step)
+
+
 def may_hold(text: Column) -> Column:
     """False only for texts without any entity."""
     out = text.rlike("[0-9]")
@@ -102,147 +133,220 @@ def may_hold(text: Column) -> Column:
 
 
 def type_of(entity: Column) -> Column:
-    """The type of a whole match: the first alternative that matches all of it."""
-    out = F.lit("person")
+    """The type of a whole match, the first alternative that matches all of it; "name" if none does.
+
+    Null for what only looks like an entity: a card number without a Luhn sum, an IBAN with a wrong
+    check number, an IPv6 form of fewer than four groups or without a digit.
+    """
+    digits, plain = _digits(entity), F.replace(entity, F.lit(" "), F.lit(""))
+    right = {
+        "card": _luhn_sum(digits) % 10 == 0,
+        "iban": _mod97(F.concat(F.substr(plain, F.lit(5)), F.substring(plain, 1, 4))) == 1,
+        "ip6": entity.rlike("[0-9]") & (F.length(entity) - F.length(F.replace(entity, F.lit(":"), F.lit(""))) >= 3),
+    }
+    out = F.lit("name")
     for name, pattern in reversed(list(TYPES.items())):
-        out = F.when(entity.rlike(f"^(?:{pattern})$"), name).otherwise(out)
+        kind = F.when(right[name], F.lit(name)) if name in right else F.lit(name)
+        out = F.when(entity.rlike(f"^(?:{pattern})$"), kind).otherwise(out)
     return out
 
 
-def gender_script(entity: Column) -> Column:
-    script = F.when(entity.rlike(r"\p{IsCyrillic}"), "cyrillic").when(entity.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    female = entity.rlike(r"^(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа|Κυρία)")
-    return F.concat(script, F.when(female, "-f").otherwise("-m"))
+def person(mention: Column) -> Column:
+    """given (null without one), family, and code (script and gender) of a titled mention."""
+    name = F.regexp_replace(mention, rf"^{_TITLE}\.?\s", "")
+    words = F.split(name, r"\s")
+    many = F.size(words) > 1
+    given = F.when(many, F.array_join(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), " "))
+    female = mention.rlike(r"^(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа|Κυρία)") | (mention.rlike(r"^(?:Dr|Prof)") & given.rlike("[aаαη]$"))
+    script = F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    return F.struct(given.alias("given"), F.element_at(words, -1).alias("family"), script.alias("script"), F.concat(script, F.when(female, "-f").otherwise("-m")).alias("code"))
 
 
 def canonical(kind: Column, entity: Column) -> Column:
-    """What makes two mentions one entity: digits, lower case, the secret itself, or the name."""
+    """What makes two mentions one entity: digits, lower case, or the secret itself. National numbers get their 1."""
+    digits = _digits(entity)
+    size, plus = F.length(digits), entity.startswith("+")
+    phone = F.when((size == 10) & ~plus, F.concat(F.lit("1"), digits)).when((size == 11) & digits.startswith("1"), digits).when(plus, F.concat(F.lit("+"), digits)).otherwise(digits)
     return (
-        F.when(kind.isin("phone", "card", "ssn"), _digits(entity))
-        .when(kind == "email", F.lower(entity))
+        F.when(kind == "phone", phone)
+        .when(kind.isin("card", "ssn"), digits)
+        .when(kind.isin("email", "ip6"), F.lower(entity))
         .when(kind == "iban", F.replace(entity, F.lit(" "), F.lit("")))
         .when(kind == "secret", F.regexp_replace(entity, "^" + _SECRET_HEAD, ""))
-        .when(kind == "person", F.concat(gender_script(entity), F.lit(":"), F.regexp_replace(entity, rf"^{_TITLE}\.?\s", "")))
         .otherwise(entity)
     )
 
 
-def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> Column:
-    """The surrogate in canonical form."""
-    n = [_number(key, kind, canon, attempt, F.lit(f"part{i}")) for i in range(4)]
-    size = F.length(canon)
-    stream = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: (_number(key, kind, canon, attempt, i) % 10).cast("string")), "")
-    nanp = canon.rlike("^1[2-9][0-9]{9}$")
-    # Fictional numbers and private addresses first; they are too few for a large corpus, so later attempts leave them.
-    exchange = F.when(attempt < 3, "555").otherwise((200 + n[3] % 800).cast("string"))
-    phone = F.when(nanp, F.concat(F.lit("1"), (2 + n[0] % 8).cast("string"), F.lpad((n[1] % 100).cast("string"), 2, "0"), exchange, F.lpad((n[2] % 10000).cast("string"), 4, "0"))).otherwise(
-        F.concat(F.substring(canon, 1, 2), F.substr(stream, F.lit(3)))
-    )
-    body = F.concat(F.substring(canon, 1, 1), F.substr(stream, F.lit(2), size - 2))
-    check = F.pmod(-_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
-    card = F.concat(body, F.when(_luhn_sum(canon) % 10 == 0, check).otherwise(F.substr(stream, size, F.lit(1))))
-    ip = F.concat_ws(".", F.when(attempt < 3, "10").otherwise((240 + n[3] % 15).cast("string")), *[(1 + x % 254).cast("string") for x in n[:3]])
+def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
+    """The surrogate in canonical form. ``more``: how far the attempt is beyond the usual space."""
+    own = (kind, canon, attempt)
+    n = [_number(key, *own, F.lit(f"part{i}")) for i in range(4)]
+    size, more = F.length(canon), F.greatest(attempt - (USUAL - 1), F.lit(0))
+    stream = _drawn(_TEN, size + more, key, *own)
+    nanp = canon.rlike("^1[0-9]{10}$")
+    exchange = F.when(attempt < USUAL, "555").otherwise((200 + n[3] % 800).cast("string"))
+    longer = _drawn(_TEN, attempt - 7, key, *own)
+    national = F.concat(F.lit("1"), (2 + n[0] % 8).cast("string"), F.lpad((n[1] % 100).cast("string"), 2, "0"), exchange, F.lpad((n[2] % 10000).cast("string"), 4, "0"), longer)
+    begun = F.when(canon.startswith("+"), 3).otherwise(1)  # the sign and two digits of the country code, or one digit
+    phone = F.when(nanp, national).otherwise(F.concat(F.substr(canon, F.lit(1), begun), F.substr(stream, begun + 1)))
+    body = F.concat(F.substring(canon, 1, 1), F.substr(stream, F.lit(2), size - 2), longer)
+    card = F.concat(body, F.pmod(-_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
+    full6 = F.concat(F.lit("fd"), F.regexp_replace(_drawn(_HEX, F.lit(30), key, *own), "(?<=^..|^..(?:.{4}){1,6})(?=.)", ":"))
+    ip = F.when(attempt >= 8, full6).otherwise(F.concat_ws(".", F.when(attempt < USUAL, "10").otherwise((240 + n[3] % 15).cast("string")), *[(1 + x % 254).cast("string") for x in n[:3]]))
+    ip6 = F.when(attempt >= USUAL, full6).otherwise(_same_classes(canon, key, *own, hexes=F.lit(True)))
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     tail = F.substring_index(domain, ".", -1)
     head = F.substr(domain, F.lit(1), F.length(domain) - F.length(tail))
-    email = F.concat(_same_classes(local, key, kind, canon, attempt), F.lit("@"), _same_classes(head, key, F.lit("domain"), domain), tail)
-    # Where many people share a family name, later attempts take double and triple given
-    # names, then spelt ones that grow with each attempt.
-    code = F.split(F.substring_index(canon, ":", 1), "-")
-    name = F.split(F.substring_index(canon, ":", -1), " ")
-    family = F.element_at(name, -1)
-    script = F.get(code, F.lit(0))
-
-    def spelled(count: Column, *parts: Column) -> Column:
+    email = F.concat(_same_classes(local, key, *own), _drawn(_SMALL, more, key, *own), F.lit("@"), _same_classes(head, key, F.lit("domain"), domain), tail)
+    bank = F.concat(_same_classes(F.substr(canon, F.lit(5)), key, *own, hexes=F.lit(False)), longer)
+    check = F.lpad((98 - _mod97(F.concat(bank, F.substring(canon, 1, 2), F.lit("00")))).cast("string"), 2, "0")
+    iban = F.concat(F.substring(canon, 1, 2), check, bank)
+    extra = F.when(_is_hex(canon), _drawn(_HEX, more, key, *own)).otherwise(_drawn(_SMALL, more, key, *own))
+    code = F.substring_index(canon, ":", 1)
+    script = F.substring_index(code, "-", 1)
+
+    def spelled(count: Column) -> Column:
         """A name of so many syllables in the script of the mention."""
 
         def of(syllables: list[str]) -> Column:
-            return F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), count), lambda i: _pick(syllables, _number(key, *parts, i))), ""))
+            return F.array_join(F.transform(F.sequence(F.lit(1), count), lambda i: _pick(syllables, _number(key, *own, i))), "")
 
         return F.when(script == "cyrillic", of(SYLLABLES["cyrillic"])).when(script == "greek", of(SYLLABLES["greek"])).otherwise(of(SYLLABLES["latin"]))
 
-    surnames = spelled(SYLLABLES_EACH + F.when(F.size(name) == 1, attempt).otherwise(F.lit(0)), F.lit("family"), F.lower(family))
-    given = F.lit("")
+    listed, ending = F.lit(""), F.lit("")
     for option, names in GIVEN.items():
-        more = [F.when(attempt >= least, F.concat(F.lit("-"), _pick(names, x))).otherwise(F.lit("")) for least, x in ((3, n[1]), (8, n[2]))]
-        given = F.when(F.substring_index(canon, ":", 1) == option, F.concat(_pick(names, n[0]), *more)).otherwise(given)
-    spelt = F.when(attempt >= 12, F.concat(F.lit("-"), spelled((attempt / 4).cast("int"), F.lit("given"), canon, attempt))).otherwise(F.lit(""))
-    given = F.concat(given, spelt)
-    person = F.concat(F.substring_index(canon, ":", 1), F.lit(":"), F.when(F.size(name) > 1, F.concat(given, F.lit(" "))).otherwise(F.lit("")), surnames)
+        second = F.when(attempt > 0, F.concat(F.lit("-"), _pick(names, n[1]))).otherwise("")
+        listed = F.when(code == option, F.concat(_pick(names, n[0]), second)).otherwise(listed)
+        ending = F.when(code == option, ENDINGS[option]).otherwise(ending)
+    initials = F.regexp_replace(_drawn(_SMALL.upper(), 1 + (attempt / USUAL).cast("int"), key, *own), "(?<=.)(?=.)", ". ")
+    given = F.when(canon.endswith("."), F.concat(initials, F.lit("."))).when(attempt < USUAL, listed).otherwise(F.initcap(F.concat(spelled(attempt), ending)))
     return (
         F.when(kind == "phone", phone)
         .when(kind == "card", card)
-        .when(kind == "ssn", F.concat(F.lit("9"), F.substr(stream, F.lit(2))))
+        .when(kind == "ssn", F.concat(F.lit("9"), F.substr(stream, F.lit(2), F.lit(8)), longer))
         .when(kind == "ip", ip)
+        .when(kind == "ip6", ip6)
         .when(kind == "email", email)
-        .when(kind == "iban", F.concat(F.substring(canon, 1, 2), _same_classes(F.substr(canon, F.lit(3)), key, kind, canon, attempt)))
-        .when(kind == "person", person)
-        .otherwise(_same_classes(canon, key, kind, canon, attempt))
+        .when(kind == "iban", iban)
+        .when(kind == "family", F.initcap(spelled(SYLLABLES_EACH + attempt)))
+        .when(kind == "given", given)
+        .otherwise(F.concat(_same_classes(canon, key, *own), extra))
     )
 
 
-def written(kind: Column, entity: Column, made: Column) -> Column:
-    """The surrogate in the format of the mention: its separators, its case, its title or key word."""
+def written(kind: Column, entity: Column, made: Column, given: Column) -> Column:
+    """The surrogate in the format of the mention: its separators, its case, its title or key word.
+
+    What a surrogate has more than the mention has places for stands at the end.
+    """
     plain = r"[^0-9A-Za-z]"
-    spread = _each(entity, lambda c, i: F.when(c.rlike(plain), c).otherwise(F.substr(made, F.length(F.regexp_replace(F.substr(entity, F.lit(1), i + 1), plain, "")), F.lit(1))))
+    national = (kind == "phone") & made.startswith("1") & (F.length(_digits(entity)) == 10) & ~entity.startswith("+")
+    put = F.when(national, F.substr(made, F.lit(2))).when(kind == "phone", _digits(made)).otherwise(made)
+    places = F.length(F.regexp_replace(entity, plain, ""))
+    spread = _each(entity, lambda c, i: F.when(c.rlike(plain), c).otherwise(F.substr(put, F.length(F.regexp_replace(F.substr(entity, F.lit(1), i + 1), plain, "")), F.lit(1))))
     head = F.regexp_extract(entity, "^" + _SECRET_HEAD, 0)
     title = F.regexp_extract(entity, rf"^{_TITLE}\.?\s", 0)
+    name = F.substr(entity, F.length(title) + 1)
+    loud = (name == F.upper(name)) & (F.length(name) > 2)
+    said = F.concat(F.coalesce(F.concat(given, F.lit(" ")), F.lit("")), made)
     return (
-        F.when(kind.isin("phone", "card", "ssn", "iban"), spread)
+        F.when(kind.isin("phone", "card", "ssn", "iban"), F.concat(spread, F.substr(put, places + 1)))
         .when(kind == "secret", F.concat(head, made))
-        .when(kind == "person", F.concat(title, F.substring_index(made, ":", -1)))
-        .when((kind == "email") & (entity == F.upper(entity)), F.upper(made))
+        .when(kind.isin("person", "name"), F.concat(title, F.when(loud, F.upper(said)).otherwise(said)))
+        .when(kind.isin("email", "ip6") & (entity == F.upper(entity)), F.upper(made))
         .otherwise(made)
     )
 
 
-def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
+def _space(kind: Column) -> Column:
+    """Given and family names share one space, and no surrogate of it is a real name of either kind."""
+    return F.when(kind.isin("given", "family"), "name").otherwise(kind)
+
+
+def assign(entities: DataFrame, key: str) -> DataFrame:
     """Distinct ``entities`` (kind, canon) -> (kind, canon, made) without clashes.
 
     Of entities that clash the least keeps its surrogate; no surrogate is an entity of its type.
+    The others try again until none is left: each attempt beyond the usual ones has a larger space.
     """
-    current = entities.select("kind", "canon", F.lit(0).alias("attempt"))
-    real = entities.select("kind", F.col("canon").alias("made"), F.lit(True).alias("is_real"))
-    for _ in range(MOST_ATTEMPTS):
-        current = materialize(current.select("kind", "canon", "attempt", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key).alias("made")), "surrogates")
-        first = current.groupBy("kind", "made").agg(F.min("canon").alias("keeper"), F.count("*").alias("n"))
-        taken = first.where("n > 1").unionByName(first.join(real, ["kind", "made"]).select("kind", "made", F.lit(None).cast("string").alias("keeper"), "n"))
-        taken = materialize(taken.groupBy("kind", "made").agg(F.when(F.count("keeper") == F.count("*"), F.min("keeper")).alias("keeper")), "clashes")
-        if taken.isEmpty():
-            return current.select("kind", "canon", "made")
-        again = taken.select("kind", "made", "keeper", F.lit(1).alias("clash"))
-        moved = current.join(again, ["kind", "made"], "left")
-        loses = F.col("clash").isNotNull() & (F.col("keeper").isNull() | (F.col("keeper") != F.col("canon")))
-        current = moved.select("kind", "canon", F.when(loses, F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"))
-    raise RuntimeError("surrogates still clash; the key space of a type is too small for its entities")
-
-
-def replace_entities(docs: DataFrame, key: str = KEY, *, details: bool = False) -> DataFrame:
+    real = F.lower(F.when(F.col("kind").isin("given", "family"), F.substring_index("canon", ":", -1)).otherwise(F.col("canon")))
+    taken = entities.select(_space(F.col("kind")).alias("space"), real.alias("form"))
+    pending, settled, attempt = entities.select("kind", "canon"), None, 0
+    while True:
+        tried = pending.select("kind", "canon", surrogate(F.col("kind"), F.col("canon"), F.lit(attempt), key).alias("made"))
+        tried = materialize(tried.select("*", _space(F.col("kind")).alias("space"), F.lower("made").alias("form")), "surrogates")
+        free = tried.join(taken.distinct(), ["space", "form"], "left_anti")
+        won = free.groupBy("space", "form").agg(F.min(F.struct("kind", "canon", "made")).alias("one"))
+        won = materialize(won.select("one.*", "space", "form"), "assigned")
+        settled = won if settled is None else settled.unionAll(won)
+        pending = materialize(tried.join(won, ["kind", "canon"], "left_anti").select("kind", "canon"), "clashes")
+        if pending.isEmpty():
+            return settled.select("kind", "canon", "made")
+        taken = taken.unionAll(won.select("space", "form"))
+        attempt += 1
+
+
+def _mentions(hits: DataFrame) -> DataFrame:
+    """``hits`` (id, found, people) -> id, at, entity, kind, and up to two entities: (k1, c1) and a given name c2."""
+    rows = hits.select("id", "people", F.posexplode("found").alias("at", "entity"))
+    rows = rows.select("id", "at", "entity", "people", type_of(F.col("entity")).alias("kind"))
+    entity, kind = F.col("entity"), F.col("kind")
+
+    def known(test) -> Column:
+        return F.get(F.filter("people", test), F.lit(0))
+
+    said, none = F.lower(entity), F.lit(None).cast("string")
+    full = known(lambda p: F.lower(F.concat(p["given"], F.lit(" "), p["family"])) == said)
+    bare = F.coalesce(full, known(lambda p: F.lower(p["family"]) == said).withField("given", none), known(lambda p: F.lower(p["given"]) == said).withField("family", none))
+    rows = rows.withColumn("who", F.when(kind == "person", person(entity)).when(kind == "name", bare)).drop("people")
+    given = F.concat(F.col("who.code"), F.lit(":"), F.col("who.given"))
+    family = F.concat(F.col("who.script"), F.lit(":"), F.lower("who.family"))
+    named = F.col("who").isNotNull()
+    return rows.select(
+        "id", "at", "entity", "kind",
+        F.when(named, F.when(family.isNotNull(), "family").otherwise("given")).otherwise(kind).alias("k1"),
+        F.when(named, F.coalesce(family, given)).otherwise(canonical(kind, entity)).alias("c1"),
+        F.when(named & family.isNotNull(), given).alias("c2"),
+    )
+
+
+def replace_entities(docs: DataFrame, key: str, *, details: bool = False) -> DataFrame:
     """``docs`` with every detected entity of ``text`` replaced; all other columns and rows stay.
 
-    Null texts stay null and empty ones empty. Repeated rows get the same replacements. With
-    ``details``, n_entities (int) and kinds (comma-joined, sorted) are added. An empty table gives
-    no rows. Other columns may have any name.
+    ``key`` is the caller's secret: with another key, all surrogates differ. A person mentioned with
+    a title is also found without it in the same text, by full, family or given name as it is
+    written there or in capitals. Null texts
+    stay null and empty ones empty; very long texts are whole; of ties the least entity keeps its
+    surrogate. Repeated rows get the same replacements. With ``details``, n_entities (int) and kinds
+    (comma-joined, sorted) are added. An empty table gives no rows. Other columns may have any name.
     """
     columns = docs.columns
-    found = F.regexp_extract_all(text_or_empty(), F.lit(ENTITY), F.lit(0))
     row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc")
-    clean = docs.where(~may_hold(text_or_empty()) | ~text_or_empty().rlike(ENTITY)).select(row)
-    hits = docs.where(may_hold(text_or_empty()) & text_or_empty().rlike(ENTITY)).select(row, found.alias("found"))
-    hits = materialize(hits.select(F.monotonically_increasing_id().alias("id"), "doc", "found"), "entity-docs")
-    mentions = hits.select("id", F.posexplode("found").alias("at", "entity"))
-    mentions = mentions.select("id", "at", "entity", type_of(F.col("entity")).alias("kind"))
-    mentions = materialize(mentions.select("*", canonical(F.col("kind"), F.col("entity")).alias("canon")), "mentions")
-    made = assign(mentions.select("kind", "canon").distinct(), key)
-    put = mentions.join(made, ["kind", "canon"]).select("id", "at", "kind", written(F.col("kind"), F.col("entity"), F.col("made")).alias("put"))
-    by_doc = put.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "put"))).alias("puts"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
-    pieces = F.zip_with(F.split("doc.text", ENTITY, -1), "puts.put", lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))))
-    text = F.array_join(pieces, "")
-    changed = hits.join(by_doc, "id").select(F.col("doc").withField("text", text).alias("doc"), F.size("found").alias("n_entities"), "kinds")
-    clean = clean.select("doc", F.lit(0).alias("n_entities"), F.lit("").alias("kinds"))
-    both = changed.unionByName(clean)
+    holds = may_hold(text_or_empty()) & text_or_empty().rlike(ENTITY)
+    clean = docs.where(~holds).select(row)
+    titled = F.filter(F.regexp_extract_all(text_or_empty(), F.lit(ENTITY), F.lit(0)), lambda e: e.rlike(f"^(?:{_PERSON})$"))
+    hits = docs.where(holds).select(row, F.array_distinct(F.transform(F.array_distinct(titled), person)).alias("people"))
+    full = F.transform(F.filter("people", lambda p: p["given"].isNotNull()), lambda p: F.concat(p["given"], F.lit(" "), p["family"]))
+    short = F.concat(F.transform("people", lambda p: p["family"]), F.transform(F.filter("people", lambda p: p["given"].isNotNull() & ~p["given"].contains(".")), lambda p: p["given"]))
+    names = F.concat(full, short)
+    quoted = F.array_join(F.transform(F.array_distinct(F.concat(names, F.transform(names, F.upper))), lambda x: F.concat(F.lit("\\Q"), x, F.lit("\\E"))), "|")
+    pattern = F.when(F.size("people") == 0, F.lit(ENTITY)).otherwise(F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{N}])(?=\p{Lu})(?:"), quoted, F.lit(r")(?![\p{L}\p{N}])")))
+    hits = hits.select(F.monotonically_increasing_id().alias("id"), "doc", "people", pattern.alias("pattern"))
+    hits = materialize(hits.select("id", "doc", "people", "pattern", F.regexp_extract_all("doc.text", F.col("pattern"), F.lit(0)).alias("found")), "entity-docs")
+    mentions = materialize(_mentions(hits), "mentions")
+    real = mentions.where("kind IS NOT NULL")
+    made = assign(real.select(F.col("k1").alias("kind"), F.col("c1").alias("canon")).unionAll(real.where("c2 IS NOT NULL").select(F.lit("given"), "c2")).distinct(), key)
+    put = real.join(made.toDF("k1", "c1", "made"), ["k1", "c1"])
+    first = made.where("kind = 'given'").select(F.col("canon").alias("c2"), F.col("made").alias("given"))
+    put = put.where("c2 IS NULL").withColumn("given", F.lit(None).cast("string")).unionByName(put.where("c2 IS NOT NULL").join(first, "c2"))
+    put = put.select("id", "at", F.when(F.col("kind") == "name", "person").otherwise(F.col("kind")).alias("kind"), written(F.col("kind"), F.col("entity"), F.col("made"), F.col("given")).alias("put"))
+    same = mentions.where("kind IS NULL").select("id", "at", F.lit(None).cast("string").alias("kind"), F.col("entity").alias("put"))
+    by_doc = put.unionAll(same).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "put"))).alias("puts"), F.count("kind").cast("int").alias("n_entities"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+    pieces = F.zip_with(F.split("doc.text", F.col("pattern"), -1), "puts.put", lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))))
+    changed = hits.join(by_doc, "id").select(F.col("doc").withField("text", F.array_join(pieces, "")).alias("doc"), "n_entities", "kinds")
+    both = changed.unionByName(clean.select("doc", F.lit(0).alias("n_entities"), F.lit("").alias("kinds")))
     return both.select(*[F.col("doc").getField(c).alias(c) for c in columns], *(["n_entities", "kinds"] if details else []))
 
 
 def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_entities(read(spark, sf_dir, "documents").select("doc_id", "text"), details=True)
+    return replace_entities(read(spark, sf_dir, "documents").select("doc_id", "text"), TEST_KEY, details=True)
