@@ -1,8 +1,9 @@
 """Quality rules: frequency of lines across the documents of a host, and simple text counts.
 
 Every expression is a built-in: texts are split and hashed inside each row, and only line hashes
-are shuffled, counted before they move. A line in more documents of its host than the host's limit
-is removed, and a document that loses most of its words is rejected.
+are shuffled, counted before they move. A line in more documents of its host than a limit is
+removed, and a document that loses most of its words is rejected. The limit is a number of documents
+that holds for hosts of any size; on small hosts, which never reach it, a share of the host counts.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from .common import materialize, read, text_or_empty
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-#: A line is above the limit of its host in more than MAX_SHARE of its documents and in more than MIN_DOCS.
-MAX_SHARE, MIN_DOCS = 0.10, 20
+#: A line is above the limits in more than MAX_DOCS distinct documents of its host, or in more than
+#: MAX_SHARE of them and more than MIN_DOCS.
+MAX_DOCS, MAX_SHARE, MIN_DOCS = 20, 0.05, 3
 #: A document with removed lines is depleted when less than this share of its words is left.
 MIN_LEFT = 0.30
 #: Frequent lines up to so many rows (24 bytes each) are broadcast; beyond it they are joined by shuffle.
@@ -82,23 +84,40 @@ def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("n_repeat_words", F.coalesce(spread, F.lit(0)).cast("long")).drop("_starts")
 
 
-def frequent_lines(lines: DataFrame, hosts: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``lines`` (host, keys: the distinct line hashes of a document) -> host, key of lines above limits.
+def _by_document(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, host, keys: distinct line hashes) -> (host, key), once for each document that has the line.
 
-    ``hosts`` (host, n_docs) sets the limits. A null host is a host of its own.
+    Only documents of several rows are put together; the others' lines are counted where they are.
     """
-    counted = lines.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n"))
-    often = counted.where(F.col("n") > min_docs).withColumnRenamed("host", "_host")
+    repeated = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again"))
+    repeated = materialize(repeated, "repeated-documents")
+    if repeated.isEmpty():
+        return rows.select("host", F.explode("keys").alias("key"))
+    if repeated.count() <= MOST_BROADCAST:
+        repeated = F.broadcast(repeated)
+    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    single = rows.join(repeated, same, "left_anti").select("host", F.explode("keys").alias("key"))
+    several = rows.join(repeated, same, "left_semi").select("host", "doc_id", F.explode("keys").alias("key")).distinct()
+    return single.unionAll(several.select("host", "key"))
+
+
+def frequent_lines(lines: DataFrame, hosts: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``lines`` (host, key: a line hash, once for each distinct document) -> host, key of lines above limits.
+
+    ``hosts`` (host, n_docs) sets the share. A null host is a host of its own.
+    """
+    counted = lines.groupBy("host", "key").agg(F.count("*").alias("n"))
+    often = counted.where(F.col("n") > min(max_docs, min_docs)).withColumnRenamed("host", "_host")
     met = often.join(hosts, F.col("_host").eqNullSafe(F.col("host")))
-    return met.where(F.col("n") > max_share * F.col("n_docs")).select("host", "key")
+    return met.where((F.col("n") > max_docs) | ((F.col("n") > max_share * F.col("n_docs")) & (F.col("n") > min_docs))).select("host", "key")
 
 
-def filter_lines(docs: DataFrame, host: str = "source", *, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, with_text: bool = False) -> DataFrame:
+def filter_lines(docs: DataFrame, host: str = "source", *, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, with_text: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, host): counts, base_failed, removed lines, kept.
 
-    Each row counts as one document for its lines, so repeated rows raise the counts. Null text has
-    no words and fails the base rules; a null host is a host of its own; a blank line is never
-    frequent. ``with_text`` adds the text without its removed lines. Empty tables give no rows.
+    Rows with one doc_id are one document, and so are all rows without an id: a line counts once for
+    it, and each row keeps its own result. Null text has no words and fails the base rules; a null
+    host is a host of its own; a blank line is never frequent. A line at a limit, not above it, stays. ``with_text`` adds the text without its removed lines. Empty tables give no rows.
     """
     picked = docs.select("doc_id", F.col(host).alias("host"), "text")
     counted = text_counts(picked).withColumn("_lines", F.filter(F.split(text_or_empty(), "\n", -1), lambda line: line.rlike("[^\\x20\\x09-\\x0D]")))
@@ -115,8 +134,9 @@ def filter_lines(docs: DataFrame, host: str = "source", *, max_share: float = MA
         F.transform("_lines", lambda line: F.struct(F.xxhash64(line_key(line)).alias("key"), F.size(words_of(line)).alias("words"))).alias("lines"),
     )
     base = materialize(with_lines, "line-counts")
-    hosts = base.groupBy("host").agg(F.count("*").alias("n_docs"))
-    often = materialize(frequent_lines(base.select("host", F.array_distinct("lines.key").alias("keys")), hosts, max_share, min_docs), "frequent-lines")
+    hosts = base.select("host", "doc_id").distinct().groupBy("host").agg(F.count("*").alias("n_docs"))
+    lines = _by_document(base.select("doc_id", "host", F.array_distinct("lines.key").alias("keys")))
+    often = materialize(frequent_lines(lines, hosts, max_docs, max_share, min_docs), "frequent-lines")
     often = often.select(F.xxhash64("host", F.isnull("host"), "key").alias("host_key"))
     if often.count() <= MOST_BROADCAST:
         often = F.broadcast(often)
@@ -150,32 +170,32 @@ def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = r"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, coalesce(doc_id, -1) AS doc, doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (
-  SELECT doc_id, source, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+  SELECT r, doc, doc_id, source, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM d),
 win AS (
-  SELECT doc_id, u.p AS p, array_to_string(ws[u.p:u.p + 7], ' ') AS k
+  SELECT r, u.p AS p, array_to_string(ws[u.p:u.p + 7], ' ') AS k
   FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 6)) AS p) u WHERE len(ws) >= 8),
-twice AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1),
-rep AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + 8)) AS q FROM twice) GROUP BY doc_id),
+twice AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY r, k) AS c FROM win) WHERE c > 1),
+rep AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + 8)) AS q FROM twice) GROUP BY r),
 line AS (
-  SELECT doc_id, source, lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'))) AS k,
+  SELECT r, doc, source, lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'))) AS k,
          len(list_filter(string_split_regex(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n
-  FROM (SELECT doc_id, source, unnest(ls) AS l FROM w)),
-host AS (SELECT source, count(*) AS n_docs FROM documents GROUP BY source),
+  FROM (SELECT r, doc, source, unnest(ls) AS l FROM w)),
+host AS (SELECT source, count(DISTINCT doc) AS n_docs FROM d GROUP BY source),
 often AS (
-  SELECT f.source, f.k FROM (SELECT source, k, count(DISTINCT doc_id) AS n FROM line GROUP BY source, k) f
-  JOIN host h ON f.source IS NOT DISTINCT FROM h.source WHERE f.n > 20 AND f.n > 0.1 * h.n_docs),
+  SELECT f.source, f.k FROM (SELECT source, k, count(DISTINCT doc) AS n FROM line GROUP BY source, k) f
+  JOIN host h ON f.source IS NOT DISTINCT FROM h.source WHERE f.n > 20 OR (f.n > 3 AND f.n > 0.05 * h.n_docs)),
 gone AS (
-  SELECT l.doc_id, count(*) AS ln, sum(l.n) AS wn FROM line l JOIN often o ON l.k = o.k AND l.source IS NOT DISTINCT FROM o.source GROUP BY l.doc_id),
+  SELECT l.r, count(*) AS ln, sum(l.n) AS wn FROM line l JOIN often o ON l.k = o.k AND l.source IS NOT DISTINCT FROM o.source GROUP BY l.r),
 base AS (
   SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
          (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
          coalesce(gone.ln, 0)::BIGINT AS removed_lines, coalesce(gone.wn, 0)::BIGINT AS removed_words
-  FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id LEFT JOIN gone ON gone.doc_id = w.doc_id),
+  FROM w LEFT JOIN rep ON rep.r = w.r LEFT JOIN gone ON gone.r = w.r),
 failed AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM base)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        (NOT base_failed AND NOT (removed_words > 0 AND n_words - removed_words < 0.3 * n_words)) AS kept, removed_lines, removed_words
