@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from talata.llm import decontaminate, langid, packing, shingles, surrogates
 from talata.llm.common import materialize, read
 
+#: The session's setting with the secret that surrogates are made with; without it the key of the tests.
+KEY_SETTING = "spark.talata.surrogates.key"
+
 
 def tokenizer_path() -> str:
     import public_tokenizers
@@ -21,7 +24,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: 0.8 or more of their five-word shingles in common."""
+    """Keeps one document of each group of near-duplicates: 0.8 or more of their five-word shingles in common.
+
+    SimHash and BK-trees find the candidates, which are then compared exactly.
+    """
     return shingles.keep_one_similar(docs)
 
 
@@ -32,7 +38,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data and secrets by surrogates; n_chars follows the new text."""
-    out = surrogates.replace_entities(docs)
+    out = surrogates.replace_entities(docs, spark.conf.get(KEY_SETTING, surrogates.TEST_KEY))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
