@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .signatures import SIGNATURES
 
 #: Base phrases and labels. Fixed values of the contract.
 BASE = {
@@ -176,6 +177,8 @@ def build_rules() -> list[Rule]:
         add(f"cc-by{parts}", long, 62, 0.8)
     for label, name in (("gpl", r"gnu\s+general\s+public\s+licen[cs]e|\bgnu\s+gpl\b"), ("lgpl", r"gnu\s+(?:lesser|library)\s+general\s+public\s+licen[cs]e"), ("agpl", r"affero\s+general\s+public\s+licen[cs]e"), ("apache", r"\bapache\s+(?:software\s+)?licen[cs]e")):
         add(label, rf"(?:{name})", 50, 0.6)
+    for label, priority, confidence, pattern in SIGNATURES:
+        add(label, pattern, priority, confidence)
     return sorted(rules, key=lambda r: -r.priority)
 
 
@@ -199,14 +202,22 @@ class Scanner:
     def detect(self, lower: str) -> list[tuple[int, int, Rule]]:
         """Kept detections (start, end, rule) of a text whose A-Z are lower-cased, by start."""
         run = set(self.always)
-        for which in {w for _, w in self.gate.iter(lower)} if lower else ():
+        for which in {w for _, w in self.gate.iter(lower)} if lower and len(self.gate) else ():
             run.update(which)
         found = [(m.start(), m.end(), i) for i in sorted(run) for m in self.compiled[i].finditer(lower)]
         found.sort(key=lambda x: (-self.rules[x[2]].priority, -(x[1] - x[0]), x[0], x[2]))
         kept: list[tuple[int, int, int]] = []
+        place = {a: i + 1 for i, a in enumerate(sorted({a for a, _, _ in found}))}
+        furthest = [0] * (len(place) + 1)  # a Fenwick tree: the greatest end of a kept interval that starts here or before
         for a, b, i in found:  # ordered by priority, so a kept one is never less than a later one
-            if not any(x <= a and b <= y for x, y, _ in kept):
+            at, end = place[a], 0
+            while at:
+                end, at = max(end, furthest[at]), at & (at - 1)
+            if end < b:
                 kept.append((a, b, i))
+                at = place[a]
+                while at < len(furthest):
+                    furthest[at], at = max(furthest[at], b), at + (at & -at)
         return [(a, b, self.rules[i]) for a, b, i in sorted(kept)]
 
     def phrases(self, words: bytes) -> tuple[int, int | None, int | None, set[str]]:
@@ -215,9 +226,9 @@ class Scanner:
         padded = b" " + words + b" "
         for phrase, label in self.base.items():
             needle = b" " + phrase + b" "
-            at = padded.find(needle)
+            at, counted, word = padded.find(needle), 0, 0
             while at >= 0:
-                word = padded.count(b" ", 0, at)
+                word, counted = word + padded.count(b" ", counted, at), at
                 n, first, last = n + 1, word if first is None else min(first, word), word if last is None else max(last, word)
                 labels.add(label)
                 at = padded.find(needle, at + 1)
