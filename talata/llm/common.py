@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (single-machine tests) a temporary folder is made and put there.
+    Only where it is unset and the master is local (tests on one machine) a temporary folder is made
+    and put there; a cluster without the setting raises, as its machines would not see the folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="talata-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -41,10 +44,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_table(spark: SparkSession, df_path: str) -> None:
-    """Delete a working table early."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(df_path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+def drop_table(table: DataFrame | None) -> None:
+    """Delete a working table that ``materialize`` made and that nothing reads any more."""
+    if table is None:
+        return
+    jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if "/talata-" in path:
+            hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+            hadoop_path.getFileSystem(conf).delete(hadoop_path, True)
 
 
 def range_partitions(df: DataFrame, bytes_each: int = 512 << 20) -> int:
