@@ -15,16 +15,16 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import materialize, read
 from .langid import held_out
 
 DIM_BITS = 18
 DIM = 1 << DIM_BITS
-SAMPLE_DOCS = 4000  # labelled documents learned from
-SAMPLE_CHARS = 20_000  # of a learned document; scored texts are never cut
+#: Labelled documents learned from, at most: so many, and so many characters of whole texts in all.
+SAMPLE_DOCS, SAMPLE_CHARS = 4000, 32 << 20
 SCALE = 8.0
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.05
@@ -108,18 +108,22 @@ def train(rows: list[tuple[str | None, int]]) -> np.ndarray:
     return model.weights().astype(np.float32)
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str) -> list[tuple[str, int]]:
-    """About SAMPLE_DOCS labelled documents, chosen by the hash of their id.
+def sample(docs: DataFrame, labels: DataFrame, label: str, *, most: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
+    """At most ``most`` labelled documents, chosen by the hash of their id, with their whole texts.
 
-    Rows with a null id or label are left out; of repeated labels of a document, each counts.
+    Rows with a null id or label are left out. A document's repeated labels count as the greatest
+    of them, and its repeated rows as one with the least text. Documents are taken in the order of
+    the hash while their texts have ``chars`` characters in all, so what comes to the driver is
+    bounded whatever the tables hold.
     """
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
-    share = min(1.0, SAMPLE_DOCS / max(1, usable.count()))
-    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    chosen = usable.where(order < share * (1 << 30)).limit(2 * SAMPLE_DOCS)  # so the broadcast is bounded
-    texts = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"), order.alias("o")).join(F.broadcast(chosen), "doc_id")
-    rows = texts.select("o", "doc_id", "label", "text").collect()
-    return [(r.text, r.label) for r in sorted(rows, key=lambda r: (r.o, r.doc_id, r.label, r.text or ""))]
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
+    chosen = usable.select("doc_id", "label", F.xxhash64("doc_id").alias("o")).orderBy("o", "doc_id").limit(most)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `most` rows
+    texts = materialize(texts.groupBy("doc_id", "label", "o").agg(F.min("text").alias("text")), "labelled-sample")
+    taken = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.orderBy("o", "doc_id"))  # over at most `most` rows
+    fits = texts.select("o", "doc_id", taken.alias("taken")).where(F.col("taken") <= chars).select("doc_id")
+    rows = texts.join(F.broadcast(fits), "doc_id").select("o", "doc_id", "label", "text").collect()
+    return [(r.text, r.label) for r in sorted(rows, key=lambda r: (r.o, r.doc_id))]
 
 
 def _score(batches, weights):
@@ -134,7 +138,11 @@ def _score(batches, weights):
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """doc_id and score of each row of ``docs``: null, empty and blank texts get the bias alone."""
+    """doc_id and score of each row of ``docs``, null ids and repeated rows included.
+
+    Null, empty and blank texts get the bias alone; very long texts are scored whole; an empty table
+    gives no rows. Other columns are not read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # DIM + 1 numbers
     return docs.select("doc_id", "text").mapInArrow(partial(_score, weights=shared), "doc_id long, score double")
 
