@@ -12,15 +12,16 @@ import re
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read
+from .common import materialize, read
 
 UNKNOWN = "und"
-SAMPLE_DOCS = 250  # labelled documents learned from, a language
-SAMPLE_CHARS = 20_000  # of a learned document; scored texts are never cut
+#: Documents learned from, a language, at most: so many, and so many characters of whole texts in all.
+SAMPLE_DOCS, SAMPLE_CHARS = 250, 2 << 20
+MOST_LANGS = 200  # the most frequent values of lang; a language needs a compressor in each worker
 DICT_BYTES = 100 << 10
 LEVEL, BLOCK = 5, 3000
 #: A language is rejected as doubtful when its output is not smaller than the next by this share.
@@ -51,23 +52,30 @@ def build_dictionary(texts: list[str], size: int = DICT_BYTES) -> bytes:
     return b" ".join(out)[-size:]
 
 
-def learn(docs: DataFrame) -> dict[str, bytes]:
+def learn(docs: DataFrame, *, most: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, langs: int = MOST_LANGS) -> dict[str, bytes]:
     """Dictionaries by language from ``docs`` (doc_id, text, lang), null langs and texts left out.
 
-    Documents are chosen by the hash of their id, about SAMPLE_DOCS a language, so what is
-    collected is bounded by the number of languages.
+    Of each of the ``langs`` most frequent languages (ties by name) the documents with the least
+    hash of their id are taken, at most ``most``, while their whole texts have ``chars`` characters
+    in all; rows that share an id and a language count as one with the least text. So what comes to
+    the driver is bounded whatever the table holds.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()}
     if not counts:
         return {}
-    share = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(min(1.0, 1.5 * SAMPLE_DOCS / n)))])
+    share = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(min(1.0, 4.0 * most / n)))])
     order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    chosen = known.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), order.alias("o")).where(F.col("o") < share[F.col("lang")] * (1 << 30))
+    likely = known.select("doc_id", "lang", "text", order.alias("o")).where(F.col("o") < F.coalesce(share[F.col("lang")], F.lit(0.0)) * (1 << 30))
+    likely = materialize(likely.groupBy("lang", "doc_id", "o").agg(F.min("text").alias("text")), "language-sample")
+    place = Window.partitionBy("lang").orderBy("o", "doc_id")  # some 4 * `most` rows a language
+    ranked = likely.select("lang", "doc_id", F.row_number().over(place).alias("nth"), F.sum(F.length("text")).over(place).alias("taken"))
+    chosen = ranked.where((F.col("nth") <= most) & (F.col("taken") <= chars)).select("lang", "doc_id")
     texts: dict[str, list] = {}
-    for r in chosen.collect():
+    same = (likely["lang"] == chosen["lang"]) & likely["doc_id"].eqNullSafe(chosen["doc_id"])
+    for r in likely.join(F.broadcast(chosen), same, "left_semi").select("lang", "o", "text").collect():
         texts.setdefault(r.lang, []).append((r.o, r.text))
-    built = {lang: build_dictionary([t for _, t in sorted(x)[:SAMPLE_DOCS]]) for lang, x in texts.items()}
+    built = {lang: build_dictionary([t for _, t in sorted(x)]) for lang, x in texts.items()}
     return {lang: d for lang, d in sorted(built.items()) if d}
 
 
@@ -97,23 +105,28 @@ class Classifier:
         return self.langs[best], score, margin
 
 
-def _classify(batches, dictionaries, at: int):
+FOUND = ["lang_pred", "score", "margin"]
+
+
+def _classify(batches, dictionaries, at: int, kept: list[int]):
     classifier = Classifier(dictionaries.value)
     for batch in batches:
         out = [classifier(t.as_py()) for t in batch.column(at)]
         more = [pa.array([x[i] for x in out], t) for i, t in ((0, pa.string()), (1, pa.float64()), (2, pa.float64()))]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "lang_pred", "score", "margin"])
+        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], *more], [*[batch.schema.names[i] for i in kept], *FOUND])
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
-    """``docs`` with lang_pred, score, margin; docs must not have such columns.
+    """``docs`` with lang_pred, score, margin, which take the place of columns with those names.
 
-    Null texts and texts without a letter get ``und`` with score and margin 0; ties go to the
-    lesser language name. Every other column is passed through. Without dictionaries all is ``und``.
+    Null texts and texts without a letter get ``und`` with score and margin 0; very long texts are
+    read whole; ties go to the lesser language name. Every other column is passed through, and so
+    are null ids and repeated rows; an empty table gives no rows. Without dictionaries all is ``und``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # DICT_BYTES a language
-    schema = T.StructType([*docs.schema, *T.StructType().add("lang_pred", "string").add("score", "double").add("margin", "double")])
-    return docs.mapInArrow(partial(_classify, dictionaries=shared, at=docs.columns.index("text")), schema)
+    kept = [i for i, c in enumerate(docs.columns) if c.lower() not in FOUND]
+    schema = T.StructType([*[docs.schema[i] for i in kept], *T.StructType().add("lang_pred", "string").add("score", "double").add("margin", "double")])
+    return docs.mapInArrow(partial(_classify, dictionaries=shared, at=docs.columns.index("text"), kept=kept), schema)
 
 
 def _accept(batches, dictionaries, at: int, least: float):
