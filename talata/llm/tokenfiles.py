@@ -138,9 +138,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_
 
     Returns the manifest: one row per file with its path, counts, doc_id range and ``start``, the
     ids in all files before it. Null text counts as empty and is written as the end id alone; a null
-    doc_id sorts first; repeated doc_ids are all written, shorter and then lesser texts first; an
-    empty table gives no file. The table is range-partitioned by doc_id once; each task writes its
-    own range, so no file or order is made in one place.
+    doc_id sorts first; repeated doc_ids are all written, shorter texts first and equal ones next to
+    each other; an empty table gives no file. The table is range-partitioned once, by doc_id and then
+    by text length, text hash and row, so rows of one id or without an id are split like any others;
+    each task writes its own range, so no file or order is made in one place.
     """
     spark = docs.sparkSession
     width = 2 if word_bpe(tokenizer_path).vocab_size <= 1 << 16 and end_id < 1 << 16 else 4
@@ -153,8 +154,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_
         f.write(raw)
     shared = spark.sparkContext.broadcast(raw)  # DICT_BYTES at most
     # Left to the session, small partitions are merged; a number is given only where the session's is too few.
-    ranged = docs.repartitionByRange(parts, "doc_id") if parts > usual else docs.repartitionByRange("doc_id")
-    ordered = ranged.sortWithinPartitions("doc_id", F.length("text"), "text")
+    order = ["doc_id", "size", "hash", "row"]
+    docs = docs.withColumns({"size": F.coalesce(F.length("text"), F.lit(0)), "hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ranged = docs.repartitionByRange(parts, *order) if parts > usual else docs.repartitionByRange(*order)
+    ordered = ranged.sortWithinPartitions(*order).select("doc_id", "text")
     write = partial(_write, path=tokenizer_path, folder=folder, dictionary=shared, width=width, end_id=end_id, file_bytes=file_bytes)
     manifest = materialize(ordered.mapInArrow(write, MANIFEST), "token-manifest")
     before = Window.orderBy("task", "part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
@@ -246,14 +249,20 @@ def read_token_files(manifest: DataFrame, folder: str, *, with_ids: bool = False
     return spread.mapInArrow(partial(_read, folder=folder, with_ids=with_ids), fields)
 
 
-def read_document(manifest: DataFrame, folder: str, doc_id: int) -> np.ndarray | None:
-    """One document's ids by the offset index, or None: only its file's index and frame are read."""
-    for row in manifest.where((F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id)).select("path").collect():
+def read_documents(manifest: DataFrame, folder: str, doc_id: int) -> list[np.ndarray]:
+    """The ids of all documents with this id by the offset index: only its files' indexes and its frames are read."""
+    out = []
+    within = manifest.where((F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id))
+    for row in within.orderBy("task", "part").select("path").collect():  # one file, or those that this id fills
         file = TokenFile(folder, row.path, {})
-        i = int(np.searchsorted(file.docs, doc_id))
-        if i < len(file.docs) and file.docs[i] == doc_id:
-            return file.ids(i)
-    return None
+        first, end = (int(np.searchsorted(file.docs, doc_id, side)) for side in ("left", "right"))
+        out += [file.ids(i) for i in range(first, end)]
+    return out
+
+
+def read_document(manifest: DataFrame, folder: str, doc_id: int) -> np.ndarray | None:
+    """One document's ids, the first of several with its id, or None."""
+    return next(iter(read_documents(manifest, folder, doc_id)), None)
 
 
 def op9_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
