@@ -8,6 +8,7 @@ length and its number among the pieces of that length. No piece moves to the dri
 
 from __future__ import annotations
 
+import logging
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -27,8 +28,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Nodes of the search beyond the first descent, and steps of one enumeration of fillings.
 NODE_BUDGET = 6000
-FILL_STEPS = 300
-FILL_KEEP = 24
+#: Bounds of one enumeration of fillings: steps, lengths tried at each level, fillings without waste, fillings kept.
+FILL_STEPS, FILL_TRIED, FILL_EXACT, FILL_KEEP = 300, 12, 6, 24
 
 Pattern = tuple[tuple[int, int], ...]  # (length, copies), lengths descending
 
@@ -98,6 +99,8 @@ class _Search:
         self.best_bins = sum(m for _, m in self.best)
         self.floor = lower_bound(self.counts, capacity)
         self.nodes = 0
+        self.cut = False  # whether a bound kept any choice from being tried
+        self.proven = self.best_bins <= self.floor
 
     def take(self, pattern: Pattern, times: int) -> None:
         for length, copies in pattern:
@@ -129,13 +132,34 @@ class _Search:
                     j += 1
             return False
 
+        def add(more: list[int], waste: int) -> None:
+            key = tuple(sorted([x for x, c in have.items() for _ in range(c)] + more, reverse=True))
+            if key not in found:
+                found[key] = waste
+                exact[0] += not waste
+
+        def greedily(residual: int, most: int) -> None:
+            """What the steps leave unfinished is completed with the longest pieces that fit."""
+            more: list[int] = []
+            for j in range(bisect_right(self.lengths, min(residual, most)) - 1, -1, -1):
+                length = self.lengths[j]
+                copies = min(residual // length, int(self.counts[length]) - have.get(length, 0))
+                more += [length] * copies
+                residual -= copies * length
+            add(more, residual)
+
         def fill(residual: int, most: int) -> None:
             steps[0] -= 1
             j = bisect_right(self.lengths, min(residual, most)) - 1
             tried = 0
-            while j >= 0 and tried < 12 and steps[0] > 0 and exact[0] < 6:
+            while j >= 0:
                 length = self.lengths[j]
                 if self.counts[length] > have.get(length, 0):
+                    if tried == FILL_TRIED or steps[0] <= 0 or exact[0] >= FILL_EXACT:
+                        self.cut = True
+                        if not tried:
+                            greedily(residual, most)
+                        return
                     have[length] = have.get(length, 0) + 1
                     fill(residual - length, length)
                     have[length] -= 1
@@ -144,19 +168,10 @@ class _Search:
                     tried += 1
                 j -= 1
             if not tried and (not residual or not dominated(residual)):
-                key = tuple(sorted((x for x, c in have.items() for _ in range(c)), reverse=True))
-                if key not in found:
-                    found[key] = residual
-                    exact[0] += not residual
+                add([], residual)
 
         fill(self.capacity - largest, largest)
-        if not found:  # the steps ended before a leaf: complete greedily
-            residual, key = self.capacity - largest, [largest]
-            for length in reversed(self.lengths):
-                copies = min(residual // length, int(self.counts[length]) - (length == largest))
-                key += [length] * copies
-                residual -= copies * length
-            found[tuple(key)] = residual
+        self.cut |= len(found) > FILL_KEEP
         out = sorted(found, key=lambda k: (found[k], [-x for x in k]))[:FILL_KEEP]
         return [tuple((x, k.count(x)) for x in dict.fromkeys(k)) for k in out]
 
@@ -167,7 +182,10 @@ class _Search:
         used = 0
         stack = [self.choices()]
         while stack:
-            if self.best_bins <= self.floor or (self.nodes > self.budget + 4 * self.capacity):
+            if self.best_bins <= self.floor:
+                break
+            if self.nodes > self.budget + 4 * self.capacity:
+                self.cut = True
                 break
             pattern, times = next(stack[-1], (None, 0))
             if pattern is None:
@@ -190,6 +208,7 @@ class _Search:
             path.pop()
             self.take(pattern, -times)
             used -= times
+        self.proven = self.best_bins <= self.floor or not self.cut
         return self.best
 
     def choices(self) -> Iterator[tuple[Pattern, int]]:
@@ -201,14 +220,23 @@ class _Search:
                 yield pattern, 1
 
 
-def pack_counts(counts: dict[int, int], capacity: int, budget: int = NODE_BUDGET) -> list[tuple[Pattern, int]]:
-    """A plan for ``counts`` pieces of each length: (pattern, number of bins with it).
+def solve(counts: dict[int, int], capacity: int, budget: int = NODE_BUDGET) -> tuple[list[tuple[Pattern, int]], bool]:
+    """A plan for ``counts`` pieces of each length, (pattern, number of bins with it), and whether it is proven.
 
-    The search is exact where it ends within its budget or meets the lower bound; otherwise it
-    returns the best incumbent.
+    It is proven to have as few bins as can be where it meets the lower bound, or where the search
+    ended without any bound of the enumeration or the budget having kept a choice from being tried.
+    Otherwise it is the best incumbent; nothing is ever dropped.
     """
     counts = {int(x): int(n) for x, n in counts.items() if n}
-    return _Search(counts, capacity, budget).run() if counts else []
+    if not counts:
+        return [], True
+    search = _Search(counts, capacity, budget)
+    return search.run(), search.proven
+
+
+def pack_counts(counts: dict[int, int], capacity: int, budget: int = NODE_BUDGET) -> list[tuple[Pattern, int]]:
+    """The plan of ``solve``."""
+    return solve(counts, capacity, budget)[0]
 
 
 def _places(plan: list[tuple[Pattern, int]]) -> dict[str, np.ndarray]:
@@ -281,6 +309,7 @@ def pack_documents(
     padded or dropped. Null text counts as empty and gives one piece with the end id alone; a null
     doc_id stays null; repeated rows are packed each; an empty table gives no rows. Equal lengths
     are interchangeable, so which of two ties comes first does not change the number of sequences.
+    The search is bounded (see ``solve``); a plan that is not proven best is logged as such.
     """
     spark = docs.sparkSession
     fields = "doc_id long, piece int, start long, length long, ids_crc32 long, nth long, task long" + ", ids array<int>" * with_ids
@@ -289,7 +318,10 @@ def pack_documents(
     )
     by_task = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    plan = spark.sparkContext.broadcast(_places(pack_counts(counts, capacity, node_budget)))
+    found, proven = solve(counts, capacity, node_budget)
+    if not proven:
+        logging.getLogger(__name__).warning("packing into %d sequences is not proven to be the fewest", sum(n for _, n in found))
+    plan = spark.sparkContext.broadcast(_places(found))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     first = by_task.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     ranked = pieces.join(first, ["task", "length"]).withColumn("rank", F.col("first") + F.col("nth"))
