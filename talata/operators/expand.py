@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..working import materialize
+
 IDS = T.ArrayType(T.IntegerType())
 
 
@@ -35,9 +37,16 @@ class Tables:
         self.longest = max(map(len, self.ids), default=1)
         self._finder = None
 
+    #: Tokens, expandable tokens and affix versions that are collected and shared with every task, at most.
+    MOST = 2_000_000
+
     @classmethod
     def collect(cls, expansions: DataFrame, vocab: DataFrame, versions: DataFrame | None = None) -> Tables:
-        """The tables on the driver: one row a token."""
+        """The tables on the driver: one row a token. A vocabulary of more than MOST tokens is an error."""
+        vocab, expansions = materialize(vocab.select("token_id", "token"), "vocabulary"), materialize(expansions.select("token_id", "pairs"), "expansions")
+        pairs_each = expansions.agg(F.coalesce(F.sum(F.size("pairs")), F.lit(0))).first()[0]
+        if max(vocab.count(), pairs_each) > cls.MOST:
+            raise ValueError(f"a vocabulary of more than {cls.MOST} tokens or pairs can't be shared with every task")
         pairs = {r.token_id: [(p.left, p.right) for p in r.pairs] for r in expansions.select("token_id", "pairs").collect()}
         tokens = {r.token_id: bytes(r.token) for r in vocab.select("token_id", "token").collect()}
         return cls(pairs, tokens, [r.version for r in versions.select("version").collect()] if versions is not None else [])
@@ -94,6 +103,15 @@ def expand(ids: list[int], tables: Tables, rng: random.Random, share: float = 0.
     return out
 
 
+def expand_batches(spark: SparkSession, batches: DataFrame, tables: Tables, seed: int = 0, share: float = 1.0) -> DataFrame:
+    """``batches`` (batch, ids) of ``ordering.stream_batches``, each expanded on its own: as many tries as ids, for ``share`` 1.
+
+    Concatenated by batch they are the expanded stream. A batch is one row, so a task holds a few.
+    """
+    run = per_row(spark, tables, expand, seed, share=share)
+    return batches.select("batch", run(F.col("batch"), F.col("ids")).alias("ids"))
+
+
 def contract(ids: list[int], tables: Tables, rng: random.Random, share: float = 0.1) -> list[int]:
     """int(n * share) tries at a random neighbouring pair, merged if the pair is a token."""
     out = list(ids)

@@ -2,27 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.seeded import order_key
+from ..working import materialize
+
+
+def _placed(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` in order over range partitions, written once, with ``_part`` and ``_at`` within it.
+
+    As the table is written, numbers made from it do not change when an executor is lost.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    return materialize(ranged, "ordered").withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND((1 << 33) - 1)}).drop("_id")
+
+
+def _before(counts: DataFrame, n: str) -> DataFrame:
+    """(_part, _first): the sum of ``n`` over the partitions before; one row a partition."""
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(counts.select("_part", F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias("_first")))
 
 
 def with_row_index(df: DataFrame, *order: str, name: str = "row_index") -> DataFrame:
     """Rows numbered from 0 in the order of ``order``, without one task for all of them.
 
-    The rows are range-partitioned and sorted once; each partition's first number comes from the
-    partitions' counts, of which there is one row a partition.
+    The rows are range-partitioned, sorted and written once; each partition's first number comes
+    from the partitions' counts, of which there is one row a partition.
     """
-    kept = df.columns
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
-    part = F.shiftright("_id", 33)
-    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    joined = placed.withColumn("_part", part).join(F.broadcast(first), "_part")
-    return joined.select(*[F.col(f"`{c}`") for c in kept], (F.col("_first") + F.col("_id").bitwiseAND((1 << 33) - 1)).alias(name))
+    placed = _placed(df, *order)
+    first = _before(placed.groupBy("_part").agg(F.count("*").alias("_n")), "_n")
+    return placed.join(first, "_part").select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_first") + F.col("_at")).alias(name))
+
+
+def with_running_total(df: DataFrame, size: str, *order: str, name: str = "start") -> DataFrame:
+    """The sum of ``size`` over all rows before each, in the order of ``order``; a window a partition, as above."""
+    placed = _placed(df, *order)
+    first = _before(placed.groupBy("_part").agg(F.sum(size).alias("_n")), "_n")
+    within = F.coalesce(F.sum(size).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.withColumn("_within", within).join(first, "_part").select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_first") + F.col("_within")).alias(name))
+
+
+def stream_batches(df: DataFrame, ids: str, *order: str, batch: int = 1000) -> DataFrame:
+    """(batch, ids): the arrays of all rows in order as one stream, cut every ``batch`` elements."""
+    sized = with_running_total(df.select(*order, F.col(ids).alias("_ids"), F.size(ids).cast("long").alias("_size")), "_size", *order)
+    each = sized.where("_size > 0").select("start", F.posexplode("_ids").alias("_i", "_x")).select((F.col("start") + F.col("_i")).alias("_at"), "_x")
+    cut = each.groupBy(F.floor(F.col("_at") / batch).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("_at", "_x"))).alias("_xs"))
+    return cut.select("batch", F.transform("_xs", lambda s: s["_x"]).alias("ids"))
 
 
 def contiguous_chunks(df: DataFrame, chunks: int, *order: str) -> DataFrame:

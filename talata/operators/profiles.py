@@ -16,6 +16,11 @@ def profile(rows: DataFrame, correct: Column, *group: str) -> DataFrame:
     )
 
 
+def mean_over_ranks(values: DataFrame, value: str, rank: str, *group: str) -> DataFrame:
+    """The sum of all values over the number of ranks (workers) that gave one, by group: the mean loss of a step."""
+    return values.groupBy(*group).agg((F.sum(value) / F.count_distinct(rank)).alias("mean"), F.count_distinct(rank).alias("n_ranks"))
+
+
 def failure_cascade(levels: DataFrame, level: str = "level", threshold: float = THRESHOLD) -> DataFrame:
     """Neighbouring levels where the lower is under the threshold and the next is not better.
 

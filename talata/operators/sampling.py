@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.seeded import order_key, uniform
+from ..working import materialize
 
 NO_RANK = 100_000
 #: Rank tables up to so many rows are broadcast.
@@ -26,9 +27,10 @@ def frequency_ranks(words: DataFrame, column: str) -> DataFrame:
 def add_frequency_ranks(df: DataFrame, ranks: DataFrame, column: str, fill: int = NO_RANK) -> DataFrame:
     """``df`` with ``rank`` by the lower-cased word; words without one get ``fill``.
 
-    Repeated words on the right give repeated rows. The rank table is broadcast if its count allows.
+    Repeated words on the right give repeated rows. The ranks are written once, and broadcast if
+    their count allows.
     """
-    side = ranks.select(F.col("normalized").alias("_word"), F.col("rank"))
+    side = materialize(ranks.select(F.col("normalized").alias("_word"), F.col("rank")), "ranks")
     side = F.broadcast(side) if side.count() <= MOST_BROADCAST else side
     return df.join(side, F.lower(column) == F.col("_word"), "left").drop("_word").withColumn("rank", F.coalesce("rank", F.lit(fill)))
 
@@ -73,16 +75,18 @@ def stratified_by_length(df: DataFrame, n: int, column: str, *key: str, seed: in
     Where the quotas miss ``n``, the largest groups get one more or one less, one each; quotas end
     at the group's size, so fewer than ``n`` rows may come.
     """
-    length = F.length(column)
-    total = df.count()
-    sizes = df.groupBy(length.alias("_len")).agg(F.count("*").alias("_size")).withColumn("_quota", F.bround(F.col("_size") * n / F.lit(float(max(1, total)))).cast("bigint"))
+    df = materialize(df.withColumn("_len", F.length(column)), "sampled-from")
     everything = Window.partitionBy()  # one row a length
+    total = F.greatest(F.sum("_size").over(everything), F.lit(1))
+    sizes = df.groupBy("_len").agg(F.count("*").alias("_size")).withColumn("_quota", F.bround(F.col("_size") * n / total.cast("double")).cast("bigint"))
     off = F.lit(n) - F.sum("_quota").over(everything)
     rank = F.row_number().over(Window.orderBy(F.col("_size").desc(), "_len"))
     quota = F.least(F.col("_size"), F.col("_quota") + F.when(rank <= F.abs(off), F.signum(off)).otherwise(0).cast("bigint"))
-    quotas = sizes.select("_len", quota.alias("_take"))
-    place = F.row_number().over(Window.partitionBy("_len").orderBy(order_key(seed, *map(F.col, key)), *key))
-    return df.withColumn("_len", length).withColumn("_place", place).join(F.broadcast(quotas), "_len").where("_place <= _take").drop("_len", "_place", "_take")
+    quotas = sizes.select("_len", quota.alias("_take")).where("_take > 0")
+    order = order_key(seed, *map(F.col, key))
+    place = F.row_number().over(Window.partitionBy("_len").orderBy("_order", *key))
+    ranked = df.join(F.broadcast(quotas), "_len").withColumn("_order", order).withColumn("_place", place)
+    return ranked.where("_place <= _take").drop("_len", "_order", "_place", "_take")
 
 
 def is_validation(seed: int, percent: float, *key: Column) -> Column:

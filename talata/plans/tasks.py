@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import chars, syllables
 from ..functions.seeded import number, order_key, pick, shuffled
 from ..operators.ordering import balanced_answers, groups_of_four
+from ..working import materialize
 from . import prompts
 
 STRINGS = "array<string>"
@@ -61,8 +62,11 @@ def first(df: DataFrame, n: int | None, *order: Column) -> DataFrame:
 
 
 def sampled(df: DataFrame, n: int | None, seed: int, key: str = "normalized_word") -> DataFrame:
-    """``n`` rows in the seeded order; with a ``rank`` column and a weight use the sampling operator before."""
-    return df if n is None else df.orderBy(order_key(seed, F.col(key)), key).limit(n)
+    """``n`` rows in the seeded order; with a ``rank`` column and a weight use the sampling operator before.
+
+    Entries that are one without marks are told apart by the word, so the order is total.
+    """
+    return df if n is None else df.orderBy(order_key(seed, F.col(key)), key, *(["word"] if "word" in df.columns and key != "word" else [])).limit(n)
 
 
 # --- nested and flat forms -------------------------------------------------------------------
@@ -153,7 +157,7 @@ def composition(lexicon: DataFrame, n: int | None = None, form: str = "mcq", see
         return union(parts)
     spelling = task(sampled(words, n, seed), "composition", "spelling", rendered(prompts.SPELLING_MCQ), chars.spell(w), chars.perturbations(w, seed), key)
     ordered = words.select("word", "normalized_word").distinct().withColumn("_order", order_key(seed, w))
-    groups = groups_of_four(ordered, "_order", "normalized_word")
+    groups = groups_of_four(ordered, "_order", "normalized_word", "word")
     return union([spelling, *[first(group_task(groups, kind, seed), n, F.col("key")) for kind in COMPOSITION_GROUPS]])
 
 
@@ -264,7 +268,7 @@ def syllabification(lexicon: DataFrame, n: int | None = None, form: str = "mcq",
     near = F.slice(F.filter(F.array(count - 1, count + 1, count + 2), lambda x: x > 0), 1, 3)
     wrong = F.concat(near, F.array_repeat(count, F.lit(3) - F.size(near))) if form == "mcq" else None
     with_ng = words.where(chars.contains_ng(w)).withColumn("_ng", F.lit(0)).unionByName(words.where(~chars.contains_ng(w)).withColumn("_ng", F.lit(1)))
-    ng = with_ng if n is None else with_ng.orderBy("_ng", order_key(seed + 2, w), w).limit(n)
+    ng = with_ng if n is None else with_ng.orderBy("_ng", order_key(seed + 2, w), w, "word").limit(n)
     counted = [
         task(ng, "syllabification", "syllable_counting_ng", rendered(prompts.SYLLABLES), count, wrong, w),
         task(sampled(words.where(F.length(w) >= MIN_LENGTH["long_words"]), n, seed + 3), "syllabification", "syllable_counting", rendered(prompts.SYLLABLES), count, wrong, w),
@@ -474,6 +478,47 @@ def language_games(words: DataFrame, game: str, n: int, options: int = 4, seed:
     return made.select("id", question.alias("question"), "answer", "options", "aux")
 
 
+def game_training(games: DataFrame, encode, end_id: int, train: int) -> DataFrame:
+    """Training rows of ``games`` (id, question, answer): ids padded to the longest, and where the answer stands.
+
+    ``encode`` is a column function from text to ids. (split, id, ids, idxs_for_masks): the places 0,
+    end of the question and end of the answer. The first ``train`` ids are the training split.
+    """
+    from ..functions.tokens import pad_truncate
+
+    rows = games.select("id", encode(F.col("question")).alias("_q"), encode(F.col("answer")).alias("_a"))
+    rows = materialize(rows, "game-ids")
+    longest = rows.agg(F.max(F.size("_q") + F.size("_a"))).first()[0] or 0
+    places = F.array(F.lit(0), F.size("_q"), F.size("_q") + F.size("_a"))
+    split = F.when(F.col("id") < train, "train").otherwise("val")
+    return rows.select(split.alias("split"), "id", pad_truncate(F.concat("_q", "_a"), longest, end_id).alias("ids"), places.alias("idxs_for_masks"))
+
+
+def sum_training(questions: DataFrame, encode) -> DataFrame:
+    """``questions`` of ``sums`` as ids: whole texts, and character by character.
+
+    (split, pair, question, answer, ids, character_ids). The text is ``$question`` and the answer
+    reversed; the batched expansion of the ``ids`` stream is ``ordering.stream_batches`` with
+    ``expand.expand_batches``, and ``question_answers`` cuts any of the three streams again.
+    """
+    text = F.concat(F.lit("$"), F.col("question"), F.col("reversed_answer"))
+    letters = F.flatten(F.transform(F.split("_text", ""), lambda c: F.element_at(F.col("_map"), c)))
+    alphabet = [*"0123456789+=$"]
+    table = questions.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, alphabet))).alias("c")).select("c", encode(F.col("c")).alias("ids"))
+    known = table.agg(F.map_from_entries(F.collect_list(F.struct("c", "ids"))).alias("_map"))  # one row, thirteen characters
+    rows = questions.withColumn("_text", text).crossJoin(F.broadcast(known))
+    return rows.select("split", "pair", F.concat(F.lit("$"), F.col("question")).alias("question"), F.col("reversed_answer").alias("answer"), encode(F.col("_text")).alias("ids"), letters.alias("character_ids"))
+
+
+def question_answers(ids: Column, equals_id: int, dollar_id: int) -> Column:
+    """A stream of ids cut at its equals and dollar signs: structs (question with both signs, answer), in order."""
+    at = F.filter(F.transform(ids, lambda x, i: F.when(x == dollar_id, i)), lambda i: i.isNotNull())
+    ends = F.concat(F.slice(at, F.lit(2), F.greatest(F.size(at) - 1, F.lit(0))), F.array(F.size(ids)))
+    whole = F.transform(F.arrays_zip(at.alias("a"), ends.alias("b")), lambda p: F.slice(ids, p["a"] + 1, p["b"] - p["a"]))
+    cut = lambda xs: F.array_position(xs, equals_id).cast("int")
+    return F.transform(F.filter(whole, lambda xs: cut(xs) > 0), lambda xs: F.struct(F.slice(xs, F.lit(1), cut(xs)).alias("question"), F.slice(xs, cut(xs) + 1, F.size(xs)).alias("answer")))
+
+
 def sums(spark, digits: int, train: int, val: int, seed: int = 0) -> DataFrame:
     """Questions a+b= over numbers of ``digits`` digits without repeats, split into train and val."""
     lo, hi = 10 ** (2 * digits - 1), 10 ** (2 * digits)

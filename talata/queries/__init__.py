@@ -1,3 +1,3 @@
 """Queries of the library's operators over the test tables, with their SQL."""
 
-from . import corpus, generated, morph, scores, text, vocab  # noqa: F401
+from . import corpus, generated, morph, scores, text, training, vocab  # noqa: F401

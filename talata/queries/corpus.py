@@ -111,7 +111,8 @@ def stratified_sample_by_length(spark, sf_dir):
     return sampling.stratified_by_length(words(spark, sf_dir), 400, "word", "word")
 
 
-@query()
+@query(f"""SELECT d.id AS draw, doc_id FROM range(0, 200) d(id) JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r, count(*) OVER () AS n FROM documents) t
+    ON r = floor(({number_sql("'42|' || d.id")} + 0.5::DOUBLE) / 4294967296.0::DOUBLE * n)""")
 def sample_with_replacement(spark, sf_dir):
     return sampling.sample_with_replacement(table(spark, sf_dir, "documents").select("doc_id"), 200, "doc_id")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import chars, syllables, tokens
 from ..plans import lexicon as lexicons
 from ..plans import tasks
+from . import task_sql
 from .base import WORDS_SQL, query, raw_words, words
 
 
@@ -32,57 +33,57 @@ def _shown(made):
     return made.select("category", "subcategory", "text_en", "text_tl", "answer", F.array_join("wrong", "|").alias("wrong"), "key")
 
 
-@query()
+@query(task_sql.composition("mcq"))
 def composition_mcq(spark, sf_dir):
     return _shown(tasks.composition(_lexicon(spark, sf_dir), 20))
 
 
-@query()
+@query(task_sql.composition("gen"))
 def composition_gen(spark, sf_dir):
     return _shown(tasks.composition(_lexicon(spark, sf_dir), 20, "gen"))
 
 
-@query()
+@query(task_sql.manipulation("mcq"))
 def manipulation_mcq(spark, sf_dir):
     return _shown(tasks.manipulation(_lexicon(spark, sf_dir), 20))
 
 
-@query()
+@query(task_sql.manipulation("gen"))
 def manipulation_gen(spark, sf_dir):
     return _shown(tasks.manipulation(_lexicon(spark, sf_dir), 20, "gen"))
 
 
-@query()
+@query(task_sql.syllabification("mcq"))
 def syllabification_mcq(spark, sf_dir):
     return _shown(tasks.syllabification(_lexicon(spark, sf_dir), 20))
 
 
-@query()
+@query(task_sql.syllabification("gen"))
 def syllabification_gen(spark, sf_dir):
     return _shown(tasks.syllabification(_lexicon(spark, sf_dir), 20, "gen"))
 
 
-@query()
+@query(task_sql.stress_benchmark())
 def stress_benchmark_mcq(spark, sf_dir):
     return _shown(tasks.stress(_lexicon(spark, sf_dir), 20))
 
 
-@query()
+@query(task_sql.word_levels("mcq"))
 def hierarchical_words_mcq(spark, sf_dir):
     return _shown(tasks.word_levels(words(spark, sf_dir), 20))
 
 
-@query()
+@query(task_sql.word_levels("gen"))
 def hierarchical_words_gen(spark, sf_dir):
     return _shown(tasks.word_levels(words(spark, sf_dir), 20, "gen"))
 
 
-@query()
+@query(task_sql.affix_levels())
 def hierarchical_affixes_mcq(spark, sf_dir):
     return _shown(tasks.affix_levels(_annotated(spark, sf_dir), 20))
 
 
-@query()
+@query(task_sql.MCQ_ITEMS)
 def mcq_items(spark, sf_dir):
     made = tasks.mcq_items(tasks.manipulation(_lexicon(spark, sf_dir), 20))
     return made.groupBy("subcategory", "label").agg(F.count("*").alias("n_items"))
@@ -126,7 +127,7 @@ def group_of_four_shortest(spark, sf_dir):
     return _length_groups(spark, sf_dir, "length_least")
 
 
-@query()
+@query(task_sql.GROUP_CHARACTERS)
 def group_of_four_characters(spark, sf_dir):
     return _length_groups(spark, sf_dir, "character_most")
 
@@ -137,7 +138,7 @@ def addition_questions(spark, sf_dir):
     return tasks.sums(spark, 2, 900, 100, seed=5)
 
 
-@query()
+@query(task_sql.ADDITION_OPTIONS)
 def addition_options(spark, sf_dir):
     made = tasks.sum_options(tasks.sums(spark, 2, 90, 10))
     return made.select("question", "answer", F.array_join("wrong", "|").alias("wrong"))
@@ -150,20 +151,20 @@ def _game(game):
         return made.select("id", "question", "answer", F.array_join("options", "|").alias("options"))
 
     run.__name__ = f"langgame_{game}"
-    query()(run)
+    query(task_sql.language_game(game))(run)
 
 
 for _name in ("most", "contains", "starts", "ends", "longest", "shortest"):
     _game(_name)
 
 
-@query()
+@query(task_sql.affixation("mcq"))
 def affixation_mcq(spark, sf_dir):
     rows = _inflections(spark, sf_dir)
     return _shown(tasks.affixation(rows))
 
 
-@query()
+@query(task_sql.affixation("gen"))
 def affixation_gen(spark, sf_dir):
     return _shown(tasks.affixation(_inflections(spark, sf_dir), "gen"))
 
@@ -182,13 +183,34 @@ def prefixed_words(spark, sf_dir):
     return lexicons.prefixed_words(lex, prefixes, 50).select("word", "root", "affix", F.get("boundaries", F.lit(0)).alias("boundary"))
 
 
-@query()
+#: Literal inflections of every kind, with what an annotation of them holds.
+KNOWN = [
+    ("takbo", "tumakbo", "-um-", "done", "actor", "um", "infix", "t|um|akbo", "root_part|infix|root_part", "1|3", 1),
+    ("luto", "nagluto", "nag-", "done", "actor", "nag", "prefix", "nag|luto", "prefix|root", "3", None),
+    ("luto", "lutuan", "-an", None, None, "an", "suffix", "luto|an", "root|suffix", "4", None),
+    ("tuwa", "katuwaan", "ka--an", "to come", "place", "ka-an", "circumfix", "ka|tuwa|an", "prefix|root|suffix", "2|6", None),
+    ("bili", "pinamili", "-in-", None, None, "in", "infix", "bili|in", "root|infix", "", None),
+]
+
+
+def _annotation_sql() -> str:
+    """One annotation a word: the literals first, then each prefix's first 50 of the words that start with it."""
+    value = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else f"'{x}'"
+    known = ", ".join(f"({', '.join(map(value, (k[1], k[0], k[5], k[6], *k[3:5], *k[7:])))}, 'inflections', 0)" for k in KNOWN)
+    heuristic = f"""SELECT word, substr(word, 3) AS root, substr(word, 1, 2) AS affix, 'prefix', NULL, NULL, substr(word, 1, 2) || '|' || substr(word, 3), 'prefix|root', '2', NULL, 'heuristic', 1
+      FROM (SELECT word, row_number() OVER (PARTITION BY substr(word, 1, 2) ORDER BY word) AS r FROM {WORDS_SQL} WHERE length(word) >= 4 AND substr(word, 1, 2) IN ('th', 'en')) WHERE r <= 50"""
+    rows = f"SELECT * FROM (VALUES {known}) t(word, root, affix, affix_type, aspect, focus, morphemes, morpheme_types, boundaries, infix_position, source, o) UNION ALL {heuristic}"
+    return f"SELECT * EXCLUDE (o, r) REPLACE (coalesce(infix_position::VARCHAR, '') AS infix_position) FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY o, affix, root) AS r FROM ({rows})) WHERE r = 1"
+
+
+@query(_annotation_sql())
 def annotation_table(spark, sf_dir):
     lex = words(spark, sf_dir).select(F.col("word").alias("normalized_word"), F.array("word").alias("normalized_syllable_list"))
     heuristic = lexicons.prefixed_words(lex, spark.createDataFrame([("th", 0), ("en", 1)], "affix STRING, position INT"), 50)
-    known = spark.createDataFrame([("takbo", "tumakbo", "-um-", "done", "actor"), ("luto", "nagluto", "nag-", "done", "actor"), ("luto", "lutuan", "-an", None, None)], "root STRING, inflected STRING, aspect_affix STRING, aspect STRING, focus STRING")
+    known = spark.createDataFrame([k[:5] for k in KNOWN], "root STRING, inflected STRING, aspect_affix STRING, aspect STRING, focus STRING")
     made = lexicons.build_annotations(lexicons.annotate_inflections(known), heuristic)
-    return made.groupBy("affix_type", "source").agg(F.count("*").alias("n_words"))
+    joined = [F.array_join(c, "|").alias(c) for c in ("morphemes", "morpheme_types", "boundaries")]
+    return made.select("word", "root", "affix", "affix_type", "aspect", "focus", *joined, F.coalesce(F.col("infix_position").cast("string"), F.lit("")).alias("infix_position"), "source")
 
 
 @query(f"SELECT word, CASE WHEN contains(word, 'an') AND length(word) > 3 THEN (strpos(word, 'an') - 1)::INT END AS at FROM {WORDS_SQL} WHERE contains(word, 'an') AND strpos(word, 'an') > 1 AND length(word) > 3")
@@ -197,10 +219,10 @@ def infix_positions(spark, sf_dir):
     at = F.instr("word", "an")
     root = F.concat(F.substr("word", F.lit(1), at - 1), F.substr("word", at + 2))
     found = tokens.infix_position(F.col("word"), root, F.lit("an"))
-    return rows.select("word", F.least(found, (at - 1).cast("int")).alias("at"))
+    return rows.select("word", found.alias("at"))
 
 
-@query()
+@query(task_sql.LEXICON_BUILD)
 def lexicon_build(spark, sf_dir):
     raw = words(spark, sf_dir).select("word", F.lit("Tag").alias("etymology"), F.lit("pnb").alias("part_of_speech"), F.lit("").alias("word_sense"))
     return lexicons.build_lexicon(raw).select("word", "normalized_word", "accented_syllable", "accented_syllable_index", "last_syllable", "last_syllable_pronunciation")

@@ -150,7 +150,10 @@ def first_failures(spark, sf_dir):
     return profiles.failures(_leveled(spark, sf_dir), F.col("quality"), 5, ["level"], "doc_id").select("level", "doc_id")
 
 
-@query()
+@query(f"""WITH p AS ({_profile_sql('level')}), q AS ({_profile_sql('level, subcategory')}),
+    sub AS (SELECT level, list({{'subcategory': subcategory, 'n_total': n_total, 'n_correct': n_correct, 'accuracy': accuracy}} ORDER BY subcategory) AS subprofile FROM q GROUP BY level),
+    bad AS (SELECT level, list({{'doc_id': doc_id}} ORDER BY doc_id) AS failures FROM (SELECT level, doc_id, row_number() OVER (PARTITION BY level ORDER BY doc_id) AS r FROM {LEVELED} WHERE coalesce(quality, 0) = 0) WHERE r <= 5 GROUP BY level)
+    SELECT level, replace(to_json({{'level': level, 'n_total': n_total, 'n_correct': n_correct, 'accuracy': accuracy, 'subprofile': subprofile, 'failures': failures}})::VARCHAR, ',"failures":null', '') AS document FROM p LEFT JOIN sub USING (level) LEFT JOIN bad USING (level)""")
 def visualization_export(spark, sf_dir):
     rows = _leveled(spark, sf_dir)
     bad = profiles.failures(rows, F.col("quality"), 5, ["level"], "doc_id").select("level", "doc_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import chars, syllables, tokens
+from . import sqltext as sq
 from .base import WORDS_SQL, number_sql, query, raw_words, words
 
 
@@ -93,33 +94,33 @@ def case_variants(spark, sf_dir):
     return each.select(w.alias("word"), F.upper(w).alias("up"), F.lower(w).alias("low"))
 
 
-@query()
+@query(f"SELECT word, array_to_string(syl, '-') AS syllables FROM {sq.SYLLABLES}")
 def syllabify_words(spark, sf_dir):
     return words(spark, sf_dir).select("word", F.array_join(syllables.syllabify(F.col("word")), "-").alias("syllables"))
 
 
-@query()
+@query(f"SELECT len(syl)::INT AS n_syllables, count(*) AS n_words FROM {sq.SYLLABLES} GROUP BY 1")
 def syllable_counts(spark, sf_dir):
     each = words(spark, sf_dir).select(F.size(syllables.syllabify(F.col("word"))).alias("n_syllables"))
     return each.groupBy("n_syllables").agg(F.count("*").alias("n_words"))
 
 
-@query()
+@query(f"SELECT word, {sq.reduplicated_syllable('syl')} AS syllable FROM {sq.SYLLABLES} WHERE {sq.reduplicated('syl')}")
 def reduplicated_words(spark, sf_dir):
     each = words(spark, sf_dir).withColumn("s", syllables.syllabify(F.col("word"))).where(syllables.is_reduplicated(F.col("s")))
     return each.select("word", syllables.reduplicated_syllable(F.col("s")).alias("syllable"))
 
 
-@query()
+@query(f"SELECT word, strip_accents(word) AS result FROM {WORDS_SQL}")
 def normalize_nfd(spark, sf_dir):
     return words(spark, sf_dir).select("word", chars.normalize_text_nfd(F.col("word")).alias("result"))
 
 
-@query()
+@query(f"SELECT word, array_to_string({sq.perturbations('word', 11)}, '|') AS perturbations FROM {WORDS_SQL}")
 def perturbed_spellings(spark, sf_dir):
     return words(spark, sf_dir).select("word", F.array_join(chars.perturbations(F.col("word"), 11), "|").alias("perturbations"))
 
 
-@query()
+@query(f"SELECT word, {sq.diacritized('word', 5)} AS marked, {sq.diacritized('word', 6, 0.5)} AS half_marked, {sq.random_case('word', 7)} AS mixed_case FROM {WORDS_SQL}")
 def diacritized_words(spark, sf_dir):
     return words(spark, sf_dir).select("word", chars.diacritize(F.col("word"), 5).alias("marked"), chars.diacritize(F.col("word"), 6, 0.5).alias("half_marked"), chars.random_case(F.col("word"), 7).alias("mixed_case"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import expand, vocabulary
+from . import task_sql
 from .base import LETTERS, query, raw_words, table
 
 #: A few affixes that occur in the test texts.
@@ -73,13 +74,29 @@ def affix_match_counts(spark, sf_dir):
     return hits.groupBy("affix").agg(F.count("*").alias("n_docs"), F.sum(n).alias("n_matches"))
 
 
-@query()
+MEANINGFUL_SQL = ", ".join(f"'{m}'" for m in vocabulary.MEANINGFUL)
+PIECE_SQL = f"""CASE WHEN length(x) = 1 THEN CASE WHEN regexp_matches(x, '[aeiou]') THEN 0.5 ELSE -1.0 END ELSE 0.0 END
+  + CASE WHEN length(x) >= 2 AND regexp_matches(x, '^[^aeiou].*[aeiou]') THEN 0.5 ELSE 0.0 END + CASE WHEN x IN ({MEANINGFUL_SQL}) THEN 1.5 ELSE 0.0 END"""
+#: Every split by a bit mask of its cuts; scores of few, balanced, syllable-like and meaningful pieces.
+DECOMPOSITIONS_SQL = f"""(WITH v AS (SELECT list(word) AS known FROM {VOCAB_SQL}), a AS (SELECT DISTINCT affix, list_contains((SELECT known FROM v), affix) AS inside FROM {LIST}),
+  masks AS (SELECT affix, unnest(range(1, (1 << (length(affix) - 1)::INT)::BIGINT)) AS mask FROM a WHERE NOT inside),
+  ways AS (SELECT affix, list_filter(range(1, length(affix)), lambda i: (mask >> (i - 1)) & 1 = 1) AS cuts FROM masks),
+  pieces AS (SELECT affix, cuts, list_transform(range(1, len(cuts) + 2), lambda j: substr(affix, coalesce(list_prepend(0, cuts)[j], 0) + 1, list_append(cuts, length(affix))[j] - list_prepend(0, cuts)[j])) AS tokens FROM ways WHERE len(cuts) <= 4),
+  fits AS (SELECT affix, cuts, tokens, list_transform(tokens, lambda x: length(x)::DOUBLE) AS sizes FROM pieces WHERE list_has_all((SELECT known FROM v), tokens)),
+  scored AS (SELECT affix, cuts, tokens, greatest(0.0, 5.0 + CASE len(tokens) WHEN 2 THEN 3.0 WHEN 3 THEN 1.5 ELSE 3.0 - len(tokens) END
+      + CASE WHEN list_avg(list_transform(sizes, lambda x: (x - list_avg(sizes)) * (x - list_avg(sizes)))) < 1.0 THEN 1.0 ELSE 0.0 END + list_sum(list_transform(tokens, lambda x: {PIECE_SQL})))::DOUBLE AS score FROM fits),
+  spelled AS (SELECT affix, string_split(affix, '') AS tokens FROM a WHERE NOT inside AND affix NOT IN (SELECT affix FROM scored) AND list_has_all((SELECT known FROM v), string_split(affix, '')))
+  SELECT affix, tokens, score, kind AS decomposition_type, row_number() OVER (PARTITION BY affix ORDER BY score DESC, len(cuts), cuts) AS place FROM (
+    SELECT affix, tokens, score, 'optimal' AS kind, cuts FROM scored UNION ALL SELECT affix, tokens, {vocabulary.FALLBACK_SCORE}, 'fallback', [] FROM spelled UNION ALL SELECT affix, [affix], {vocabulary.EXACT_SCORE}, 'exact_match', [] FROM a WHERE inside))"""
+
+
+@query(f"SELECT affix, array_to_string(tokens, '|') AS tokens, round(score, 6) AS score, decomposition_type FROM {DECOMPOSITIONS_SQL} WHERE place = 1")
 def affix_decomposition_best(spark, sf_dir):
     made = vocabulary.best_decompositions(_affixes(spark), _vocab(spark, sf_dir))
     return made.select("affix", F.array_join("tokens", "|").alias("tokens"), F.round("score", 6).alias("score"), "decomposition_type")
 
 
-@query()
+@query(f"SELECT affix, place::INT AS place, array_to_string(tokens, '|') AS tokens, round(score, 6) AS score FROM {DECOMPOSITIONS_SQL} WHERE place <= 3")
 def affix_decompositions_top3(spark, sf_dir):
     made = vocabulary.decompositions(_affixes(spark), _vocab(spark, sf_dir)).where("place <= 3")
     return made.select("affix", "place", F.array_join("tokens", "|").alias("tokens"), F.round("score", 6).alias("score"))
@@ -94,41 +111,49 @@ def coverage_by_tokenizer(spark, sf_dir):
     return both.select("tokenizer", "total_affixes", "in_vocabulary", "coverage_rate")
 
 
-@query()
+@query(f"SELECT affix, place::INT AS place, other, ratio FROM {task_sql.similar(f'(SELECT DISTINCT affix FROM {LIST})')}")
 def similar_affixes_topk(spark, sf_dir):
     return vocabulary.similar_affixes(_affixes(spark)).select("affix", "place", "other", "ratio")
 
 
 def _tables(spark, sf_dir):
-    vocab = _ascii(spark, sf_dir).cache()
+    vocab = _ascii(spark, sf_dir)
     return expand.Tables.collect(vocabulary.expansions(vocab), vocab, vocabulary.affix_versions(_affixes(spark)))
 
 
-def _edited(spark, sf_dir, edit, **options):
+def _edited(spark, sf_dir, edit, fewest, most, **options):
+    """Every item's text as its edited ids give it back, and whether their number is within what the edit may do.
+
+    Each letter is a token, so the text is the item's letters a to z whatever was split or joined.
+    """
     tables = _tables(spark, sf_dir)
     items = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("text"))
-    ids = items.select("item_id", expand.text_encoder(spark, tables)(F.col("text")).alias("ids"))
+    ids = items.select("item_id", "text", expand.text_encoder(spark, tables)(F.col("text")).alias("ids"))
     out = expand.per_row(spark, tables, edit, seed=1, **options)(F.col("item_id"), F.col("ids"))
     made = ids.select("item_id", "ids", out.alias("edited"))
-    decode = expand.text_decoder(spark, tables)
-    return made.select("item_id", F.size("ids").alias("n_ids"), F.size("edited").alias("n_edited"), (decode(F.col("ids")) == decode(F.col("edited"))).alias("same_text"))
+    n, m = F.size("ids"), F.size("edited")
+    within = m.between(n - F.floor(n * fewest), n + F.floor(n * most))
+    return made.select("item_id", expand.text_decoder(spark, tables)(F.col("edited")).alias("text"), within.alias("within"))
+
+
+EDITED_SQL = "SELECT item_id, regexp_replace(lower(text), '[^a-z]', '', 'g') AS text, true AS within FROM benchmark"
 
 
-@query()
+@query(EDITED_SQL)
 def stochastic_expand(spark, sf_dir):
-    return _edited(spark, sf_dir, expand.expand, share=0.3)
+    return _edited(spark, sf_dir, expand.expand, 0.0, 0.3, share=0.3)
 
 
-@query()
+@query(EDITED_SQL)
 def stochastic_contract(spark, sf_dir):
-    return _edited(spark, sf_dir, expand.contract, share=0.3)
+    return _edited(spark, sf_dir, expand.contract, 0.3, 0.0, share=0.3)
 
 
-@query()
+@query(EDITED_SQL)
 def affix_cycles(spark, sf_dir):
-    return _edited(spark, sf_dir, expand.cycles)
+    return _edited(spark, sf_dir, expand.cycles, 1.0, 1.2)
 
 
-@query()
+@query(EDITED_SQL)
 def affix_contract_expand(spark, sf_dir):
-    return _edited(spark, sf_dir, expand.contract_expand, contract_share=0.5)
+    return _edited(spark, sf_dir, expand.contract_expand, 1.0, 2.0, contract_share=0.5)

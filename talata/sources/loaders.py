@@ -160,3 +160,12 @@ def load_benchmark(spark: SparkSession, name: str, path: str, *, max_samples: in
         raise ValueError(f"unknown benchmark: {name}; known: {', '.join(sorted(LOADERS))}")
     rows = loader(spark, path, **options)
     return rows if max_samples is None else rows.limit(max_samples)
+
+
+def collect_tasks(spark: SparkSession, name: str, path: str, *, max_samples: int | None = None, **options) -> list[dict]:
+    """The tasks of a benchmark as (prefix, ground_truth, false_options) for an evaluation on the driver.
+
+    They are as many as the benchmark file holds, or ``max_samples``. ``name`` may carry a category or a split.
+    """
+    rows = load_benchmark(spark, name, path, max_samples=max_samples, **options)
+    return [r.asDict() for r in rows.select("prefix", "ground_truth", "false_options").collect()]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import struct
 import uuid
 from functools import partial
 
@@ -23,7 +24,10 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_jsonl(df: DataFrame, path: str, *, mode: str = "error", by: list[str] = (), single: bool = False) -> None:  # noqa: B006
-    """JSON lines in UTF-8; ``by`` makes a folder for each value, ``single`` one file for small tables."""
+    """JSON lines in UTF-8; ``by`` makes a folder for each value.
+
+    ``single`` gives one file and is for small tables alone: one task writes all of it.
+    """
     writer = (df.coalesce(1) if single else df).write.mode(mode)
     (writer.partitionBy(*by) if by else writer).json(path)
 
@@ -102,6 +106,103 @@ def write_padded(df: DataFrame, folder: str, ids: str, *order: str, length: int
     return meta | {"shape": [meta["n_rows"], n]}
 
 
+#: Codes of id types in the index files of training sets. Fixed values of that format, as its magic and version are.
+INDEX_MAGIC, INDEX_VERSION = b"MMIDIDX\0\0", 1
+INDEX_CODES = {"int32": 4, "uint16": 8}
+
+
+def _write_indexed(batches, folder: str, name: str, dtype: str, end_id: int | None):
+    from pyarrow import fs
+
+    system, base = fs.FileSystem.from_uri(folder)
+    task = TaskContext.get().partitionId()
+    prefix = f"{base}/{name}-{task:06d}-{uuid.uuid4().hex}"
+    limits, sizes, out = np.iinfo(DTYPES[dtype]), [], None
+    for batch in batches:
+        for x in batch.column(0):
+            values = np.asarray(x.values if x.is_valid else [], dtype=np.int64)
+            if end_id is not None:
+                values = np.append(values, end_id)
+            if len(values) and (values.min() < limits.min or values.max() > limits.max):
+                raise ValueError(f"ids do not fit {dtype}")
+            out = out or system.open_output_stream(f"{prefix}.bin")
+            out.write(values.astype(DTYPES[dtype]).tobytes())
+            sizes.append(len(values))
+    if out:
+        out.close()
+        lengths = np.array(sizes, dtype="<i4")
+        places = (np.cumsum(lengths, dtype=np.int64) - lengths) * np.dtype(DTYPES[dtype]).itemsize
+        with system.open_output_stream(f"{prefix}.idx") as f:
+            f.write(INDEX_MAGIC + struct.pack("<QBQQ", INDEX_VERSION, INDEX_CODES[dtype], len(sizes), len(sizes) + 1))
+            f.write(lengths.tobytes() + places.astype("<i8").tobytes() + np.arange(len(sizes) + 1, dtype="<i8").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([prefix]), pa.array([len(sizes)], pa.int64()), pa.array([sum(sizes)], pa.int64())], ["task", "prefix", "n_rows", "n_ids"])
+
+
+def write_indexed(df: DataFrame, folder: str, ids: str, *order: str, name: str = "text_document", dtype: str = "uint16", end_id: int | None = None) -> list[str]:
+    """Indexed training files: a pair prefix.bin and prefix.idx for each range of rows; the prefixes in order.
+
+    Each row is one document of one sequence, with ``end_id`` after it if given; null ids are an
+    empty one. The driver sees one row a pair. A blend takes all prefixes.
+    """
+    from pyarrow import fs
+
+    system, base = fs.FileSystem.from_uri(folder)
+    system.create_dir(base, recursive=True)
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).select(ids)
+    parts = placed.mapInArrow(partial(_write_indexed, folder=folder, name=name, dtype=dtype, end_id=end_id), "task long, prefix string, n_rows long, n_ids long").collect()
+    return [p.prefix for p in sorted(parts, key=lambda r: r.task)]
+
+
+def _read_indexed(batches):
+    from pyarrow import fs
+
+    types = {code: np.dtype(DTYPES[name]) for name, code in INDEX_CODES.items()}
+    head = len(INDEX_MAGIC) + 25
+    for batch in batches:
+        for part, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            system, prefix = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+            with system.open_input_file(f"{prefix}.idx") as f:
+                raw = f.readall()
+            if raw[: len(INDEX_MAGIC)] != INDEX_MAGIC:
+                raise ValueError(f"{path}.idx is no index of training files")
+            _, code, n, _ = struct.unpack("<QBQQ", raw[len(INDEX_MAGIC) : head])
+            sizes, places = np.frombuffer(raw, "<i4", n, head), np.frombuffer(raw, "<i8", n, head + 4 * n)
+            with system.open_input_file(f"{prefix}.bin") as f:
+                for i in range(0, n, 1000):
+                    rows = [np.frombuffer(f.read_at(int(s) * types[code].itemsize, int(p)), types[code]).astype(np.int32) for s, p in zip(sizes[i : i + 1000], places[i : i + 1000], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int64()), pa.array(range(i, i + len(rows)), pa.int64()), pa.array(rows, pa.list_(pa.int32()))], ["part", "row", "ids"])
+
+
+def read_indexed(spark: SparkSession, prefixes: list[str]) -> DataFrame:
+    """(part, row, ids) of the pairs of files that ``write_indexed`` made; the index gives each row's place."""
+    rows = spark.createDataFrame(list(enumerate(prefixes)), "part LONG, path STRING").repartition(max(1, min(len(prefixes), 10_000)))
+    return rows.mapInArrow(_read_indexed, "part long, row long, ids array<int>")
+
+
+def convert_folder(spark: SparkSession, pattern: str, folder: str, encode, *, field: str = "question", dtype: str = "uint16") -> dict[str, dict | str]:
+    """Every JSON-lines file of ``pattern`` as binary ids in a folder of its own: file name -> metadata, or why it failed.
+
+    ``encode`` is a column function from text to ids. A file that fails does not stop the others.
+    """
+    out: dict[str, dict | str] = {}
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(pattern)
+    for status in path.getFileSystem(conf).globStatus(path) or []:  # one entry a benchmark file
+        name, where = status.getPath().getName(), status.getPath().toString()
+        try:
+            rows = spark.read.json(where)
+            ids = rows.select(F.monotonically_increasing_id().alias("_at"), encode(text_of(rows, field)).alias("_ids"))
+            out[name] = write_ids(ids, f"{folder.rstrip('/')}/{name.rsplit('.', 1)[0]}", "_ids", "_at", dtype=dtype)
+        except Exception as e:  # noqa: BLE001  the reason is part of the result
+            out[name] = f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+    return out
+
+
+def stamped(name: Column, moment: Column) -> Column:
+    """A file name with its moment: name_20240131_235959."""
+    return F.concat(name, F.lit("_"), F.date_format(moment, "yyyyMMdd_HHmmss"))
+
+
 def _read(batches, dtype: str, width: int):
     from pyarrow import fs
 
