@@ -20,8 +20,8 @@ _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\\s{_LETT
 _NOT_PLAIN = re.compile("[^\t-\r -~ -įı-ſ]|<\\|")
 _SPLIT_REGEX = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: Remembered words and space-separated pieces, some 30 MB a worker; then they are forgotten. More saves no time.
-MAX_WORDS, MAX_PIECES = 60_000, 120_000
+#: Pieces and words remembered in each of two generations, some 30 MB a worker in all.
+MOST_KEPT = 120_000
 MAX_KEPT_LENGTH = 48
 
 
@@ -33,14 +33,19 @@ def _byte_alphabet() -> dict[int, str]:
 
 
 class _Remembered(dict):
-    def __init__(self, make, most):
+    """What ``make`` gave for a key. When it is full it becomes the older generation, from which what is asked for again returns."""
+
+    def __init__(self, make, most: int = MOST_KEPT):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= MAX_KEPT_LENGTH:
             if len(self) >= self.most:
+                self.older = self.copy()
                 self.clear()
             self[key] = value
         return value
@@ -59,8 +64,7 @@ class WordBpe:
         self.plain = self._is_plain(spec)
         self._alphabet = _byte_alphabet()
         self._tokenize = self.tokenizer.model.tokenize
-        self._words = _Remembered(self._word, MAX_WORDS)
-        self._pieces = _Remembered(self._piece, MAX_PIECES)
+        self._pieces = _Remembered(self._piece)
         self.vocab_size = self.tokenizer.get_vocab_size()
 
     @staticmethod
@@ -79,10 +83,14 @@ class WordBpe:
         )
 
     def _word(self, word: str) -> bytes:
-        return array("I", [t.id for t in self._tokenize(word.encode().decode("latin-1").translate(self._alphabet))]).tobytes()
+        plain = word if word.isascii() else word.encode().decode("latin-1").translate(self._alphabet)  # printable ASCII stands for itself
+        return array("I", [t.id for t in self._tokenize(plain)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        return b"".join(map(self._words.__getitem__, _WORD.findall(piece)))
+        """The ids of text without white space; a word of it is a piece of its own."""
+        if piece.isalpha() or len(words := _WORD.findall(piece)) == 1:
+            return self._word(piece)
+        return b"".join(map(self._pieces.__getitem__, words))
 
     def encode(self, text: str) -> bytes:
         if self.plain and not _NOT_PLAIN.search(text):
