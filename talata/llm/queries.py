@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import decontaminate, langid, licenses, linefreq, packing, quality, simhash, surrogates, tokenfiles, urlgraph
 
 QUERIES = {
@@ -17,6 +15,5 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_token_id_files": tokenfiles.op9_token_id_files,
     "op10_license_rules": licenses.op10_license_rules,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op3_line_frequency": linefreq.OP3_SQL, "op8_decontamination": decontaminate.OP8_SQL}
