@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..working import materialize
 from .morphology import affix_tokens, spans
 
 
@@ -55,23 +56,34 @@ def overlap_pairs(rows: DataFrame) -> DataFrame:
     return pairs.where("t.end > ms AND t.start < me").select("morpheme", F.col("t.piece").alias("token"))
 
 
-def conditional_entropy(pairs: DataFrame, given: str, value: str, marginal: DataFrame) -> DataFrame:
-    """Sum over ``given`` of its share in ``marginal`` times the entropy of its values."""
-    h = entropy(pairs, F.col(value), given).select(given, "entropy")
-    share = marginal.groupBy(given).agg(F.count("*").alias("_n"))
-    both = share.join(h, given, "left")
-    return both.agg(F.round(F.coalesce(F.sum(F.col("_n") * F.coalesce("entropy", F.lit(0.0))) / F.sum("_n"), F.lit(0.0)), 6).alias("h"))
+def _bits(n: str = "n") -> Column:
+    """The entropy of counts, as an aggregate."""
+    h = F.log2(F.sum(n)) - F.sum(F.col(n) * F.log2(n)) / F.sum(n)
+    return F.round(F.abs(F.coalesce(h, F.lit(0.0))), 6)
+
+
+def conditional_entropy(counts: DataFrame, given: str, marginal: DataFrame) -> DataFrame:
+    """``counts`` (given, value, n): sum over ``given`` of its share in ``marginal`` (given, n) times the entropy of its values."""
+    h = counts.groupBy(given).agg(_bits().alias("h"))
+    both = marginal.join(h, given, "left")
+    return both.agg(F.round(F.coalesce(F.sum(F.col("n") * F.coalesce("h", F.lit(0.0))) / F.sum("n"), F.lit(0.0)), 6).alias("h"))
 
 
 def information_content(rows: DataFrame) -> DataFrame:
-    """H(T), H(M), H(T|M), H(M|T) and mutual information in one row."""
-    tokens, morphemes = rows.select(F.explode("tokens").alias("token")), rows.select(F.explode("morphemes").alias("morpheme"))
-    pairs = overlap_pairs(rows)
+    """H(T), H(M), H(T|M), H(M|T) and mutual information in one row.
+
+    The words are read once, and pairs, tokens and morphemes are counted once: their counts are
+    written, and every entropy is made of counts.
+    """
+    words = materialize(rows.select("tokens", "morphemes"), "segmented-words")
+    pairs = materialize(overlap_pairs(words).groupBy("morpheme", "token").agg(F.count("*").alias("n")), "overlaps")
+    count = lambda column, name: materialize(words.select(F.explode(column).alias(name)).where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n")), name)
+    tokens, morphemes = count("tokens", "token"), count("morphemes", "morpheme")
     parts = [
-        entropy(tokens, F.col("token")).select(F.col("entropy").alias("token_entropy")),
-        entropy(morphemes, F.col("morpheme")).select(F.col("entropy").alias("morpheme_entropy")),
-        conditional_entropy(pairs, "morpheme", "token", morphemes).select(F.col("h").alias("token_given_morpheme_entropy")),
-        conditional_entropy(pairs, "token", "morpheme", tokens).select(F.col("h").alias("morpheme_given_token_entropy")),
+        tokens.agg(_bits().alias("token_entropy")),
+        morphemes.agg(_bits().alias("morpheme_entropy")),
+        conditional_entropy(pairs, "morpheme", morphemes).select(F.col("h").alias("token_given_morpheme_entropy")),
+        conditional_entropy(pairs, "token", tokens).select(F.col("h").alias("morpheme_given_token_entropy")),
     ]
     one = parts[0]
     for p in parts[1:]:

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import byte_splits
+from ..working import materialize
 
 # Units that count as meaningful in a decomposition.
 MEANINGFUL = ["um", "in", "an", "ka", "ma", "pa", "na", "mag", "nag", "pag"]
 EXACT_SCORE, FALLBACK_SCORE = 10.0, 0.5
 MAX_PARTS = 5
+MOST_AFFIXES = 20_000
 
 
 def merges(vocab: DataFrame) -> DataFrame:
@@ -101,7 +103,8 @@ def decompositions(affixes: DataFrame, vocab: DataFrame, max_parts: int = MAX_PA
     An affix in the vocabulary has itself alone; else all splits into 2 to ``max_parts`` tokens;
     else its characters if all are tokens; else no row. Ties keep the order of enumeration.
     """
-    tokens = F.broadcast(vocab.select(F.decode("token", "UTF-8").alias("piece"), F.col("token_id").alias("id"))) if vocab.count() <= 1_000_000 else vocab.select(F.decode("token", "UTF-8").alias("piece"), F.col("token_id").alias("id"))
+    tokens = materialize(vocab.select(F.decode("token", "UTF-8").alias("piece"), F.col("token_id").alias("id")), "vocabulary")
+    tokens = F.broadcast(tokens) if tokens.count() <= 1_000_000 else tokens
     a = F.col("affix")
     names = affixes.select("affix").distinct().where(F.length(a) > 0)
     exact = names.join(tokens.select(F.col("piece").alias("affix"), "id"), "affix").select("affix", F.array(a).alias("tokens"), F.array("id").alias("token_ids"), F.lit(EXACT_SCORE).alias("score"), F.lit("exact_match").alias("decomposition_type"), F.lit(0).alias("seq"))
@@ -159,13 +162,16 @@ def coverage(affixes: DataFrame, vocab: DataFrame, *, tokenizer: str) -> DataFra
 def similar_affixes(affixes: DataFrame, top_k: int = 3) -> DataFrame:
     """The ``top_k`` most similar other affixes of each, by indel similarity; the affix breaks ties.
 
-    Affix lists have some hundred entries; the pairs are made against the broadcast list.
+    Affix lists have some hundred entries; all pairs are compared, against the broadcast list. A
+    list of more than MOST_AFFIXES is an error, as its pairs would grow with the square.
     """
     from pyspark.sql import Window
 
     from ..functions.chars import similarity_ratio
 
-    names = affixes.select("affix").distinct()
+    names = materialize(affixes.select("affix").distinct(), "affixes")
+    if names.count() > MOST_AFFIXES:
+        raise ValueError(f"more than {MOST_AFFIXES} affixes to compare with each other")
     other = F.broadcast(names.select(F.col("affix").alias("other")))
     pairs = names.join(other, F.col("affix") != F.col("other")).withColumn("ratio", F.round(similarity_ratio(F.col("affix"), F.col("other")), 6))
     place = F.row_number().over(Window.partitionBy("affix").orderBy(F.desc("ratio"), "other"))

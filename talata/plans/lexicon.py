@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chars, syllables, tokens
 from ..operators.ordering import keep_first
+from ..working import materialize
 
 
 def build_lexicon(raw: DataFrame) -> DataFrame:
@@ -42,21 +43,41 @@ def annotate_inflections(rows: DataFrame) -> DataFrame:
     )
 
 
+MOST_PREFIXES = 10_000
+
+
+def _rounds(prefixes: list[str]) -> list[list[str]]:
+    """The prefixes in rounds: each comes after the earlier ones of the list that begin it or that it begins."""
+    at: dict[str, int] = {}
+    for p in prefixes:
+        if p not in at:
+            at[p] = 1 + max((n for q, n in at.items() if q.startswith(p) or p.startswith(q)), default=-1)
+    return [[p for p, n in at.items() if n == i] for i in range(max(at.values(), default=-1) + 1)]
+
+
 def prefixed_words(lexicon: DataFrame, prefixes: DataFrame, most: int) -> DataFrame:
     """Annotations of words that start with a prefix: words of four letters or more, roots of two or more.
 
-    ``prefixes`` (affix, position) is a short list. A word goes to the first prefix of the list that
-    fits; each prefix then keeps its first ``most`` words. So a word whose prefix is full is left
-    out and does not fall to a later prefix: a cap in order of arrival would need one ordered pass
-    over all words.
+    ``prefixes`` (affix, position) is a short list. Each prefix keeps its first ``most`` words, and
+    a word goes to the first prefix of the list that fits and has room: as each prefix's words are
+    the first of those that earlier ones left, the prefixes are taken in rounds, of which there are
+    as many as the longest chain of prefixes that begin each other.
     """
     from ..operators.ordering import first_per_group
 
     w = F.lower("normalized_word")
-    words = lexicon.select(w.alias("word"), F.col("normalized_syllable_list").alias("syllables")).where(F.length("word") >= 4).dropDuplicates(["word"])
-    joined = words.join(F.broadcast(prefixes), F.startswith("word", "affix") & (F.length("word") - F.length("affix") >= 2))
-    one = joined.groupBy("word").agg(F.min(F.struct("position", "affix")).alias("_a"), F.first("syllables").alias("syllables"))
-    capped = first_per_group(one.select("word", "_a.affix", "syllables"), most, ["affix"], "word")
+    words = lexicon.select(w.alias("word"), F.col("normalized_syllable_list").alias("syllables")).where(F.length("word") >= 4)
+    words = materialize(words.groupBy("word").agg(F.min("syllables").alias("syllables")), "words")
+    listed = [r.affix for r in prefixes.orderBy("position", "affix").limit(MOST_PREFIXES + 1).collect() if r.affix]
+    if len(listed) > MOST_PREFIXES:
+        raise ValueError(f"more than {MOST_PREFIXES} prefixes")
+    capped = words.select("word", "syllables", F.lit("").alias("affix")).limit(0)
+    for group in _rounds(listed):
+        side = F.broadcast(words.sparkSession.createDataFrame([(p,) for p in group], "affix STRING"))  # at most MOST_PREFIXES
+        heads = F.array(*[F.substr("word", F.lit(1), F.lit(n)) for n in sorted({len(p) for p in group})])
+        free = words.join(capped.select("word"), "word", "left_anti")
+        fits = free.withColumn("affix", F.explode(F.array_distinct(heads))).join(side, "affix").where(F.length("word") - F.length("affix") >= 2)
+        capped = materialize(capped.unionByName(first_per_group(fits.select("word", "syllables", "affix"), most, ["affix"], "word")), "prefixed")
     root = F.substr("word", F.length("affix") + 1)
     return capped.select(
         "word", root.alias("root"), "affix", F.lit("prefix").alias("affix_type"), F.lit(None).cast("string").alias("aspect"), F.lit(None).cast("string").alias("focus"),

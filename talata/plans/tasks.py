@@ -439,11 +439,16 @@ def multi_step(rows: DataFrame, n: int | None, mcq: bool, seed: int) -> DataFram
 # --- language games and sums -----------------------------------------------------------------
 
 
+MOST_WORDS = 100_000
+
+
 def language_games(words: DataFrame, game: str, n: int, options: int = 4, seed: int = 0) -> DataFrame:
     """``n`` questions (id, question, answer, options): the right word comes first in ``options``.
 
-    ``words`` is a word list of bounded size; it is held as one broadcast array.
+    ``words`` is a word list of bounded size, at most MOST_WORDS; it is held as one broadcast array.
     """
+    if words.limit(MOST_WORDS + 1).count() > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} words for a game; choose the most frequent")
     listed = words.agg(F.array_sort(F.collect_set("word")).alias("all"))
     base = words.sparkSession.range(n).crossJoin(F.broadcast(listed))  # one row of words
     i = F.col("id")
