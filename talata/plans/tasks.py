@@ -104,6 +104,7 @@ def to_generative(items: DataFrame) -> DataFrame:
 
 def affixation(inflections: DataFrame, form: str = "mcq") -> DataFrame:
     """Inflection of roots, and identification of the affix (no circumfixes) with the three nearest affixes."""
+    inflections = materialize(inflections, "inflections")
     names = {c: F.coalesce(c, F.lit("")) for c in ("prefix", "suffix", "infix", "root")}
     kind = F.col("affix_type")
     texts = by_value(prompts.AFFIX_MCQ if form == "mcq" else prompts.AFFIX_GEN, kind, **names)
@@ -143,7 +144,7 @@ def _where_count(words: Column, counts: Column, wanted: Column) -> Column:
 
 def composition(lexicon: DataFrame, n: int | None = None, form: str = "mcq", seed: int = 100) -> DataFrame:
     """``lexicon`` (word, normalized_word): spelling, and counts of characters, marks, capitals and length."""
-    words = lexicon.where(F.length("normalized_word") >= MIN_LENGTH["composition"])
+    words = materialize(lexicon.where(F.length("normalized_word") >= MIN_LENGTH["composition"]).select("word", "normalized_word"), "composed-words")
     w, key = F.col("normalized_word"), F.col("normalized_word")
     if form == "gen":
         letter = chars.random_char(w, seed)
@@ -197,16 +198,16 @@ def group_task(groups: DataFrame, kind: str, seed: int = 100) -> DataFrame:
 
 def manipulation(lexicon: DataFrame, n: int | None = None, form: str = "mcq", seed: int = 100) -> DataFrame:
     """Edits of every occurrence of a character, case changes and mark removal."""
-    words = lexicon.where(F.length("normalized_word") >= MIN_LENGTH["manipulation"])
+    words = lexicon.where(F.length("normalized_word") >= MIN_LENGTH["manipulation"]).select("word", "normalized_word")
     w = F.col("normalized_word")
-    # Chosen characters are columns, so later expressions refer to them instead of repeating the choice.
+    # Chosen characters are written with the words, so each kind of task reads them instead of choosing again.
     own = F.array_sort(F.array_distinct(chars.to_chars(w)))
     alphabet = F.array(*[F.lit(c) for c in chars.ALPHABET])
     words = words.withColumn("_a", pick(own, number(f"{seed}-a", w)))
     a, new, b, other = F.col("_a"), F.col("_new"), F.col("_b"), F.col("_other")
     words = words.withColumn("_new", pick(F.array_except(alphabet, F.array(a)), number(f"{seed}-new", w)))
     words = words.withColumn("_b", F.coalesce(pick(F.array_except(own, F.array(a)), number(f"{seed}-b", w)), new))
-    words = words.withColumn("_other", F.coalesce(pick(F.array_except(own, F.array(a, b)), number(f"{seed}-other", w)), new))
+    words = materialize(words.withColumn("_other", F.coalesce(pick(F.array_except(own, F.array(a, b)), number(f"{seed}-other", w)), new)), "edited-words")
     done = {
         "deletion": chars.delete_char(w, a),
         "insertion": chars.insert_char(w, a, new),
@@ -248,6 +249,7 @@ def manipulation(lexicon: DataFrame, n: int | None = None, form: str = "mcq", se
 def syllabification(lexicon: DataFrame, n: int | None = None, form: str = "mcq", seed: int = 100) -> DataFrame:
     """``lexicon`` with ``normalized_syllable_list``: stress, reduplication, and syllable counts."""
     words = lexicon.where(F.length("normalized_word") >= MIN_LENGTH["syllabification"])
+    words = materialize(words.select("word", "normalized_word", "normalized_syllable_list", "last_syllable_pronunciation"), "syllable-words")
     w, parts_of = F.col("normalized_word"), F.col("normalized_syllable_list")
     kind = F.col("last_syllable_pronunciation")
     labels = F.array(*[F.lit(x) for x in syllables.STRESS_LABELS.values()])
@@ -292,7 +294,7 @@ def homographs(lexicon: DataFrame) -> DataFrame:
 def stress(lexicon: DataFrame, n: int | None = None, form: str = "mcq", seed: int = 42) -> DataFrame:
     """Which syllable is stressed, which kind of stress, and where the marks go."""
     chosen = homographs(lexicon).withColumn("e", pick(F.col("entries"), number(seed, F.col("folded"))))
-    chosen = chosen if n is None else chosen.orderBy(order_key(seed, F.col("folded")), "folded").limit(n)
+    chosen = materialize(chosen if n is None else chosen.orderBy(order_key(seed, F.col("folded")), "folded").limit(n), "homographs")
     word, accented = F.col("e.normalized_word"), F.col("e.word")
     context = syllables.context_of(word, F.coalesce("e.part_of_speech", F.lit("pnb")), seed)
     key = F.col("folded")
@@ -326,7 +328,7 @@ def _three(options: Column, right: Column, seed: object, key: Column) -> Column:
 def word_levels(words: DataFrame, n: int | None = None, form: str = "mcq", seed: int = 42) -> DataFrame:
     """Levels 0 and 1 on ``words`` (word): characters by place, counts, presence, and edits by place."""
     rows = words.where(F.length("word") >= 3).select("word").distinct()
-    rows = rows if n is None else rows.orderBy(order_key(seed, F.col("word")), "word").limit(n)
+    rows = materialize(rows if n is None else rows.orderBy(order_key(seed, F.col("word")), "word").limit(n), "level-words")
     w, size = F.col("word"), F.length("word")
     mcq = form == "mcq"
     p = (F.pmod(number(f"{seed}-p", w), size) + 1).cast("int")
@@ -365,7 +367,7 @@ def affix_rows(annotated: DataFrame, seed: int = 42) -> DataFrame:
 
 def affix_levels(annotated: DataFrame, n: int | None = None, form: str = "mcq", seed: int = 42) -> DataFrame:
     """Levels 2 to 5: name the affix, find the root, count syllables, remove, apply, and both in a row."""
-    rows = affix_rows(annotated, seed)
+    rows = materialize(affix_rows(annotated, seed), "affix-rows")
     mcq = form == "mcq"
     pools = rows.groupBy("affix_type").agg(F.array_sort(F.collect_set("affix")).alias("pool"))  # three rows
     out = rows if n is None else rows.orderBy(order_key(seed, F.col("word")), "word").limit(n)
@@ -377,7 +379,7 @@ def affix_levels(annotated: DataFrame, n: int | None = None, form: str = "mcq",
     total = ring.count()
     want = out.select("word", "root", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i")).withColumn("row_index", F.pmod(number(seed, F.col("word"), F.col("i")), F.lit(max(1, total))))
     others = want.join(ring.select("row_index", F.col("root").alias("other")), "row_index").groupBy("word").agg(F.array_sort(F.collect_set("other")).alias("others"))
-    out = out.join(others, "word", "left").withColumn("others", F.coalesce("others", F.array().cast(STRINGS)))
+    out = materialize(out.join(others, "word", "left").withColumn("others", F.coalesce("others", F.array().cast(STRINGS))), "level-rows")
     w, root, affix, kind = F.col("word"), F.col("root"), F.col("affix"), F.col("affix_type")
     values = {"affix_type": kind, "affix": affix, "root": root}
     near = F.filter(F.array(F.col("count") - 1, F.col("count") + 1, F.col("count") + 2, F.col("count") - 2), lambda x: x > 0)
