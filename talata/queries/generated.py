@@ -172,7 +172,7 @@ def affixation_gen(spark, sf_dir):
 def _inflections(spark, sf_dir):
     rows = _annotated(spark, sf_dir)
     kind = F.when(F.col("prefix").isNotNull(), "prefix").otherwise("suffix")
-    return rows.select("root", kind.alias("affix_type"), "prefix", "suffix", "infix", F.col("word").alias("correct"), F.reverse("word").alias("incorrect1"), F.col("root").alias("incorrect2"), F.concat("word", F.lit("s")).alias("incorrect3"))
+    return rows.select("root", kind.alias("affix_type"), "prefix", "suffix", "infix", F.col("word").alias("correct"), F.when(F.reverse("word") == F.col("word"), F.concat("word", F.lit("a"))).otherwise(F.reverse("word")).alias("incorrect1"), F.col("root").alias("incorrect2"), F.concat("word", F.lit("s")).alias("incorrect3"))
 
 
 @query(f"""SELECT word, substr(word, 3) AS root, 'th' AS affix, 2 AS boundary FROM {WORDS_SQL} WHERE starts_with(word, 'th') AND length(word) >= 4

@@ -79,9 +79,9 @@ def perplexity_by_class(spark, sf_dir):
     return scores.perplexity(table(spark, sf_dir, "events"), -F.col("value") / 100.0, "event_type")
 
 
-@query("""SELECT vec_id, round(-(list_sum(list_filter(list_transform(embedding[1:8], lambda x: x::DOUBLE), lambda x, i: i % 2 = 1)) / 4), 6) AS loss FROM embeddings""")
+@query("""SELECT vec_id, round(-list_avg(list_filter(list_transform(embedding, lambda x: x::DOUBLE), lambda x, i: i % 2 = 1)), 6) AS loss FROM embeddings""")
 def masked_loss(spark, sf_dir):
-    p = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
+    p = F.transform("embedding", lambda x: x.cast("double"))
     mask = F.transform(p, lambda x, i: (i % 2 == 0).cast("int"))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(scores.masked_loss(p, mask), 6).alias("loss"))
 

@@ -271,7 +271,7 @@ def affixation(form: str) -> str:
     texts = prompts.AFFIX_MCQ if mcq else prompts.AFFIX_GEN
     names = {"prefix": "affix", "suffix": "affix", "root": "root", "infix": "''"}
     said = tuple(f"(CASE kind WHEN 'prefix' THEN {render(texts['prefix'][i], **names)} ELSE {render(texts['suffix'][i], **names)} END)" for i in (0, 1))
-    inflection = f"SELECT {row('affixation', Q('inflection_') + ' || kind', said, 'word', '[reverse(word), root, word || ' + Q('s') + ']' if mcq else None, 'word')} FROM {ANNOTATED}"
+    inflection = f"SELECT {row('affixation', Q('inflection_') + ' || kind', said, 'word', '[CASE WHEN reverse(word) = word THEN word || ' + Q('a') + ' ELSE reverse(word) END, root, word || ' + Q('s') + ']' if mcq else None, 'word')} FROM {ANNOTATED}"
     identified = rendered(prompts.AFFIX_ID_MCQ if mcq else prompts.AFFIX_ID_GEN, correct="word")
     source = ANNOTATED
     if mcq:

@@ -24,8 +24,9 @@ def corpus(spark: SparkSession, path: str | list[str], key: str = "text") -> Dat
 
 def bad_lines(spark: SparkSession, path: str | list[str], key: str = "text") -> DataFrame:
     """The lines that ``corpus`` leaves out because they do not parse."""
-    rows = spark.read.schema(f"`{key}` STRING, _bad STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.select("_bad", F.col(f"`{key}`")).where(F.col("_bad").isNotNull()).select(F.col("_bad").alias("line"))
+    parsed = F.from_json("value", f"`{key}` STRING, _bad STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.where(parsed["_bad"].isNotNull()).select(F.col("value").alias("line"))
 
 
 def in_file_order(df: DataFrame, name: str = "position") -> DataFrame:
