@@ -9,15 +9,12 @@ from . import sqltext as sq
 from .base import WORDS_SQL, number_sql, query, raw_words, words
 
 
-def _word_query(name: str, made, sql: str, but: str = "") -> None:
-    """``but``: a letter whose words are left out, as the engines change its case differently."""
-
+def _word_query(name: str, made, sql: str) -> None:
     def run(spark, sf_dir):
-        each = words(spark, sf_dir)
-        return (each.where(~F.contains("word", F.lit(but))) if but else each).select("word", made().alias("result"))
+        return words(spark, sf_dir).select("word", made().alias("result"))
 
     run.__name__ = name
-    query(f"SELECT word, {sql} AS result FROM {WORDS_SQL}" + (f" WHERE NOT contains(word, '{but}')" if but else ""))(run)
+    query(f"SELECT word, {sql} AS result FROM {WORDS_SQL}")(run)
 
 
 _word_query("spell_words", lambda: chars.spell(F.col("word")), "array_to_string(string_split(word, ''), ' ')")
@@ -39,8 +36,8 @@ _word_query("char_at", lambda: chars.char_at(F.col("word"), F.lit(2)), "substr(w
 _word_query("char_count", lambda: chars.count_char(F.col("word"), F.lit("e")).cast("bigint"), "length(word) - length(replace(word, 'e', ''))")
 _word_query("diacritic_count", lambda: chars.count_diacritics(F.col("word")).cast("bigint"), f"length(word) - length(regexp_replace(word, '[{chars.DIACRITICS}]', '', 'g'))")
 _word_query("word_length", lambda: F.length(F.col("word")).cast("bigint"), "length(word)")
-_word_query("capitalize_word", lambda: chars.capitalize(F.col("word")), "upper(substr(word, 1, 1)) || lower(substr(word, 2))", "ß")
-_word_query("half_upper", lambda: chars.half_upper(F.col("word")), "upper(substr(word, 1, length(word) // 2)) || lower(substr(word, length(word) // 2 + 1))", "ß")
+_word_query("capitalize_word", lambda: chars.capitalize(F.col("word")), f"{sq.upper('substr(word, 1, 1)')} || lower(substr(word, 2))")
+_word_query("half_upper", lambda: chars.half_upper(F.col("word")), sq.half_upper("word"))
 _word_query("ordinal_of_length", lambda: chars.ordinal(F.length(F.col("word"))), "length(word)::VARCHAR || CASE length(word) WHEN 1 THEN 'st' WHEN 2 THEN 'nd' WHEN 3 THEN 'rd' ELSE 'th' END")
 _word_query("stress_class_by_mark", lambda: syllables.stress_type(F.col("word")), f"CASE WHEN regexp_matches(word, '[{chars.ACUTE}]') THEN 'mabilis' WHEN regexp_matches(word, '[{chars.GRAVE}]') THEN 'malumi' WHEN regexp_matches(word, '[{chars.CIRCUMFLEX}]') THEN 'maragsa' ELSE 'malumay' END")
 _word_query("seeded_number", lambda: chars.number(7, F.col("word")), number_sql("'7|' || word"))
@@ -85,13 +82,10 @@ def case_counts(spark, sf_dir):
     return raw_words(spark, sf_dir).select("w").distinct().select(w.alias("word"), chars.count_upper(w).cast("bigint").alias("n_upper"), chars.count_lower(w).cast("bigint").alias("n_lower"))
 
 
-@query("SELECT w AS word, upper(w) AS up, lower(w) AS low FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-Þà-öø-þ]+')) AS w FROM documents) WHERE NOT contains(w, 'ß')")
+@query(f"SELECT w AS word, {sq.upper('w')} AS up, lower(w) AS low FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]+')) AS w FROM documents)")
 def case_variants(spark, sf_dir):
-    from .base import table
-
     w = F.col("w")
-    each = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-zÀ-ÖØ-Þà-öø-þ]+)"), F.lit(1))).alias("w")).distinct().where(~F.contains(w, F.lit("ß")))
-    return each.select(w.alias("word"), F.upper(w).alias("up"), F.lower(w).alias("low"))
+    return raw_words(spark, sf_dir).select("w").distinct().select(w.alias("word"), F.upper(w).alias("up"), F.lower(w).alias("low"))
 
 
 @query(f"SELECT word, array_to_string(syl, '-') AS syllables FROM {sq.SYLLABLES}")

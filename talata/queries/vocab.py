@@ -28,9 +28,10 @@ def _affixes(spark):
     return spark.createDataFrame([(a, "prefix" if i % 3 == 0 else "infix" if i % 3 == 1 else "suffix") for i, a in enumerate(AFFIXES)], "affix STRING, affix_type STRING")
 
 
-ASCII_VOCAB = f"(SELECT * FROM {VOCAB_SQL} WHERE regexp_full_match(word, '[a-z]+'))"
-MERGES_SQL = f"""(SELECT t.id AS merged, l.id AS "left", r.id AS "right" FROM (SELECT id, word, unnest(range(1, length(word))) AS i FROM {ASCII_VOCAB}) t
-    JOIN {ASCII_VOCAB} l ON l.word = substr(t.word, 1, t.i) JOIN {ASCII_VOCAB} r ON r.word = substr(t.word, t.i + 1))"""
+#: Tokens as hexadecimal bytes, so that they are cut at bytes and not at characters.
+BYTES_VOCAB = f"(SELECT id, hex(encode(word)) AS h FROM {VOCAB_SQL})"
+MERGES_SQL = f"""(SELECT t.id AS merged, l.id AS "left", r.id AS "right" FROM (SELECT id, h, unnest(range(1, length(h) // 2)) AS i FROM {BYTES_VOCAB}) t
+    JOIN {BYTES_VOCAB} l ON l.h = substr(t.h, 1, 2 * t.i) JOIN {BYTES_VOCAB} r ON r.h = substr(t.h, 2 * t.i + 1))"""
 
 
 def _ascii(spark, sf_dir):
@@ -39,17 +40,17 @@ def _ascii(spark, sf_dir):
 
 @query(f'SELECT merged, "left", "right" FROM {MERGES_SQL}')
 def vocab_merge_self_join(spark, sf_dir):
-    return vocabulary.merges(_ascii(spark, sf_dir))
+    return vocabulary.merges(_vocab(spark, sf_dir))
 
 
 @query(f"SELECT merged AS token_id, count(*) AS n_pairs FROM {MERGES_SQL} GROUP BY merged")
 def expansion_counts(spark, sf_dir):
-    return vocabulary.expansions(_ascii(spark, sf_dir)).select("token_id", F.size("pairs").cast("bigint").alias("n_pairs"))
+    return vocabulary.expansions(_vocab(spark, sf_dir)).select("token_id", F.size("pairs").cast("bigint").alias("n_pairs"))
 
 
 @query(f'SELECT "left", "right", merged FROM {MERGES_SQL}')
 def contraction_table(spark, sf_dir):
-    return vocabulary.contractions(_ascii(spark, sf_dir))
+    return vocabulary.contractions(_vocab(spark, sf_dir))
 
 
 LIST = "(SELECT a AS affix, CASE (i - 1) % 3 WHEN 0 THEN 'prefix' WHEN 1 THEN 'infix' ELSE 'suffix' END AS affix_type FROM (SELECT unnest([{}]) AS a, generate_subscripts([{}], 1) AS i))".format(*[",".join(f"'{a}'" for a in AFFIXES)] * 2)
