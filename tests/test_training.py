@@ -26,6 +26,9 @@ GENERATED = [
     "hierarchical_words_gen", "hierarchical_affixes_mcq", "mcq_items", "group_of_four_characters", "addition_options", "langgame_most", "langgame_ends", "affixation_mcq", "affixation_gen", "annotation_table",
     "lexicon_build", "visualization_export", "syllabify_words", "reduplicated_words", "perturbed_spellings", "diacritized_words", "affix_decompositions_top3", "similar_affixes_topk", "stochastic_expand",
     "affix_contract_expand", "sample_with_replacement", "bpe_round_trip", "indexed_files", "stream_batches", "game_training", "sum_training", "sum_question_answers", "rank_means", "stamped_names", "infix_positions",
+    "corpus_file", "bad_lines", "annotation_scan_first", "wide_affixes", "newest_per_model", "newest_file", "frequency_file", "affix_files", "ranked_vocabulary_file", "flat_ids", "padded_ids", "merge_cache", "chunk_files",
+    "indexed_pairs", "load_hierarchical_mcq", "load_arc", "load_mmlu", "load_winogrande", "load_blimp", "load_cute", "load_nested_categories", "word_predicates", "cut_and_splice", "flat_questions", "segment_masks",
+    "tokenization_information", "masked_loss", "capitalize_word", "case_variants", "contraction_table",
 ]
 
 
