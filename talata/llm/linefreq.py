@@ -42,46 +42,45 @@ def line_key(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, _SPACES + "+", " ")))
 
 
+def lines_of(text: Column) -> Column:
+    """The lines that have a word."""
+    return F.filter(F.split(text, "\n", -1), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
+
+
 def words_of(text: Column) -> Column:
     return F.filter(F.split(_flat(text), " ", -1), lambda w: w != "")
 
 
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
 def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; ``docs`` has none of them.
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, which take the place of such columns.
 
-    Null and empty texts count 0 everywhere. Windows of WINDOW words are compared by a 64-bit hash
-    within one document; documents without a repeated window never sort theirs.
+    Null and empty texts count 0 everywhere, very long ones are counted whole. Windows of WINDOW
+    words are compared by a 64-bit hash within one document; documents without a repeated window
+    never sort theirs. Other columns may have any name.
     """
-    t = text_or_empty(text)
-    out = docs.withColumns(
-        {
-            "_hashes": F.transform(words_of(t), lambda w: F.xxhash64(w)),
-            "word_chars": F.length(_without(_flat(t), " ")).cast("long"),
-            "n_symbols": sum((F.length(t) - F.length(_without(t, c)) for c in SYMBOLS), F.lit(0)).cast("long"),
-            "_lines": F.filter(F.split(t, "\n", -1), lambda line: line.rlike("[^\\x20\\x09-\\x0D]")),
-        }
+    kept = [c for c in docs.columns if c.lower() not in COUNTS]
+    t, h, g, s, p = (F.col(c) for c in ("t", "hashes", "windows", "sorted", "starts"))
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), text_or_empty(text).alias("t"))
+    out = out.select(
+        "doc",
+        F.transform(words_of(t), lambda w: F.xxhash64(w)).alias("hashes"),
+        F.length(_without(_flat(t), " ")).cast("long").alias("word_chars"),
+        sum((F.length(t) - F.length(_without(t, c)) for c in SYMBOLS), F.lit(0)).cast("long").alias("n_symbols"),
+        lines_of(t).alias("lines"),
     )
-    h = F.col("_hashes")
     n = F.size(h)
-    windows = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
-    out = out.withColumns(
-        {
-            "n_words": n.cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_windows": F.when(n >= WINDOW, windows),
-        }
-    ).drop("_hashes", "_lines")
-    g = F.col("_windows")
+    each = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
+    out = out.select("doc", n.cast("long").alias("n_words"), "word_chars", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.when(n >= WINDOW, each).alias("windows"))
     repeated = F.size(F.array_distinct(g)) < F.size(g)
-    out = out.withColumn("_sorted", F.when(repeated, F.sort_array(F.transform(g, lambda k, i: F.struct(k.alias("k"), i.alias("p"))))))
-    s = F.col("_sorted")
+    out = out.withColumn("sorted", F.when(repeated, F.sort_array(F.transform(g, lambda k, i: F.struct(k.alias("k"), i.alias("p"))))))
     twice = F.transform(s, lambda x, i: F.when((F.get(s, i - 1)["k"] == x["k"]) | (F.get(s, i + 1)["k"] == x["k"]), x["p"]))
-    out = out.withColumn("_starts", F.sort_array(F.filter(twice, lambda p: p.isNotNull()))).drop("_windows", "_sorted")
-    p = F.col("_starts")
-    spread = F.aggregate(
-        F.transform(p, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(p, i + 1) - x, F.lit(WINDOW)))), F.lit(0), lambda a, x: a + x
-    )
-    return out.withColumn("n_repeat_words", F.coalesce(spread, F.lit(0)).cast("long")).drop("_starts")
+    out = out.withColumn("starts", F.sort_array(F.filter(twice, lambda q: q.isNotNull())))
+    spread = F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(p, i + 1) - x, F.lit(WINDOW)))), F.lit(0), lambda a, x: a + x)
+    out = out.withColumn("n_repeat_words", F.coalesce(spread, F.lit(0)).cast("long"))
+    return out.select(*[F.col("doc").getField(c).alias(c) for c in kept], *COUNTS)
 
 
 def _by_document(rows: DataFrame) -> DataFrame:
@@ -120,7 +119,7 @@ def filter_lines(docs: DataFrame, host: str = "source", *, max_docs: int = MAX_D
     host is a host of its own; a blank line is never frequent. A line at a limit, not above it, stays. ``with_text`` adds the text without its removed lines. Empty tables give no rows.
     """
     picked = docs.select("doc_id", F.col(host).alias("host"), "text")
-    counted = text_counts(picked).withColumn("_lines", F.filter(F.split(text_or_empty(), "\n", -1), lambda line: line.rlike("[^\\x20\\x09-\\x0D]")))
+    counted = text_counts(picked).withColumn("_lines", lines_of(text_or_empty()))
     with_lines = counted.select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",

@@ -314,6 +314,8 @@ def test_text_counts(spark, docs):
     texts = [*TEXTS, " ".join(words), "a b\n\na b\n  \na  b\nx", "### $& ok"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     made = {r.doc_id: r for r in linefreq.text_counts(df).collect()}
+    clash = linefreq.text_counts(df.withColumns({c: F.lit("own") for c in ("hashes", "lines", "windows", "doc", "t", "N_words", "starts")}))
+    assert sorted(map(str, clash.select("doc_id", *linefreq.COUNTS).collect())) == sorted(map(str, linefreq.text_counts(df).select("doc_id", *linefreq.COUNTS).collect())) and {r.t for r in clash.collect()} == {"own"}
     for i, t in enumerate(texts):
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", t or "") if x]
         lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
