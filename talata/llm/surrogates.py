@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read, text_or_empty
+from .common import drop_table, materialize, read, text_or_empty
 
 #: Of the query and the tests, so that their results can be compared. Callers of the operator pass their own secret.
 TEST_KEY = "talata-surrogates-1"
@@ -279,7 +279,9 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         won = free.groupBy("space", "form").agg(F.min(F.struct("kind", "canon", "made")).alias("one"))
         won = materialize(won.select("one.*", "space", "form"), "assigned")
         settled = won if settled is None else settled.unionAll(won)
-        pending = materialize(tried.join(won, ["kind", "canon"], "left_anti").select("kind", "canon"), "clashes")
+        before, pending = pending if attempt else None, materialize(tried.join(won, ["kind", "canon"], "left_anti").select("kind", "canon"), "clashes")
+        drop_table(tried)
+        drop_table(before)
         if pending.isEmpty():
             return settled.select("kind", "canon", "made")
         taken = taken.unionAll(won.select("space", "form"))

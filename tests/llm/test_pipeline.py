@@ -83,3 +83,14 @@ def test_the_key_is_a_setting(spark, data, odd):
     finally:
         spark.conf.unset(corpus_pipeline.KEY_SETTING)
     assert before != after and before == surrogates.replace_entities(odd, surrogates.TEST_KEY).where("doc_id = 8").first().text
+
+
+def test_a_run_goes_on_after_the_last_whole_stage(spark, data, tmp_path, monkeypatch):
+    folder, ran = f"file://{tmp_path}/stages", []
+    counted = [(n, lambda *a, n=n, f=f: ran.append(n) or f(*a)) for n, f in corpus_pipeline.STAGES]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", counted)
+    first = sorted(map(str, corpus_pipeline.run(spark, data, folder).select("doc_id", "piece", "ids_crc32").collect()))
+    assert ran == [n for n, _ in counted] and ran.clear() is None
+    (tmp_path / "stages" / "3-personal_data" / "_SUCCESS").unlink()
+    again = sorted(map(str, corpus_pipeline.run(spark, data, folder).select("doc_id", "piece", "ids_crc32").collect()))
+    assert ran == ["personal_data", "packing"] and again == first
