@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talata.llm import decontaminate, langid, packing, shingles, surrogates
 from talata.llm.common import materialize, read
+from talata.sources.sinks import exists
 
 #: The session's setting with the secret that surrogates are made with; without it the key of the tests.
 KEY_SETTING = "spark.talata.surrogates.key"
@@ -59,9 +60,19 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each one's result written as Parquet and read again."""
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """All stages over ``documents``, each one's result written as Parquet and read again.
+
+    With ``folder``, on storage that driver and executors share, the stages' results are kept there,
+    and a run that finds some goes on after the last whole one: a driver that was lost costs one stage.
+    """
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        if folder is None:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            continue
+        path = f"{folder.rstrip('/')}/{i}-{name}"
+        if not exists(spark, f"{path}/_SUCCESS"):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        docs = spark.read.schema(docs.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
