@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,6 +87,31 @@ class Tables:
         return {**self.__dict__, "_finder": None}
 
 
+def _count_matches(batches, affixes):
+    finder = Tables({}, {}, affixes)
+    for batch in batches:
+        docs, places = Counter(), Counter()
+        for text in batch.column(0):
+            found = [a for _, a in finder.find(text.as_py() or "")]
+            places.update(found)
+            docs.update(set(found))
+        names = list(places)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([docs[a] for a in names], pa.int64()), pa.array([places[a] for a in names], pa.int64())], ["affix", "n_docs", "n_matches"])
+
+
+def affix_matches(rows: DataFrame, text: str, affixes: DataFrame) -> DataFrame:
+    """(affix, n_docs, n_matches): rows that have an affix and all its places, overlapping ones too, in one pass.
+
+    One automaton finds all affixes at once. The list goes to every task; more than ``Tables.MOST``
+    are an error. Counts are added up in each batch before they are shuffled.
+    """
+    listed = sorted({r.affix for r in affixes.select("affix").distinct().limit(Tables.MOST + 1).collect() if r.affix})
+    if len(listed) > Tables.MOST:
+        raise ValueError(f"more than {Tables.MOST} affixes can't be shared with every task")
+    counted = rows.select(text).mapInArrow(partial(_count_matches, affixes=listed), "affix string, n_docs long, n_matches long")
+    return counted.groupBy("affix").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_matches").alias("n_matches"))
+
+
 def expand(ids: list[int], tables: Tables, rng: random.Random, share: float = 0.1, most: int | None = None, skip_affixes: bool = False) -> list[int]:
     """int(n * share) tries at a place of the current list; an expandable id becomes one of its pairs.
 

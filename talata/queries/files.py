@@ -148,6 +148,45 @@ def ranked_vocabulary_file(spark, sf_dir):
     return readers.bpe_vocabulary(spark, path).select("token_id", F.decode("token", "UTF-8").alias("word"))
 
 
+def _workbook(rows: list[list[str]]) -> bytes:
+    """A small .xlsx file: numbers as numbers, the first column's texts inline, the others shared."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    shared: list[str] = []
+
+    def cell(i: int, j: int, value: str) -> str:
+        place = f"{chr(65 + j)}{i + 1}"
+        if value.isdigit():
+            return f'<c r="{place}"><v>{value}</v></c>'
+        if not j:
+            return f'<c r="{place}" t="inlineStr"><is><t>{escape(value)}</t></is></c>'
+        shared.append(value)
+        return f'<c r="{place}" t="s"><v>{len(shared) - 1}</v></c>'
+
+    sheet = "".join(f"<row>{''.join(cell(i, j, v) for j, v in enumerate(r) if v)}</row>" for i, r in enumerate(rows))
+    out, space = io.BytesIO(), 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {space}><sheetData>{sheet}</sheetData></worksheet>")
+        z.writestr("xl/sharedStrings.xml", f"<sst {space}>{''.join(f'<si><t>{escape(x)}</t></si>' for x in shared)}</sst>")
+    return out.getvalue()
+
+
+@query("SELECT n_name AS name, n_nationkey::VARCHAR AS number, NULLIF(CASE WHEN n_regionkey = 1 THEN '' ELSE n_name || ' & <' || n_regionkey || '>' END, '') AS note FROM nation")
+def spreadsheet_scan(spark, sf_dir):
+    """A spreadsheet of the nations, with empty cells and marks that its format escapes."""
+    from pyarrow import fs
+
+    nations = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # 25 rows
+    folder = new_path(spark, "sheets")
+    system, base = fs.FileSystem.from_uri(folder)
+    system.create_dir(base, recursive=True)
+    with system.open_output_stream(f"{base}/nations.xlsx") as f:
+        f.write(_workbook([["name", "number", "note"], *[[r.n_name, str(r.n_nationkey), "" if r.n_regionkey == 1 else f"{r.n_name} & <{r.n_regionkey}>"] for r in nations]]))
+    return readers.spreadsheet(spark, folder)
+
+
 # --- binary ids, caches and chunks -----------------------------------------------------------
 
 CODES = "list_transform(string_split(coalesce(text, ''), ''), lambda c: CASE WHEN ascii(c) < 128 THEN ascii(c) ELSE 0 END)"

@@ -69,10 +69,7 @@ def affix_ids(spark, sf_dir):
 
 @query(f"""SELECT affix, count(*) AS n_docs, sum((length(t) - length(replace(t, affix, ''))) // length(affix))::BIGINT AS n_matches FROM (SELECT lower(text) AS t FROM documents) d JOIN {LIST} l ON contains(d.t, l.affix) GROUP BY affix""")
 def affix_match_counts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.lower("text").alias("t"))
-    hits = docs.join(F.broadcast(_affixes(spark)), F.contains("t", "affix"))  # a list of fixed length
-    n = F.expr("(length(t) - length(replace(t, affix, ''))) div length(affix)")
-    return hits.groupBy("affix").agg(F.count("*").alias("n_docs"), F.sum(n).alias("n_matches"))
+    return expand.affix_matches(table(spark, sf_dir, "documents").select(F.lower("text").alias("t")), "t", _affixes(spark))
 
 
 MEANINGFUL_SQL = ", ".join(f"'{m}'" for m in vocabulary.MEANINGFUL)

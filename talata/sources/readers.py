@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..working import materialize
 from . import schemas
 
 #: Affixes that a decomposition starts from when no list is given. Fixed values.
@@ -63,10 +68,73 @@ def frequencies(spark: SparkSession, path: str) -> DataFrame:
 
 
 def inflections(spark: SparkSession, path: str) -> DataFrame:
-    """Inflections as CSV or JSON lines; spreadsheets are converted to these beforehand."""
+    """Inflections as a spreadsheet, CSV or JSON lines."""
+    if path.endswith(".xlsx"):
+        rows = spreadsheet(spark, path)
+        return rows.select(*[F.col(f"`{c}`") for c in rows.columns if c in {f.split()[0] for f in schemas.INFLECTIONS.split(", ")}])
     return jsonl(spark, path, schemas.INFLECTIONS) if path.endswith((".jsonl", ".json")) else spark.read.option("header", True).schema(schemas.INFLECTIONS).csv(path)
 
 
+def _column_number(place: str) -> int:
+    """AB12 -> 27: the column of a cell from 0."""
+    n = 0
+    for c in place:
+        if not c.isalpha():
+            break
+        n = 26 * n + ord(c.upper()) - 64
+    return n - 1
+
+
+def sheet_rows(data: bytes, sheet: int = 1) -> Iterator[list[str | None]]:
+    """The rows of one sheet of an .xlsx file as texts: shared and inline strings, numbers and booleans as stored."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    local = lambda e: e.tag.rsplit("}", 1)[-1]
+    text = lambda e: "".join(t.text or "" for t in e.iter() if local(t) == "t")
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        shared = [text(e) for e in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if local(e) == "si"] if "xl/sharedStrings.xml" in z.namelist() else []
+        with z.open(f"xl/worksheets/sheet{sheet}.xml") as f:
+            for _, e in ElementTree.iterparse(f):
+                if local(e) != "row":
+                    continue
+                row: list[str | None] = []
+                for i, cell in enumerate(c for c in e if local(c) == "c"):
+                    at = _column_number(cell.get("r", "")) if cell.get("r") else i
+                    value = next((v.text for v in cell if local(v) == "v"), None)
+                    kind = cell.get("t")
+                    said = text(cell) if kind == "inlineStr" else shared[int(value)] if kind == "s" and value is not None else value
+                    row += [None] * (at + 1 - len(row))
+                    row[at] = said if said != "" else None
+                yield row
+                e.clear()
+
+
+def _sheet(batches, sheet: int):
+    for batch in batches:
+        for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            rows = list(enumerate(sheet_rows(data.as_py(), sheet)))
+            for i in range(0, len(rows), 5000):
+                part = rows[i : i + 5000]
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array([n for n, _ in part], pa.int64()), pa.array([r for _, r in part], pa.list_(pa.string()))], ["path", "row", "cells"])
+
+
+def spreadsheet(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
+    """One sheet of each .xlsx file of ``path``, its first row as column names and all values as text.
+
+    A file is read by one task, as its rows are one compressed stream. Files with other headers than
+    the first one's are an error.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    rows = materialize(files.mapInArrow(partial(_sheet, sheet=sheet), "path string, row long, cells array<string>"), "sheet")
+    headers = [r.cells for r in rows.where("row = 0").select("cells").distinct().limit(2).collect()]
+    if len(headers) > 1:
+        raise ValueError(f"the files of {path} have different headers")
+    names = headers[0] if headers else []
+    return rows.where("row > 0").select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names) if n])
+
+
 def affix_list(spark: SparkSession, path: str, kind: str, *, keep_hyphens: bool = True) -> DataFrame:
     """(affix, affix_type) of the non-blank lines."""
     value = F.trim("value") if keep_hyphens else F.replace(F.trim("value"), F.lit("-"), F.lit(""))
