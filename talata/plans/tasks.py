@@ -158,16 +158,16 @@ def composition(lexicon: DataFrame, n: int | None = None, form: str = "mcq", see
         return union(parts)
     spelling = task(sampled(words, n, seed), "composition", "spelling", rendered(prompts.SPELLING_MCQ), chars.spell(w), chars.perturbations(w, seed), key)
     ordered = words.select("word", "normalized_word").distinct().withColumn("_order", order_key(seed, w))
-    groups = groups_of_four(ordered, "_order", "normalized_word", "word")
-    return union([spelling, *[first(group_task(groups, kind, seed), n, F.col("key")) for kind in COMPOSITION_GROUPS]])
+    groups = materialize(groups_of_four(ordered, "_order", "normalized_word", "word"), "groups-of-four")
+    counted = {subject: materialize(counted_groups(groups, subject, seed), "counted-groups") for subject in ("character", "diacritic", "uppercase", "length")}
+    return union([spelling, *[first(_group_task(counted[kind.partition("_")[0]], kind), n, F.col("key")) for kind in COMPOSITION_GROUPS]])
 
 
-def group_task(groups: DataFrame, kind: str, seed: int = 100) -> DataFrame:
-    """One task for each group of four words for which the answer is unambiguous."""
+def counted_groups(groups: DataFrame, subject: str, seed: int = 100) -> DataFrame:
+    """(group_id, words, char, counts) of the groups of four in which what is counted gives an unambiguous answer."""
     m = F.col("members")
     words = F.transform(m, lambda x: x["normalized_word"])
     marked = F.transform(m, lambda x: x["word"])
-    subject, _, how = kind.partition("_")
     base = groups.where(F.size(F.array_distinct(words)) == 4)
     if subject == "length":
         base = base.withColumn("counts", F.transform(words, lambda w: F.length(w))).withColumn("words", words).withColumn("char", F.lit(""))
@@ -181,14 +181,24 @@ def group_task(groups: DataFrame, kind: str, seed: int = 100) -> DataFrame:
         source = marked if subject == "diacritic" else words
         base = base.withColumn("words", source).withColumn("counts", F.transform("words", count)).withColumn("char", F.lit("diacritic" if subject == "diacritic" else "uppercase"))
         base = base.where(F.aggregate("counts", F.lit(0), lambda a, x: a + x) == 1)
-    c, ws = F.col("counts"), F.col("words")
     if subject in ("length", "character"):
         base = base.where(F.size(F.array_distinct("counts")) == 4)
+    return base.select("group_id", "words", "char", "counts")
+
+
+def group_task(groups: DataFrame, kind: str, seed: int = 100) -> DataFrame:
+    """One task for each group of four words for which the answer is unambiguous."""
+    return _group_task(counted_groups(groups, kind.partition("_")[0], seed), kind)
+
+
+def _group_task(base: DataFrame, kind: str) -> DataFrame:
+    subject, _, how = kind.partition("_")
+    c, ws = F.col("counts"), F.col("words")
     wanted = F.array_max(c) if how == "most" else F.array_min(c) if how == "least" else F.lit(1) if subject in ("diacritic", "uppercase") else F.get(c, F.lit(0))
     texts = {
         "length_exactly": prompts.LENGTH_EXACTLY, "length_most": prompts.LENGTH_MOST, "length_least": prompts.LENGTH_LEAST,
         "character_most": prompts.CHAR_MOST, "character_least": prompts.CHAR_LEAST,
-    }.get(kind, prompts.CHAR_EXACTLY)
+    }.get(kind, prompts.CHAR_EXACTLY)
     right = _where_count(ws, c, wanted)
     return task(base, "composition", kind, rendered(texts, target_count=wanted, target_length=wanted, char=F.col("char")), right, _wrong(ws, right), F.lpad(F.col("group_id").cast("string"), 12, "0"))
 
@@ -383,7 +393,7 @@ def affix_levels(annotated: DataFrame, n: int | None = None, form: str = "mcq",
     w, root, affix, kind = F.col("word"), F.col("root"), F.col("affix"), F.col("affix_type")
     values = {"affix_type": kind, "affix": affix, "root": root}
     near = F.filter(F.array(F.col("count") - 1, F.col("count") + 1, F.col("count") + 2, F.col("count") - 2), lambda x: x > 0)
-    related = related_words(rows)
+    related = related_words(rows, out.select("word"))
     applied = out.join(related, ["word", "affix_type", "affix"], "left")
     plain = F.concat(affix, root)
     distractors = F.slice(F.concat(_three(F.coalesce("related", F.array().cast(STRINGS)), w, seed, w), F.array_repeat(plain, 3)), 1, 3)
@@ -398,8 +408,8 @@ def affix_levels(annotated: DataFrame, n: int | None = None, form: str = "mcq",
     return union(parts)
 
 
-def related_words(rows: DataFrame, most: int = 20) -> DataFrame:
-    """Up to ``most`` other words with the same root or the same affix of a type, by two equi-joins.
+def related_words(rows: DataFrame, wanted: DataFrame, most: int = 20) -> DataFrame:
+    """Of the ``wanted`` words, up to ``most`` others with the same root or the same affix of a type, by two equi-joins.
 
     Words that share a key are reached by neighbouring numbers under the key, so a frequent affix
     does not pair all of its words.
@@ -410,7 +420,8 @@ def related_words(rows: DataFrame, most: int = 20) -> DataFrame:
     for keys in (["root"], ["affix_type", "affix"]):
         place = F.row_number().over(Window.partitionBy(*keys).orderBy("word"))
         numbered = rows.select("word", "affix_type", "affix", "root", place.alias("at"))
-        steps = numbered.withColumn("to", F.explode(F.array(*[F.col("at") + d for d in (-3, -2, -1, 1, 2, 3)])))
+        numbered = materialize(numbered, "numbered-words")
+        steps = numbered.join(wanted, "word", "left_semi").withColumn("to", F.explode(F.array(*[F.col("at") + d for d in (-3, -2, -1, 1, 2, 3)])))
         side = numbered.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("at").alias("_at"), F.col("word").alias("other"))
         same = F.col("to") == F.col("_at")
         for k in keys:
