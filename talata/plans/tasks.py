@@ -174,7 +174,8 @@ def counted_groups(groups: DataFrame, subject: str, seed: int = 100) -> DataFram
     elif subject == "character":
         letters = F.array_distinct(F.flatten(F.transform(words, lambda w: chars.to_chars(w))))
         apart = F.filter(letters, lambda c: F.size(F.array_distinct(F.transform(words, lambda w: chars.count_char(w, c)))) == 4)
-        base = base.withColumn("words", words).withColumn("char", pick(F.array_sort(apart), number(seed, F.array_join(words, "|"))))
+        base = base.select("group_id", words.alias("words"), pick(F.array_sort(apart), number(seed, F.array_join(words, "|"))).alias("char"))
+        base = materialize(base, "chosen-letters")  # else the choice is made again for every use of the letter
         base = base.where("char IS NOT NULL").withColumn("counts", F.transform("words", lambda w: chars.count_char(w, F.col("char"))))
     else:
         count = chars.count_diacritics if subject == "diacritic" else chars.count_upper
