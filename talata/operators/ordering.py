@@ -53,8 +53,9 @@ def stream_batches(df: DataFrame, ids: str, *order: str, batch: int = 1000) -> D
 
 def contiguous_chunks(df: DataFrame, chunks: int, *order: str) -> DataFrame:
     """chunk_id = row number div ceil(rows / chunks); the last chunks may be short or missing."""
-    size = -(-df.count() // chunks) or 1
-    return with_row_index(df, *order).withColumn("chunk_id", F.floor(F.col("row_index") / size).cast("int"))
+    numbered = with_row_index(df, *order)  # written once
+    size = -(-numbered.count() // chunks) or 1
+    return numbered.withColumn("chunk_id", F.floor(F.col("row_index") / size).cast("int"))
 
 
 def sequential_ids(df: DataFrame, name: str, form: str, *order: str) -> DataFrame:

@@ -47,6 +47,7 @@ def weighted_order(weight: Column, seed: int, *key: Column) -> Column:
 
 def sample_by_frequency(df: DataFrame, n: int, *key: str, freq_weight: float = 0.5, seed: int = 42) -> DataFrame:
     """``n`` rows of ``df`` (with ``rank``) without replacement, all if there are fewer."""
+    df = materialize(df, "sampled-from")  # counted and sampled without making it twice
     weight = frequency_weight(F.col("rank"), df.count(), freq_weight)
     return df.withColumn("_order", weighted_order(weight, seed, *map(F.col, key))).orderBy("_order", *key).limit(n).drop("_order")
 
@@ -63,10 +64,11 @@ def sample_with_replacement(df: DataFrame, draws: int, *order: str, seed: int =
     """``draws`` rows, each drawn from all of ``df``; ``draw`` numbers them from 0."""
     from .ordering import with_row_index
 
-    n = df.count()
+    numbered = with_row_index(df, *order)  # written once
+    n = numbered.count()
     at = F.floor(uniform(seed, F.col("id")) * n).cast("bigint")
     picks = df.sparkSession.range(draws).select(F.col("id").alias("draw"), at.alias("row_index"))
-    return picks.join(with_row_index(df, *order), "row_index").drop("row_index")
+    return picks.join(numbered, "row_index").drop("row_index")
 
 
 def stratified_by_length(df: DataFrame, n: int, column: str, *key: str, seed: int = 42) -> DataFrame:
