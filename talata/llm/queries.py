@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, licenses, linefreq, packing, quality, simhash, surrogates, tokenfiles, urlgraph
+from . import decontaminate, divergence, langid, licenses, linefreq, packing, quality, simhash, surrogates, tokenfiles, urlgraph
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_token_id_files": tokenfiles.op9_token_id_files,
     "op10_license_rules": licenses.op10_license_rules,
+    "op11_source_divergence": divergence.op11_source_divergence,
 }
-ORACLES: dict[str, str] = {"op3_line_frequency": linefreq.OP3_SQL, "op8_decontamination": decontaminate.OP8_SQL}
+ORACLES: dict[str, str] = {"op3_line_frequency": linefreq.OP3_SQL, "op8_decontamination": decontaminate.OP8_SQL, "op11_source_divergence": divergence.OP11_SQL}
