@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, divergence, langid, licenses, linefreq, packing, quality, simhash, surrogates, tokenfiles, urlgraph
+from . import conversations, decontaminate, divergence, embednear, langid, licenses, linefreq, packing, quality, simhash, surrogates, tokenfiles, urlgraph
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -16,5 +16,12 @@ QUERIES = {
     "op9_token_id_files": tokenfiles.op9_token_id_files,
     "op10_license_rules": licenses.op10_license_rules,
     "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_embedding_caps": embednear.op12_embedding_caps,
+    "op13_conversation_repair": conversations.op13_conversation_repair,
+}
+ORACLES: dict[str, str] = {
+    "op3_line_frequency": linefreq.OP3_SQL,
+    "op8_decontamination": decontaminate.OP8_SQL,
+    "op11_source_divergence": divergence.OP11_SQL,
+    "op12_embedding_caps": embednear.OP12_SQL,
 }
-ORACLES: dict[str, str] = {"op3_line_frequency": linefreq.OP3_SQL, "op8_decontamination": decontaminate.OP8_SQL, "op11_source_divergence": divergence.OP11_SQL}
