@@ -349,3 +349,67 @@ def repair_report(rows: DataFrame) -> DataFrame:
 
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(damaged(read(spark, sf_dir, "conversations")))
+
+
+def _sql() -> str:
+    """The same in DuckDB: the damage and its faults, and the repair as a forward DP over each conversation.
+
+    A state's value is cost (9 digits), edits, a character 1 and the repaired text; the least string is
+    the cheapest, then the ASCII-least.
+    """
+
+    def more(value: str, cost: str, edit: str, line: str | None) -> str:
+        at = f"strpos({value}, chr(1))"
+        text = f"substr({value}, {at})"
+        added = text if line is None else f"{text} || CASE WHEN length({text}) > 1 THEN chr(10) ELSE '' END || {line}"
+        return f"lpad((substr({value}, 1, 9)::INT + {cost})::VARCHAR, 9, '0') || substr({value}, 10, {at} - 10) || '{edit}' || {added}"
+
+    def inserted(columns: list[str]) -> list[str]:
+        q0, q1, q2, q3 = columns
+        return [q0, q1, f"least({q2}, {more(q0, '5', 'I', chr(39) + 'user:' + chr(39))}, {more(q1, '5', 'I', chr(39) + 'user:' + chr(39))}, {more(q3, '5', 'I', chr(39) + 'user:' + chr(39))})", f"least({q3}, {more(q2, '5', 'I', chr(39) + 'assistant:' + chr(39))})"]
+
+    def kept(q: str, initial: str) -> str:
+        return f"CASE WHEN NOT gone AND initial = '{initial}' THEN {more(q, 'extra', 'K', 'line')} END"
+
+    def given(q: str, role: str) -> str:
+        return f"CASE WHEN NOT gone THEN {more(q, '1 + extra', 'R', f'{chr(39)}{role}:{chr(39)} || text')} END"
+
+    after = [
+        more("q0", "2", "D", None),
+        f"least({more('q1', '2', 'D', None)}, {kept('q0', 's')})",
+        f"least({more('q2', '2', 'D', None)}, {', '.join(f(q, x) for q in ('q0', 'q1', 'q3') for f, x in ((kept, 'u'), (given, 'user')))})",
+        f"least({more('q3', '2', 'D', None)}, {kept('q2', 'a')}, {given('q2', 'assistant')})",
+    ]
+    names = ["q0", "q1", "q2", "q3"]
+    rounds = "".join(f", r{k + 1} AS (SELECT conv_id, i, {', '.join(f'{x} AS {q}' for x, q in zip(inserted(names), names, strict=True))} FROM r{k})" for k in range(3))
+    return rf"""
+WITH RECURSIVE table8 AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) b(i))),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+coded AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS code FROM keyed, table8),
+broken AS (SELECT row_number() OVER () AS u, conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+           FROM coded, range(2) r(copy) WHERE code <> 0 AND (copy = 0 OR code = 3)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, u) AS i, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, u) AS before,
+           row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, u) AS nth FROM broken),
+found AS (SELECT *, substr(role, 1, 1) AS initial, role || ':' || text AS line, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 'truncated' ELSE 'none' END AS fault FROM placed),
+rows_ AS (SELECT *, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS extra FROM found),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+r0 AS (SELECT conv_id, 0::BIGINT AS i, '000000000' || chr(1) AS q0, NULL::VARCHAR AS q1, NULL::VARCHAR AS q2, NULL::VARCHAR AS q3 FROM ids){rounds},
+-- The layers: after each row the rows inserted there.
+layers AS (SELECT conv_id, i, q0, q1, q2, q3 FROM r3 UNION ALL
+  SELECT conv_id, i, q0, q1, q2, q3 FROM (
+    SELECT conv_id, i, {', '.join(f'{x} AS {q}' for x, q in zip(inserted(names), names, strict=True))} FROM (
+    SELECT conv_id, i, {', '.join(f'{x} AS {q}' for x, q in zip(inserted(names), names, strict=True))} FROM (
+    SELECT conv_id, i, {', '.join(f'{x} AS {q}' for x, q in zip(inserted(names), names, strict=True))} FROM (
+    SELECT r.conv_id, r.i, {', '.join(f'{x} AS {q}' for x, q in zip(after, names, strict=True))} FROM layers l JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.i = l.i + 1))))),
+ends AS (SELECT conv_id, arg_max(least(q0, q3), i) AS best FROM layers GROUP BY conv_id),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+           count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       substr(best, 1, 9)::BIGINT AS cost, substr(best, 10, strpos(best, chr(1)) - 10) AS audit, sha256(substr(best, strpos(best, chr(1)) + 1)) AS repaired_sha256
+FROM ends e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+OP13_SQL = _sql()

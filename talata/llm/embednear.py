@@ -193,8 +193,9 @@ def _compare(batches, cosine: float):
     current, sides, out = None, ([], []), []
 
     def close() -> None:
-        if current is not None and sides[0] and (current[2] != current[3] and sides[1] or len(sides[0]) > 1):
-            gains, forest = links_of(current[1], sides[0], sides[1] if current[2] != current[3] else None, cosine)
+        across = current is not None and current[2] != current[3]
+        if sides[0] and (sides[1] if across else len(sides[0]) > 1):
+            gains, forest = links_of(current[1], sides[0], sides[1] if across else None, cosine)
             out.extend((node, None, n) for node, n in gains.items())
             out.extend((u, v, 0) for u, v in forest)
         sides[0].clear()

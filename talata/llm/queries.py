@@ -24,4 +24,5 @@ ORACLES: dict[str, str] = {
     "op8_decontamination": decontaminate.OP8_SQL,
     "op11_source_divergence": divergence.OP11_SQL,
     "op12_embedding_caps": embednear.OP12_SQL,
+    "op13_conversation_repair": conversations.OP13_SQL,
 }
