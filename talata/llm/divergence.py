@@ -17,14 +17,19 @@ does, and not with documents or copies. All arithmetic is exact: whole numbers,
 from __future__ import annotations
 
 import string
+from collections import Counter
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, read
 
-#: What lies between terms; terms are runs of ASCII letters and of anything beyond ASCII.
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bytes of UTF-8 to A-Z lower-cased, what lies between terms to blanks; terms are runs of ASCII letters and of anything beyond ASCII.
+_TERMS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
+#: Terms that a task holds before it sends what it has counted; bytes of a text that are split at once.
+HELD, PIECE = 400_000, 1 << 20
 #: Documents of a language that a kept term is in at least; terms reported for a source.
 LEAST_DOCUMENTS, MOST_TERMS = 3, 200
 SCALE = 1_000_000_000
@@ -32,10 +37,46 @@ SCALE = 1_000_000_000
 MOST_BROADCAST = 100_000
 
 
-def terms_of(text: Column) -> Column:
-    """The terms of a text in order, A-Z lower-cased, repeats included; null has none."""
-    lowered = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.filter(F.split(lowered, BETWEEN), lambda w: w != "")
+def terms_of(text: bytes):
+    """The terms of a text in order, repeats included, in lists; a long text is cut between terms."""
+    clean = text.translate(_TERMS)
+    start = 0
+    while len(clean) - start > PIECE:
+        end = clean.rfind(b" ", start, start + PIECE)
+        end = clean.find(b" ", start + PIECE) if end < start else end
+        if end < 0:
+            break
+        yield clean[start:end].split()
+        start = end + 1
+    yield clean[start:].split()
+
+
+COUNTED = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("count", pa.int64()), ("docs", pa.int64())])
+
+
+def _count(batches, held: int):
+    """Rows (lang, source, text) to occurrences and documents of each term, summed as far as a task goes."""
+    counts: dict[tuple, tuple[Counter, Counter]] = {}
+
+    def sent():
+        for (lang, source), (count, docs) in counts.items():
+            terms = pa.array(list(count), pa.binary()).cast(pa.string())
+            n = len(terms)
+            names = [pa.repeat(pa.scalar(x, pa.string()), n) for x in (lang, source)]
+            yield pa.RecordBatch.from_arrays([*names, terms, pa.array(count.values(), pa.int64(), size=n), pa.array(map(docs.get, count), pa.int64(), size=n)], schema=COUNTED)
+        counts.clear()
+
+    for batch in batches:
+        for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            count, docs = counts.setdefault((lang, source), (Counter(), Counter()))
+            distinct: set[bytes] = set()
+            for terms in terms_of(text.as_buffer().to_pybytes()):
+                count.update(terms)
+                distinct.update(terms)
+            docs.update(distinct)
+        if sum(len(count) for count, _ in counts.values()) > held:
+            yield from sent()
+    yield from sent()
 
 
 def probability(count: Column, total: Column, vocabulary: Column) -> Column:
@@ -55,11 +96,8 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 def term_vectors(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """(lang, term, total, counts): the kept terms of each language, with counts as sorted (source, count)."""
-    words = docs.select("lang", "source", terms_of(F.col("text")).alias("w"))
-    # Each text is exploded as its occurrences and as its distinct terms; partial sums come before the shuffle.
-    marked = words.select("lang", "source", F.inline(F.array(F.struct(F.lit(1).alias("n"), "w"), F.struct(F.lit(0).alias("n"), F.array_distinct("w").alias("w")))))
-    each = marked.select("lang", "source", "n", F.explode("w").alias("term"))
-    counted = each.groupBy("lang", "term", "source").agg(F.sum("n").alias("count"), F.sum(1 - F.col("n")).alias("docs"))
+    each = docs.select("lang", "source", "text").mapInArrow(partial(_count, held=HELD), "lang string, source string, term string, count long, docs long")
+    counted = each.groupBy("lang", "term", "source").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
     by_term = counted.groupBy("lang", "term").agg(F.sum("count").alias("total"), F.sum("docs").alias("docs"), F.array_sort(F.collect_list(F.struct("source", "count"))).alias("counts"))
     return by_term.where(F.col("docs") >= least).drop("docs")
 
