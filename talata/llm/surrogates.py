@@ -21,7 +21,8 @@ TEST_KEY = "talata-surrogates-1"
 
 _SECRET_HEAD = r"""\b(?i:token|password|passwd|secret|api[_-]?key|access[_-]?key)\b\s{0,3}[=:]\s{0,3}["']?"""
 _SECRET = _SECRET_HEAD + r"(?=[_+/\-]*[A-Za-z0-9])[A-Za-z0-9_+/\-]{12,}={0,2}"
-_EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
+# A label never gives characters back, and a domain has at most 127 labels: so no address, however long, goes deep.
+_EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++){0,126}\.[A-Za-z]{2,}"
 _IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b(?<=\d)"
 _IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
 _IP6 = r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])"
@@ -79,10 +80,38 @@ def _each(s: Column, f) -> Column:
     return F.array_join(F.transform(F.split(s, ""), f), "")
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+#: Drawn numbers from one digest; each has 16 bits.
+DRAWS = 16
+
+
+def _blocks(count: Column, key: str, parts: tuple[Column, ...], f) -> Column:
+    """The strings f(first, size, number) of all blocks of up to DRAWS places, joined; number(j) is the j-th keyed number.
+
+    The entity itself is hashed once, and each block hashes that digest, so the work grows with the
+    count and not with its square.
+    """
+    seed = F.sha2(F.concat_ws("\x1f", F.lit(key), *[p.cast("string") for p in parts], F.lit("stream")), 256)
+
+    def block(seed: Column, b: Column) -> Column:
+        drawn = F.sha2(F.concat_ws("\x1f", seed, b.cast("string")), 256)
+        return _let(drawn, lambda h: f(b * DRAWS, F.least(count - b * DRAWS, F.lit(DRAWS)), lambda j: F.conv(F.substr(h, j * 4 + 1, F.lit(4)), 16, 10).cast("int")))
+
+    return _let(seed, lambda d: F.array_join(F.transform(F.sequence(F.lit(0), F.floor((count - 1) / DRAWS).cast("int")), lambda b: block(d, b)), ""))
+
+
 def _drawn(alphabet: str, count: Column, key: str, *parts: Column) -> Column:
     """So many keyed characters of the alphabet; none for 0 or less."""
-    some = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(F.lit(alphabet), (_number(key, *parts, F.lit("drawn"), i) % len(alphabet)).cast("int") + 1, 1))
-    return F.when(count > 0, F.array_join(some, "")).otherwise("")
+    count = count.cast("int")
+
+    def some(first: Column, size: Column, number) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(0), size - 1), lambda j: F.substring(F.lit(alphabet), number(j) % len(alphabet) + 1, 1)), "")
+
+    return F.when(count > 0, _blocks(F.greatest(count, F.lit(1)), key, (*parts, F.lit("drawn")), some)).otherwise("")
 
 
 _HEX, _SMALL, _TEN = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -96,17 +125,22 @@ def _same_classes(s: Column, key: str, *parts: Column, hexes: Column | None = No
     """Letters for letters of the same case, digits for digits, the rest as it is; hex stays hex."""
     hexes = _is_hex(s) if hexes is None else hexes
 
-    def change(c: Column, i: Column) -> Column:
-        n = _number(key, *parts, i)
+    def change(c: Column, n: Column, hexes: Column) -> Column:
         return (
-            F.when(hexes & c.rlike("[0-9a-f]"), F.substring(F.lit(_HEX), (n % 16).cast("int") + 1, 1))
+            F.when(hexes & c.rlike("[0-9a-f]"), F.substring(F.lit(_HEX), n % 16 + 1, 1))
             .when(c.rlike("[a-z]"), F.char(97 + n % 26))
             .when(c.rlike("[A-Z]"), F.char(65 + n % 26))
             .when(c.rlike("[0-9]"), (n % 10).cast("string"))
             .otherwise(c)
         )
 
-    return _each(s, change)
+    def changed(at: Column) -> Column:
+        def some(first: Column, size: Column, number) -> Column:
+            return F.array_join(F.transform(F.slice(at["cs"], first + 1, size), lambda c, j: change(c, number(j), at["hexes"])), "")
+
+        return _blocks(F.size(at["cs"]), key, (*parts, F.lit("classes")), some)
+
+    return _let(F.struct(F.split(s, "").alias("cs"), hexes.alias("hexes")), changed)
 
 
 def _luhn_sum(digits: Column) -> Column:
