@@ -15,7 +15,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, read
@@ -112,17 +112,22 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, *, most: int = SAMPLE
     """At most ``most`` labelled documents, chosen by the hash of their id, with their whole texts.
 
     Rows with a null id or label are left out. A document's repeated labels count as the greatest
-    of them, and its repeated rows as one with the least text. Documents are taken in the order of
-    the hash while their texts have ``chars`` characters in all, so what comes to the driver is
-    bounded whatever the tables hold.
+    of them, and its repeated rows as one with the least text. In the order of the hash, each
+    document is taken whose text fits into what is left of ``chars`` characters; one too long for
+    that is left out alone, and those after it are not. So what comes to the driver is bounded
+    whatever the tables hold.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
     chosen = usable.select("doc_id", "label", F.xxhash64("doc_id").alias("o")).orderBy("o", "doc_id").limit(most)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `most` rows
     texts = materialize(texts.groupBy("doc_id", "label", "o").agg(F.min("text").alias("text")), "labelled-sample")
-    taken = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.orderBy("o", "doc_id"))  # over at most `most` rows
-    fits = texts.select("o", "doc_id", taken.alias("taken")).where(F.col("taken") <= chars).select("doc_id")
-    rows = texts.join(F.broadcast(fits), "doc_id").select("o", "doc_id", "label", "text").collect()
+    left, fits = chars, []
+    for r in texts.select("o", "doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).orderBy("o", "doc_id").collect():  # at most `most` rows
+        if r.n <= left:
+            left -= r.n
+            fits.append((r.doc_id,))
+    taken = docs.sparkSession.createDataFrame(fits, texts.select("doc_id").schema)
+    rows = texts.join(F.broadcast(taken), "doc_id").select("o", "doc_id", "label", "text").collect()
     return [(r.text, r.label) for r in sorted(rows, key=lambda r: (r.o, r.doc_id))]
 
 
