@@ -27,7 +27,6 @@ from .components import connected_components
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 #: Members of a shard that one task takes whole; also the size of the trees of larger ones.
 SHARD_MOST = 1500
-LEAF = 24
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> list[int]:
@@ -67,10 +66,14 @@ def _fingerprints(batches, shingle: int, seed: int):
 
 
 class BkTree:
-    """A BK-tree over distinct fingerprints: each node's children are keyed by their distance to it."""
+    """A BK-tree over distinct fingerprints: each node has one member, and its children are keyed by their distance to it.
+
+    ``followed`` and ``passed`` count the edges that queries went along and left out.
+    """
 
     def __init__(self, values: np.ndarray):
         self.values = values
+        self.followed = self.passed = 0
         self.root = self._build(np.arange(len(values)))
 
     def _build(self, members: np.ndarray):
@@ -78,16 +81,15 @@ class BkTree:
         todo = [(members, top)]
         while todo:
             at, into = todo.pop()
-            if len(at) <= LEAF:
-                into.append((at, None))
-                continue
             pivot, rest = at[0], at[1:]
             distance = np.bitwise_count(self.values[rest] ^ self.values[pivot])
+            order = np.argsort(distance, kind="stable")
+            keys, starts = np.unique(distance[order], return_index=True)
             children = []
-            for d in np.unique(distance):
+            for d, members in zip(keys.tolist(), np.split(rest[order], starts[1:]), strict=False):
                 child: list = []
-                todo.append((rest[distance == d], child))
-                children.append((int(d), child))
+                todo.append((members, child))
+                children.append((d, child))
             into.append((pivot, children))
         return top[0]
 
@@ -96,15 +98,13 @@ class BkTree:
         stack = [(self.root, np.arange(len(queries)))]
         while stack:
             (at, children), who = stack.pop()
-            if children is None:
-                near = np.bitwise_count(queries[who][None, :] ^ self.values[at][:, None]) <= radius
-                for i in np.flatnonzero(near.any(axis=1)):
-                    yield int(at[i]), who[near[i]]
-                continue
             distance = np.bitwise_count(queries[who] ^ self.values[at]).astype(np.int16)
             yield int(at), who[distance <= radius]
             for d, child in children:
-                if len(go := who[np.abs(distance - d) <= radius]):
+                go = who[np.abs(distance - d) <= radius]
+                self.followed += len(go)
+                self.passed += len(who) - len(go)
+                if len(go):
                     stack.append((child[0], go))
 
 
