@@ -1,14 +1,16 @@
 """Randomized expansion and contraction of token sequences.
 
 Each edit changes the positions of the next, so a sequence is edited in Python, in Arrow batches.
-Every row has its own generator from (seed, row key): results do not depend on partitions, order
-or retries. Tables of pairs are broadcast; they are as large as the vocabulary.
+Draws are counted: the number of a step is a hash of (seed, row key, edit, step, purpose), so results
+do not depend on partitions, order or retries, and SQL can make the same ones. The places an edit
+may choose from are kept in ``places``, so a step takes the logarithm of the length. Tables of
+pairs are broadcast; they are as large as the vocabulary.
 """
 
 from __future__ import annotations
 
 import hashlib
-import random
+import heapq
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import partial
@@ -20,56 +22,117 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..working import materialize
+from .places import Places
 
 IDS = T.ArrayType(T.IntegerType())
 
 
-def generator(seed: int, key: object) -> random.Random:
-    return random.Random(hashlib.blake2b(f"{seed}|{key}".encode(), digest_size=8).digest())
+#: How byte-level vocabularies cut a text before they merge: words, numbers and marks with the space before them. A fixed value.
+PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+class Draws:
+    """Numbers from 0 to 2^32 - 1, each a function of its name alone, as ``functions.seeded.number`` makes them."""
+
+    def __init__(self, *names: object):
+        self.name = "|".join(map(str, names))
+
+    def named(self, name: object) -> Draws:
+        return Draws(self.name, name)
+
+    def number(self, step: int, what: str) -> int:
+        return int(hashlib.md5(f"{self.name}|{step}|{what}".encode(), usedforsecurity=False).hexdigest()[:8], 16)
+
+    def chance(self, step: int, what: str, share: float) -> bool:
+        return self.number(step, what) < share * (1 << 32)
+
+
+def generator(seed: int, key: object) -> Draws:
+    return Draws(seed, key)
 
 
 class Tables:
     """Pairs of a vocabulary, as plain dictionaries for the workers."""
 
-    def __init__(self, expansions: dict[int, list[tuple[int, int]]], tokens: dict[int, bytes], affixes: list[str] = ()):  # noqa: B006
-        self.expansions, self.tokens = expansions, tokens
+    def __init__(self, expansions: dict[int, list[tuple[int, int]]], tokens: dict[int, bytes], affixes: list[str] = (), pattern: str = PIECES):  # noqa: B006
+        self.expansions, self.tokens, self.pattern = expansions, tokens, pattern
         self.contractions = {pair: t for t, pairs in expansions.items() for pair in pairs}
         self.ids = {t: i for i, t in tokens.items()}
         self.affixes = sorted(set(affixes))
         self.affix_ids = {self.ids[a.encode()] for a in self.affixes if a.encode() in self.ids}
-        self.longest = max(map(len, self.ids), default=1)
-        self._finder = None
+        self._finder = self._cut = None
+        self._known: dict[str, list[int] | None] = {}
 
     #: Tokens, expandable tokens and affix versions that are collected and shared with every task, at most.
     MOST = 2_000_000
 
     @classmethod
-    def collect(cls, expansions: DataFrame, vocab: DataFrame, versions: DataFrame | None = None) -> Tables:
-        """The tables on the driver: one row a token. A vocabulary of more than MOST tokens is an error."""
+    def collect(cls, expansions: DataFrame, vocab: DataFrame, versions: DataFrame | None = None, pattern: str = PIECES) -> Tables:
+        """The tables on the driver: one row a token. More than MOST tokens, pairs or affix versions are an error."""
         vocab, expansions = materialize(vocab.select("token_id", "token"), "vocabulary"), materialize(expansions.select("token_id", "pairs"), "expansions")
         pairs_each = expansions.agg(F.coalesce(F.sum(F.size("pairs")), F.lit(0))).first()[0]
         if max(vocab.count(), pairs_each) > cls.MOST:
             raise ValueError(f"a vocabulary of more than {cls.MOST} tokens or pairs can't be shared with every task")
         pairs = {r.token_id: [(p.left, p.right) for p in r.pairs] for r in expansions.select("token_id", "pairs").collect()}
         tokens = {r.token_id: bytes(r.token) for r in vocab.select("token_id", "token").collect()}
-        return cls(pairs, tokens, [r.version for r in versions.select("version").collect()] if versions is not None else [])
+        affixes = [r.version for r in versions.select("version").distinct().limit(cls.MOST + 1).collect()] if versions is not None else []
+        if len(affixes) > cls.MOST:
+            raise ValueError(f"more than {cls.MOST} affix versions can't be shared with every task")
+        return cls(pairs, tokens, affixes, pattern)
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(self.tokens[i] for i in ids).decode("utf-8", "replace")
-
-    def encode(self, text: str) -> list[int]:
-        """Greedy longest match on bytes; bytes without a token are left out."""
-        data, at, out = text.encode(), 0, []
-        while at < len(data):
-            for n in range(min(self.longest, len(data) - at), 0, -1):
-                if (i := self.ids.get(data[at : at + n])) is not None:
-                    out.append(i)
-                    at += n
-                    break
-            else:
-                at += 1
+        """The text of the ids; bytes that are no UTF-8 come as lone surrogates, which ``encode`` turns back."""
+        return b"".join(self.tokens[i] for i in ids).decode("utf-8", "surrogateescape")
+
+    def encode(self, text: str) -> list[int] | None:
+        """Ids by merging in rank order within the pieces of the text; null if a byte of it is no token."""
+        if self._cut is None:
+            import regex
+
+            self._cut = regex.compile(self.pattern).findall
+        out: list[int] = []
+        for piece in self._cut(text):
+            if piece not in self._known:
+                if len(self._known) >= 200_000:
+                    self._known.clear()
+                self._known[piece] = self.merge(piece.encode("utf-8", "surrogateescape"))
+            if (ids := self._known[piece]) is None:
+                return None
+            out += ids
         return out
 
+    def merge(self, data: bytes) -> list[int] | None:
+        """Starts from single bytes and merges, again and again, the leftmost pair of the least token id.
+
+        The pairs wait in a heap, and the parts are a linked list, so long pieces take no square.
+        """
+        if any(data[i : i + 1] not in self.ids for i in range(len(data))):
+            return None
+        n = len(data)
+        end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
+        waiting: list[tuple[int, int, int]] = []
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if j < n and (rank := self.ids.get(data[i : end[j]])) is not None:
+                heapq.heappush(waiting, (rank, i, end[j]))
+
+        for i in range(n - 1):
+            offer(i)
+        gone = [False] * n
+        while waiting:
+            _, i, stop = heapq.heappop(waiting)
+            if gone[i] or after[i] >= n or end[after[i]] != stop or end[i] == stop:
+                continue
+            j = after[i]
+            gone[j], end[i], after[i] = True, stop, after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        return [self.ids[data[i : end[i]]] for i in range(n) if not gone[i]]
+
     def find(self, text: str) -> list[tuple[int, str]]:
         """All occurrences of all affix versions, overlapping ones too: (start, version)."""
         if not self.affixes:
@@ -84,7 +147,7 @@ class Tables:
         return [(end - len(a) + 1, a) for end, a in self._finder.iter(text)]
 
     def __getstate__(self):
-        return {**self.__dict__, "_finder": None}
+        return {**self.__dict__, "_finder": None, "_cut": None, "_known": {}}
 
 
 def _count_matches(batches, affixes):
@@ -112,23 +175,21 @@ def affix_matches(rows: DataFrame, text: str, affixes: DataFrame) -> DataFrame:
     return counted.groupBy("affix").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_matches").alias("n_matches"))
 
 
-def expand(ids: list[int], tables: Tables, rng: random.Random, share: float = 0.1, most: int | None = None, skip_affixes: bool = False) -> list[int]:
+def expand(ids: list[int], tables: Tables, draws: Draws, share: float = 0.1, most: int | None = None, skip_affixes: bool = False) -> list[int]:
     """int(n * share) tries at a place of the current list; an expandable id becomes one of its pairs.
 
     With ``skip_affixes`` only places without an affix id are tried; it ends when there are none.
     """
-    out, done = list(ids), 0
-    for _ in range(int(len(ids) * share)):
-        if most and done >= most:
+    skipped = tables.affix_ids if skip_affixes else frozenset()
+    places, done = Places(ids, lambda a, _: int(a not in skipped), 1), 0
+    for step in range(int(len(ids) * share)):
+        if most and done >= most or not (n := places.count(0)):
             break
-        places = [i for i, t in enumerate(out) if t not in tables.affix_ids] if skip_affixes and tables.affix_ids else range(len(out))
-        if not len(places):
-            break
-        i = places[rng.randrange(len(places))]
-        if pairs := tables.expansions.get(out[i]):
-            out[i : i + 1] = rng.choice(pairs)
+        at = places.find(0, draws.number(step, "at") % n)
+        if pairs := tables.expansions.get(places.following(*at, 1)[0]):
+            places.replace(*at, 1, list(pairs[draws.number(step, "pair") % len(pairs)]))
             done += 1
-    return out
+    return places.ids()
 
 
 def expand_batches(spark: SparkSession, batches: DataFrame, tables: Tables, seed: int = 0, share: float = 1.0) -> DataFrame:
@@ -140,55 +201,69 @@ def expand_batches(spark: SparkSession, batches: DataFrame, tables: Tables, seed
     return batches.select("batch", run(F.col("batch"), F.col("ids")).alias("ids"))
 
 
-def contract(ids: list[int], tables: Tables, rng: random.Random, share: float = 0.1) -> list[int]:
+def contract(ids: list[int], tables: Tables, draws: Draws, share: float = 0.1) -> list[int]:
     """int(n * share) tries at a random neighbouring pair, merged if the pair is a token."""
-    out = list(ids)
-    for _ in range(int(len(ids) * share)):
-        if len(out) < 2:
+    places = Places(ids, lambda _, b: int(b is not None), 1)
+    for step in range(int(len(ids) * share)):
+        if not (n := places.count(0)):
             break
-        i = rng.randrange(len(out) - 1)
-        if (merged := tables.contractions.get((out[i], out[i + 1]))) is not None:
-            out[i : i + 2] = [merged]
-    return out
+        at = places.find(0, draws.number(step, "at") % n)
+        if (merged := tables.contractions.get(tuple(places.following(*at, 2)))) is not None:
+            places.replace(*at, 2, [merged])
+    return places.ids()
 
 
-def selective_expand(ids: list[int], tables: Tables, rng: random.Random, share: float = 0.3) -> list[int]:
+def selective_expand(ids: list[int], tables: Tables, draws: Draws, share: float = 0.3) -> list[int]:
     """Only expandable places are tried, those without an affix id first; it ends when there are none."""
-    out = list(ids)
-    for _ in range(int(len(ids) * share)):
-        able = [i for i, t in enumerate(out) if t in tables.expansions]
-        able = [i for i in able if out[i] not in tables.affix_ids] or able
-        if not able:
+
+    def kinds(a: int, _: int | None) -> int:
+        return 0 if a not in tables.expansions else 1 if a in tables.affix_ids else 3
+
+    places = Places(ids, kinds, 2)
+    for step in range(int(len(ids) * share)):
+        kind = 1 if places.count(1) else 0
+        if not (n := places.count(kind)):
             break
-        i = rng.choice(able)
-        out[i : i + 1] = rng.choice(tables.expansions[out[i]])
-    return out
+        at = places.find(kind, draws.number(step, "at") % n)
+        pairs = tables.expansions[places.following(*at, 1)[0]]
+        places.replace(*at, 1, list(pairs[draws.number(step, "pair") % len(pairs)]))
+    return places.ids()
 
 
-def affix_contract(ids: list[int], tables: Tables, rng: random.Random, share: float = 0.3, preference: float = 0.7) -> list[int]:
+def affix_contract(ids: list[int], tables: Tables, draws: Draws, share: float = 0.3, preference: float = 0.7) -> list[int]:
     """Contractible pairs only; with chance ``preference`` one that forms an affix, if there is one."""
-    out = list(ids)
-    for _ in range(int(len(ids) * share)):
-        able = [i for i in range(len(out) - 1) if (out[i], out[i + 1]) in tables.contractions]
-        if not able:
+
+    def kinds(a: int, b: int | None) -> int:
+        merged = tables.contractions.get((a, b))
+        return 0 if merged is None else 3 if merged in tables.affix_ids else 1
+
+    places = Places(ids, kinds, 2)
+    for step in range(int(len(ids) * share)):
+        if not places.count(0):
             break
-        forming = [i for i in able if tables.contractions[out[i], out[i + 1]] in tables.affix_ids]
-        i = rng.choice(forming if forming and rng.random() < preference else able)
-        out[i : i + 2] = [tables.contractions[out[i], out[i + 1]]]
-    return out
+        kind = 1 if places.count(1) and draws.chance(step, "prefer", preference) else 0
+        at = places.find(kind, draws.number(step, "at") % places.count(kind))
+        places.replace(*at, 2, [tables.contractions[tuple(places.following(*at, 2))]])
+    return places.ids()
 
 
-def cycles(ids: list[int], tables: Tables, rng: random.Random, n: int = 3, expand_share: float = 0.3, contract_share: float = 0.3, preference: float = 0.7) -> list[int]:
-    for _ in range(n):
-        ids = affix_contract(selective_expand(ids, tables, rng, expand_share), tables, rng, contract_share, preference)
+def cycles(ids: list[int], tables: Tables, draws: Draws, n: int = 3, expand_share: float = 0.3, contract_share: float = 0.3, preference: float = 0.7) -> list[int]:
+    for i in range(n):
+        ids = affix_contract(selective_expand(ids, tables, draws.named(2 * i), expand_share), tables, draws.named(2 * i + 1), contract_share, preference)
     return ids
 
 
-def _split_affix(text: str, tables: Tables, rng: random.Random, awareness: float) -> list[str]:
-    matches = tables.find(text)
-    if not matches or rng.random() > awareness:
+#: How many tokens a run has and how often, tries at a run, and the chances to pass over or cut at affixes.
+RUNS, RUN_SHARES, TRIES = (2, 3, 4), (0.35, 0.7, 1.0), 100
+AWARE, AWARE_OVERLAP = 0.95, 0.75
+
+
+def _split_affix(text: str, tables: Tables, draws: Draws, step: int, awareness: float) -> list[str]:
+    matches = sorted(tables.find(text))
+    if not matches or not draws.chance(step, "cut", awareness):
         return [text]
-    at, affix = rng.choice([m for m in matches if " " in m[1]] or matches)
+    among = [m for m in matches if " " in m[1]] or matches
+    at, affix = among[draws.number(step, "affix") % len(among)]
     return [p for p in (text[:at], affix, text[at + len(affix) :]) if p]
 
 
@@ -201,35 +276,36 @@ def split_pair(text: str) -> list[str]:
 
 
 def contract_expand(
-    ids: list[int], tables: Tables, rng: random.Random, contract_share: float = 0.9, expand_share: float = 0.1, awareness: float = 0.95, awareness_overlap: float = 0.75, bounds: frozenset[int] = frozenset()
+    ids: list[int], tables: Tables, draws: Draws, contract_share: float = 0.9, expand_share: float = 0.1, awareness: float = AWARE, awareness_overlap: float = AWARE_OVERLAP, bounds: frozenset[int] = frozenset()
 ) -> list[int]:
-    """Runs of two to four tokens are decoded, cut at affixes and doubled pairs, and encoded again.
+    """Runs of two to four tokens are decoded, cut at affixes and doubled pairs, and encoded again by merging.
 
     A run with an affix id is passed over with chance ``awareness``; ids in ``bounds`` are avoided.
-    Then other tokens are expanded. The input list is not changed.
+    Then other tokens are expanded. The input list is not changed, and no byte is lost: a run with a
+    byte that is no token of its own stays as it is.
     """
-    out = list(ids)
-    for _ in range(int(len(ids) * contract_share)):
-        n = rng.choices((2, 3, 4), weights=(0.35, 0.35, 0.3))[0]
-        if not out:
+    places = Places(ids, lambda _a, _b: 1, 1)
+    for step in range(int(len(ids) * contract_share)):
+        if not (size := places.count(0)):
             break
-        if len(out) < n:
-            at, end = 0, len(out)
-        else:
-            at, end = 0, n
-            for _ in range(100):
-                start = rng.randrange(len(out) - n + 1)
-                run = out[start : start + n]
-                if bounds and bounds.intersection(run):
-                    continue
-                matches = [i for i, _ in tables.find(tables.decode(run))]
-                keep = awareness_overlap if len(matches) != len(set(matches)) else awareness
-                if not tables.affix_ids.intersection(run) or rng.random() >= keep:
-                    at, end = start, start + n
-                    break
-        pieces = _split_affix(tables.decode(out[at:end]), tables, rng, awareness)
-        out[at:end] = [i for p in pieces for q in split_pair(p) for i in tables.encode(q)]
-    return expand(out, tables, rng, expand_share, skip_affixes=True)
+        share = draws.number(step, "run") / (1 << 32)
+        n = min(size, next(r for r, edge in zip(RUNS, RUN_SHARES, strict=True) if share < edge))
+        at = places.find(0, 0)
+        for k in range(TRIES if size > n else 0):
+            place = places.find(0, draws.number(step, f"start{k}") % (size - n + 1))
+            run = places.following(*place, n)
+            if bounds and bounds.intersection(run):
+                continue
+            starts = [i for i, _ in tables.find(tables.decode(run))]
+            keep = awareness_overlap if len(starts) != len(set(starts)) else awareness
+            if not tables.affix_ids.intersection(run) or not draws.chance(step, f"keep{k}", keep):
+                at = place
+                break
+        pieces = _split_affix(tables.decode(places.following(*at, n)), tables, draws, step, awareness)
+        parts = [tables.encode(q) for p in pieces for q in split_pair(p)]
+        if None not in parts:
+            places.replace(*at, n, [i for part in parts for i in part])
+    return expand(places.ids(), tables, draws.named("expand"), expand_share, skip_affixes=True)
 
 
 def per_row(spark: SparkSession, tables: Tables, edit: Callable[..., list[int]], seed: int = 0, **options) -> Callable[[Column, Column], Column]:
@@ -245,13 +321,18 @@ def per_row(spark: SparkSession, tables: Tables, edit: Callable[..., list[int]],
 
 
 def text_encoder(spark: SparkSession, tables: Tables) -> Callable[[Column], Column]:
-    """A column function text -> ids by the vocabulary's greedy longest match."""
+    """A column function text -> ids by the vocabulary's merges; a text with a byte that is no token is an error."""
     shared = spark.sparkContext.broadcast(tables)
 
+    def ids(text: str) -> list[int]:
+        if (found := shared.value.encode(text)) is None:
+            raise ValueError(f"a byte of {text[:60]!r} is no token of the vocabulary")
+        return found
+
     @F.pandas_udf(IDS)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([None if t is None else shared.value.encode(t) for t in texts])
+            yield pd.Series([None if t is None else ids(t) for t in texts])
 
     return run
 
@@ -262,6 +343,6 @@ def text_decoder(spark: SparkSession, tables: Tables) -> Callable[[Column], Colu
     @F.pandas_udf(T.StringType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for ids in batches:
-            yield pd.Series([None if x is None else shared.value.decode(list(map(int, x))) for x in ids])
+            yield pd.Series([None if x is None else shared.value.decode(list(map(int, x))).encode("utf-8", "surrogateescape").decode("utf-8", "replace") for x in ids])
 
     return run

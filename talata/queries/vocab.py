@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import expand, vocabulary
 from . import task_sql
-from .base import LETTERS, query, raw_words, table
+from .base import LETTERS, number_sql, query, raw_words, table
 
 #: A few affixes that occur in the test texts.
 AFFIXES = ["the", "on", "er", "in", "an", "re", "tion", "ing", "sh", "ha", "einver", "ciónta", "zzq"]
@@ -114,44 +114,126 @@ def similar_affixes_topk(spark, sf_dir):
     return vocabulary.similar_affixes(_affixes(spark)).select("affix", "place", "other", "ratio")
 
 
+#: A byte-level vocabulary: all bytes, then the prefixes of frequent words, alone and after a space, by length and text.
+OFTEN = 20
+BYTES_SQL = rf"""(WITH w AS (SELECT w FROM (SELECT unnest(regexp_extract_all(text, '\p{{L}}+')) AS w FROM documents) GROUP BY w HAVING count(*) >= {OFTEN}),
+    p AS (SELECT DISTINCT substr(x, 1, n::INT) AS t FROM (SELECT x, unnest(range(1, length(x) + 1)) AS n FROM (SELECT w AS x FROM w UNION ALL SELECT ' ' || w FROM w)))
+    SELECT i::INT AS id, printf('%02X', i) AS h FROM range(256) b(i)
+    UNION ALL SELECT (255 + row_number() OVER (ORDER BY octet_length(encode(t)), t))::INT, hex(encode(t)) FROM p WHERE octet_length(encode(t)) > 1)"""
+#: How the queries' texts are cut before tokens are merged.
+CUT = r" ?\p{L}+| ?\p{N}+| ?[^ \t\n\r\p{L}\p{N}]+|[ \t\n\r]+"
+PAIRS_SQL = """(SELECT t.id AS merged, l.id AS "left", r.id AS "right" FROM (SELECT id, h, unnest(range(1, length(h) // 2)) AS i FROM v) t
+    JOIN v l ON l.h = substr(t.h, 1, 2 * t.i) JOIN v r ON r.h = substr(t.h, 2 * t.i + 1))"""
+#: Pieces of the items, merged again and again at the leftmost pair of the least id.
+ENCODED_SQL = f"""v AS MATERIALIZED {BYTES_SQL},
+  items AS (SELECT item_id, regexp_extract_all(text, '{CUT}') AS ps FROM benchmark WHERE text IS NOT NULL),
+  pieces AS (SELECT DISTINCT unnest(ps) AS piece FROM items),
+  merged AS (SELECT piece, list_transform(range(1, length(h), 2), lambda i: substr(h, i, 2)) AS s FROM (SELECT piece, hex(encode(piece)) AS h FROM pieces)
+    UNION ALL SELECT piece, s[:i - 1] || [s[i] || s[i + 1]] || s[i + 2:] FROM (SELECT piece, any_value(s) AS s, arg_min(i, id * 1000000::BIGINT + i) AS i
+      FROM (SELECT piece, s, unnest(range(1, len(s))) AS i FROM merged) x JOIN v ON v.h = x.s[i] || x.s[i + 1] GROUP BY piece)),
+  spelled AS (SELECT piece, list(id ORDER BY j) AS ids FROM (SELECT piece, s, unnest(range(1, len(s) + 1)) AS j FROM (SELECT piece, arg_min(s, len(s)) AS s FROM merged GROUP BY piece)) x JOIN v ON v.h = x.s[j] GROUP BY piece),
+  encoded AS (SELECT item_id, flatten(list(ids ORDER BY j)) AS ids FROM (SELECT item_id, ps, unnest(range(1, len(ps) + 1)) AS j FROM items) x JOIN spelled ON piece = ps[j] GROUP BY item_id)"""
+
+
+def _bytes_vocab(spark, sf_dir):
+    from ..operators.ordering import with_row_index
+
+    found = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1))).alias("w"))
+    often = found.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).select(F.explode(F.array("w", F.concat(F.lit(" "), "w"))).alias("x"))
+    prefixes = often.select(F.explode(F.sequence(F.lit(1), F.length("x"))).alias("n"), "x").select(F.substr("x", F.lit(1), F.col("n")).alias("t")).distinct()
+    sized = prefixes.withColumn("size", F.octet_length("t")).where("size > 1")
+    numbered = with_row_index(sized, "size", "t").select(F.encode("t", "UTF-8").alias("token"), (F.col("row_index") + 256).cast("int").alias("token_id"))
+    single = spark.range(256).select(F.unhex(F.format_string("%02X", "id")).alias("token"), F.col("id").cast("int").alias("token_id"))
+    return single.unionByName(numbered)
+
+
 def _tables(spark, sf_dir):
-    vocab = _ascii(spark, sf_dir)
-    return expand.Tables.collect(vocabulary.expansions(vocab), vocab, vocabulary.affix_versions(_affixes(spark)))
+    vocab = _bytes_vocab(spark, sf_dir)
+    return expand.Tables.collect(vocabulary.expansions(vocab), vocab, vocabulary.affix_versions(_affixes(spark)), CUT)
 
 
-def _edited(spark, sf_dir, edit, fewest, most, **options):
-    """Every item's text as its edited ids give it back, and whether their number is within what the edit may do.
+def _joined(ids):
+    return F.array_join(F.col(ids).cast("array<string>"), " ")
 
-    Each letter is a token, so the text is the item's letters a to z whatever was split or joined.
-    """
-    tables = _tables(spark, sf_dir)
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("text"))
-    ids = items.select("item_id", "text", expand.text_encoder(spark, tables)(F.col("text")).alias("ids"))
-    out = expand.per_row(spark, tables, edit, seed=1, **options)(F.col("item_id"), F.col("ids"))
-    made = ids.select("item_id", "ids", out.alias("edited"))
-    n, m = F.size("ids"), F.size("edited")
-    within = m.between(n - F.floor(n * fewest), n + F.floor(n * most))
-    return made.select("item_id", expand.text_decoder(spark, tables)(F.col("edited")).alias("text"), within.alias("within"))
 
+def _items(spark, sf_dir, tables):
+    """Whole texts as ids; a null text has none and is left out."""
+    items = table(spark, sf_dir, "benchmark").where("text IS NOT NULL")
+    return items.select("item_id", "text", expand.text_encoder(spark, tables)(F.col("text")).alias("ids"))
 
-EDITED_SQL = "SELECT item_id, regexp_replace(lower(text), '[^a-z]', '', 'g') AS text, true AS within FROM benchmark"
 
+@query(f"WITH RECURSIVE {ENCODED_SQL} SELECT item_id, array_to_string(ids, ' ') AS ids FROM encoded")
+def merged_encoding(spark, sf_dir):
+    return _items(spark, sf_dir, _tables(spark, sf_dir)).select("item_id", _joined("ids").alias("ids"))
 
-@query(EDITED_SQL)
+
+def _edited(spark, sf_dir, edit, single=False, **options):
+    """``single``: the ids are the texts' bytes, not merged."""
+    tables = _tables(spark, sf_dir)
+    made = _items(spark, sf_dir, tables)
+    if single:
+        made = made.withColumn("ids", F.transform(F.sequence(F.lit(1), F.octet_length("text")), lambda i: F.ascii(F.decode(F.substr(F.encode("text", "UTF-8"), i, F.lit(1)), "ISO-8859-1"))))
+    made = made.select("item_id", "text", "ids", expand.per_row(spark, tables, edit, seed=1, **options)(F.col("item_id"), F.col("ids")).alias("edited"))
+    return tables, made.withColumns({"n_before": F.size("ids"), "n_after": F.size("edited")})
+
+
+def _draw_sql(name, step: str, what: str) -> str:
+    return number_sql(f"concat_ws('|', '1', item_id, {name}{step}, '{what}')")
+
+
+#: Tries at any place: the id there, or the pair that begins there, is replaced if the table of the edit has it.
+TRIED_SQL = """WITH RECURSIVE {encoded}, pairs AS MATERIALIZED {pairs},
+  splits AS (SELECT merged, list({{'l': "left", 'r': "right"}} ORDER BY "left", "right") AS ways FROM pairs GROUP BY merged),
+  steps AS (SELECT item_id, 0 AS step, floor(len(ids) * 0.3::DOUBLE)::INT AS tries, ids AS s FROM encoded
+    UNION ALL SELECT item_id, step + 1, tries, {replaced} FROM (SELECT *, {at} % {places} + 1 AS i FROM steps WHERE step < tries AND {places} > 0) x {join})
+  SELECT e.item_id, len(e.ids)::INT AS n_before, len(s)::INT AS n_after, array_to_string(s, ' ') AS ids FROM (SELECT item_id, arg_max(s, step) AS s FROM steps GROUP BY item_id) JOIN encoded e USING (item_id)"""
+EXPANDED_SQL = TRIED_SQL.format(
+    encoded=ENCODED_SQL, pairs=PAIRS_SQL, at=_draw_sql("", "step", "at"), places="len(s)", join="LEFT JOIN splits t ON t.merged = x.s[x.i]",
+    replaced=f"CASE WHEN ways IS NULL THEN s ELSE s[:i - 1] || [ways[{_draw_sql('', 'step', 'pair')} % len(ways) + 1].l, ways[{_draw_sql('', 'step', 'pair')} % len(ways) + 1].r] || s[i + 1:] END",
+)
+#: Contraction starts from single bytes, as merged texts have hardly a pair left.
+CONTRACTED_SQL = TRIED_SQL.format(
+    encoded=f"v AS MATERIALIZED {BYTES_SQL}, encoded AS (SELECT item_id, list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::INT) AS ids FROM (SELECT item_id, hex(encode(text)) AS h FROM benchmark WHERE text IS NOT NULL))", pairs=PAIRS_SQL, at=_draw_sql("", "step", "at"), places="(len(s) - 1)", join='LEFT JOIN pairs c ON c."left" = x.s[x.i] AND c."right" = x.s[x.i + 1]',
+    replaced="CASE WHEN c.merged IS NULL THEN s ELSE s[:i - 1] || [c.merged] || s[i + 2:] END",
+)
+
+
+@query(EXPANDED_SQL)
 def stochastic_expand(spark, sf_dir):
-    return _edited(spark, sf_dir, expand.expand, 0.0, 0.3, share=0.3)
+    return _edited(spark, sf_dir, expand.expand, share=0.3)[1].select("item_id", "n_before", "n_after", _joined("edited").alias("ids"))
 
 
-@query(EDITED_SQL)
+@query(CONTRACTED_SQL)
 def stochastic_contract(spark, sf_dir):
-    return _edited(spark, sf_dir, expand.contract, 0.3, 0.0, share=0.3)
-
-
-@query(EDITED_SQL)
+    return _edited(spark, sf_dir, expand.contract, single=True, share=0.3)[1].select("item_id", "n_before", "n_after", _joined("edited").alias("ids"))
+
+
+#: Six phases, expansions and contractions in turn; each step chooses among the places that the table has, affixes last or first.
+CYCLES_SQL = f"""WITH RECURSIVE {ENCODED_SQL}, pairs AS MATERIALIZED {PAIRS_SQL},
+  affix AS MATERIALIZED (SELECT v.id FROM v JOIN (SELECT DISTINCT hex(encode(unnest(CASE affix_type WHEN 'prefix' THEN [affix, ' ' || affix, upper(substr(affix, 1, 1)) || substr(affix, 2), ' ' || upper(substr(affix, 1, 1)) || substr(affix, 2)]
+    WHEN 'suffix' THEN [affix, affix || ' '] ELSE [affix] END))) AS h FROM {LIST}) USING (h)),
+  splits AS MATERIALIZED (SELECT merged, list({{'l': "left", 'r': "right"}} ORDER BY "left", "right") AS ways, merged IN (SELECT id FROM affix) AS is_affix FROM pairs GROUP BY merged),
+  joins AS MATERIALIZED (SELECT "left", "right", merged, merged IN (SELECT id FROM affix) AS is_affix FROM pairs),
+  steps AS (SELECT item_id, 0 AS phase, 0 AS step, floor(len(ids) * 0.3::DOUBLE)::INT AS tries, ids AS s, 0 AS n FROM encoded
+    UNION ALL SELECT item_id, CASE WHEN ended THEN phase + 1 ELSE phase END, CASE WHEN ended THEN 0 ELSE step + 1 END, CASE WHEN ended THEN floor(len(s) * 0.3::DOUBLE)::INT ELSE tries END,
+      CASE WHEN ended THEN s WHEN phase % 2 = 0 THEN s[:i - 1] || [ways[{_draw_sql("phase, ", "step", "pair")} % len(ways) + 1].l, ways[{_draw_sql("phase, ", "step", "pair")} % len(ways) + 1].r] || s[i + 1:] ELSE s[:i - 1] || [merged] || s[i + 2:] END, n + 1
+    FROM (SELECT *, CASE WHEN phase % 2 = 0 THEN places_ways[list_position(places, i)] END AS ways, CASE WHEN phase % 2 = 1 THEN places_merged[list_position(places, i)] END AS merged FROM (
+      SELECT *, step >= tries OR len(places) = 0 AS ended, CASE WHEN len(liked) > 0 AND (phase % 2 = 0 OR {_draw_sql("phase, ", "step", "prefer")} < 0.7::DOUBLE * 4294967296) THEN liked[{_draw_sql("phase, ", "step", "at")} % len(liked) + 1] ELSE places[{_draw_sql("phase, ", "step", "at")} % greatest(len(places), 1) + 1] END AS i FROM (
+        SELECT item_id, any_value(phase) AS phase, any_value(step) AS step, any_value(tries) AS tries, any_value(s) AS s, any_value(n) AS n,
+          coalesce(list(j ORDER BY j) FILTER (able), []) AS places, coalesce(list(j ORDER BY j) FILTER (able AND is_liked), []) AS liked, list(ways ORDER BY j) FILTER (able) AS places_ways, list(merged ORDER BY j) FILTER (able) AS places_merged
+        FROM (SELECT x.item_id, phase, step, tries, s, n, j, t.ways, c.merged, CASE WHEN phase % 2 = 0 THEN t.merged IS NOT NULL ELSE c.merged IS NOT NULL END AS able, CASE WHEN phase % 2 = 0 THEN NOT t.is_affix ELSE c.is_affix END AS is_liked
+          FROM (SELECT *, unnest(range(1, len(s) + 1)) AS j FROM steps WHERE phase < 6) x LEFT JOIN splits t ON t.merged = x.s[x.j] LEFT JOIN joins c ON c."left" = x.s[x.j] AND c."right" = x.s[x.j + 1])
+        GROUP BY item_id))))
+  SELECT e.item_id, len(e.ids)::INT AS n_before, len(s)::INT AS n_after, array_to_string(s, ' ') AS ids FROM (SELECT item_id, arg_max(s, n) AS s FROM steps GROUP BY item_id) JOIN encoded e USING (item_id)"""
+
+
+@query(CYCLES_SQL)
 def affix_cycles(spark, sf_dir):
-    return _edited(spark, sf_dir, expand.cycles, 1.0, 1.2)
+    return _edited(spark, sf_dir, expand.cycles)[1].select("item_id", "n_before", "n_after", _joined("edited").alias("ids"))
 
 
-@query(EDITED_SQL)
+@query(f"WITH RECURSIVE {ENCODED_SQL} SELECT item_id, len(ids)::INT AS n_before, text, len(ids) > 1 AS changed FROM encoded JOIN benchmark USING (item_id)")
 def affix_contract_expand(spark, sf_dir):
-    return _edited(spark, sf_dir, expand.contract_expand, 1.0, 2.0, contract_share=0.5)
+    """SQL has no merging within a recursion; tests hold the edit itself against plain lists."""
+    tables, made = _edited(spark, sf_dir, expand.contract_expand, contract_share=0.5)
+    return made.select("item_id", "n_before", expand.text_decoder(spark, tables)(F.col("edited")).alias("text"), (F.col("ids") != F.col("edited")).alias("changed"))
