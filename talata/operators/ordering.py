@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,12 +48,68 @@ def with_running_total(df: DataFrame, size: str, *order: str, name: str = "start
     return placed.withColumn("_within", within).join(first, "_part").select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_first") + F.col("_within")).alias(name))
 
 
+def _offsets(batches):
+    """Adds to rows (ids) of a partition in order how many ids stand before them in it."""
+    from pyspark import TaskContext
+
+    part, before = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = before + np.cumsum(sizes) - sizes
+        before += int(sizes.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), part), pa.int32()), pa.array(starts), pa.array(sizes), batch.column(0)], ["part", "start", "size", "ids"])
+
+
+def _cut(batches, batch: int):
+    """Rows (start, ids) to pieces (batch, at, ids): runs of rows that follow each other are cut at the batches' ends."""
+    held, first, size = [], 0, 0  # arrays that follow each other from place `first` on
+
+    def pieces(least: int):
+        """Cuts off what is beyond `least` ids less than a batch away."""
+        nonlocal held, first, size
+        stream, at = pa.concat_arrays(held) if held else None, 0
+        while size - at > least:
+            n = min(batch - (first + at) % batch, size - at)
+            if n < batch - (first + at) % batch and least:
+                break
+            yield (first + at) // batch, (first + at) % batch, stream.slice(at, n)
+            at += n
+        held, first, size = [stream.slice(at)] if at < size else [], first + at, size - at
+
+    def out(cut):
+        found = list(cut)
+        ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) for _, _, x in found)]), pa.int32()), pa.concat_arrays([x for _, _, x in found])) if found else pa.array([], pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in found], pa.int64()), pa.array([a for _, a, _ in found], pa.int64()), ids.cast(pa.list_(pa.int32()))], ["batch", "at", "ids"])
+
+    for rows in batches:
+        for start, ids in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
+            if not len(ids):
+                continue
+            if start != first + size:
+                yield out(pieces(0))
+                held, first, size = [], start, 0
+            held.append(ids.values)
+            size += len(ids)
+            if size >= 64 * batch:
+                yield out(pieces(batch))
+    yield out(pieces(0))
+
+
 def stream_batches(df: DataFrame, ids: str, *order: str, batch: int = 1000) -> DataFrame:
-    """(batch, ids): the arrays of all rows in order as one stream, cut every ``batch`` elements."""
-    sized = with_running_total(df.select(*order, F.col(ids).alias("_ids"), F.size(ids).cast("long").alias("_size")), "_size", *order)
-    each = sized.where("_size > 0").select("start", F.posexplode("_ids").alias("_i", "_x")).select((F.col("start") + F.col("_i")).alias("_at"), "_x")
-    cut = each.groupBy(F.floor(F.col("_at") / batch).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("_at", "_x"))).alias("_xs"))
-    return cut.select("batch", F.transform("_xs", lambda s: s["_x"]).alias("ids"))
+    """(batch, ids): the arrays of all rows in order as one stream, cut every ``batch`` elements; null arrays are empty.
+
+    The rows are placed in order once and numbered by their partitions' sums. Whole batches are then
+    cut out of the arrays where they lie; only the pieces at the ends of what a task reads are
+    shuffled, at most two for each task.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col(ids).cast("array<int>").alias("ids"))
+    sized = materialize(placed.mapInArrow(_offsets, "part int, start long, size long, ids array<int>"), "stream")
+    first = _before(sized.groupBy(F.col("part").alias("_part")).agg(F.sum("size").alias("n")), "n")
+    placed = sized.where("size > 0").join(first, F.col("part") == F.col("_part")).select((F.col("start") + F.col("_first")).alias("start"), "ids")
+    cut = materialize(placed.mapInArrow(partial(_cut, batch=batch), "batch long, at long, ids array<int>"), "stream-pieces")
+    whole = cut.where(F.size("ids") == batch).select("batch", "ids")
+    pieces = cut.where(F.size("ids") < batch).groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("_xs"))  # less than a batch in all
+    return whole.unionAll(pieces.select("batch", F.flatten(F.transform("_xs", lambda s: s["ids"])).alias("ids")))
 
 
 def contiguous_chunks(df: DataFrame, chunks: int, *order: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.chars import to_chars
-from ..operators import ordering, profiles
+from ..operators import expand, ordering, profiles
 from ..plans import tasks
 from ..sources import sinks
 from ..working import new_path
@@ -95,3 +95,81 @@ def rank_means(spark, sf_dir):
 @query("SELECT event_id, event_type || '_' || strftime(ts, '%Y%m%d_%H%M%S') AS file FROM events")
 def stamped_names(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", sinks.stamped(F.col("event_type"), F.col("ts")).alias("file"))
+
+
+@query("""SELECT source, count(*) AS n_rows, sum(length(text))::BIGINT AS n_ids, max(length(text))::BIGINT AS longest, 0::BIGINT AS n_failed FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY source""")
+def converted_folder(spark, sf_dir):
+    """Files of each source converted to ids in one scan, one id a character; sums over the files of a source."""
+    folder = new_path(spark, "to-convert")
+    sinks.write_jsonl(table(spark, sf_dir, "documents").where("text IS NOT NULL AND source IS NOT NULL").select("source", F.col("text").alias("question")), folder, by=["source"])
+    ones = lambda s: F.transform(F.split(s, ""), lambda c: F.pmod(F.ascii(c), F.lit(50_000)))
+    made = sinks.convert_files(spark, folder, new_path(spark, "converted"), lambda s: F.when(s != "", ones(s)).otherwise(F.array().cast("array<int>")))
+    source = F.regexp_extract("file", "/source=([^/]*)/", 1)
+    return made.groupBy(source.alias("source")).agg(*[F.sum(c).alias(c) for c in ("n_rows", "n_ids")], F.max("longest").alias("longest"), F.sum("n_failed").alias("n_failed"))
+
+
+def _expanded_sql() -> str:
+    """Batches of the items' encoded stream, each expanded by as many tries as it has ids."""
+    from . import vocab
+
+    draw = lambda what: f"('0x' || substr(md5(concat_ws('|', '3', batch, step, '{what}')), 1, 8))::BIGINT"
+    return f"""WITH RECURSIVE {vocab.ENCODED_SQL}, pairs AS MATERIALIZED {vocab.PAIRS_SQL},
+  splits AS (SELECT merged, list({{'l': "left", 'r': "right"}} ORDER BY "left", "right") AS ways FROM pairs GROUP BY merged),
+  stream AS (SELECT x, row_number() OVER (ORDER BY item_id, i) - 1 AS r FROM (SELECT item_id, unnest(ids) AS x, generate_subscripts(ids, 1) AS i FROM encoded)),
+  batches AS (SELECT r // 100 AS batch, list(x ORDER BY r) AS ids FROM stream GROUP BY 1),
+  steps AS (SELECT batch, 0 AS step, len(ids)::INT AS tries, ids AS s FROM batches
+    UNION ALL SELECT batch, step + 1, tries, CASE WHEN ways IS NULL THEN s ELSE s[:i - 1] || [ways[{draw('pair')} % len(ways) + 1].l, ways[{draw('pair')} % len(ways) + 1].r] || s[i + 1:] END
+      FROM (SELECT *, {draw('at')} % len(s) + 1 AS i FROM steps WHERE step < tries) x LEFT JOIN splits t ON t.merged = x.s[x.i])
+  SELECT batch, len(s)::INT AS n_ids, md5(array_to_string(s, ' ')) AS digest FROM (SELECT batch, arg_max(s, step) AS s FROM steps GROUP BY batch)"""
+
+
+@query(_expanded_sql())
+def expanded_batches(spark, sf_dir):
+    from . import vocab
+
+    tables = vocab._tables(spark, sf_dir)
+    batches = ordering.stream_batches(vocab._items(spark, sf_dir, tables), "ids", "item_id", batch=100)
+    made = expand.expand_batches(spark, batches, tables, seed=3)
+    return made.select("batch", F.size("ids").alias("n_ids"), F.md5(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary")).alias("digest"))
+
+
+@query("""SELECT lang AS level, doc_id, md5(coalesce(text, '')) AS digest, count(*) OVER (PARTITION BY lang) AS in_manifest FROM documents WHERE lang IS NOT NULL""")
+def level_files(spark, sf_dir):
+    """A folder for each level, after a run that broke off: one level whole, one torn, the others missing."""
+    path = new_path(spark, "levels")
+    docs = table(spark, sf_dir, "documents").where("lang IS NOT NULL").select(F.col("lang").alias("level"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sinks.write_partitions(docs.where("level = 'en'"), path, ["level"])
+    torn = docs.where("level = 'de'").withColumn("doc_id", -F.col("doc_id"))
+    torn.write.mode("append").partitionBy("level").json(path)
+    whole = sinks.write_partitions(docs, path, ["level"], jobs=3)
+    back = sinks.read_partitions(spark, path, "level STRING, doc_id LONG, text STRING")
+    return back.join(whole, "level").select("level", "doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.col("n_rows").alias("in_manifest"))
+
+
+@query("""SELECT 'mcq' AS form, item_id, text, length(text)::BIGINT AS n_chars FROM benchmark UNION ALL SELECT 'gen', item_id, text, length(text)::BIGINT FROM benchmark""")
+def combined_files(spark, sf_dir):
+    """Items of both forms in one folder each, read back as one table."""
+    path = new_path(spark, "combined")
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    both = items.withColumn("form", F.explode(F.array(F.lit("mcq"), F.lit("gen"))))
+    sinks.write_partitions(both, path, ["form"])
+    return sinks.read_partitions(spark, path, "form STRING, item_id LONG, text STRING").withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+@query("SELECT event_type, event_id, user_id, value FROM events")
+def csv_export(spark, sf_dir):
+    path = new_path(spark, "csv")
+    sinks.write_csv(table(spark, sf_dir, "events").select("event_type", "event_id", "user_id", "value"), path)
+    return sinks.read_csv(spark, path, "event_type STRING, event_id LONG, user_id LONG, value DOUBLE").select("event_type", "event_id", "user_id", "value")
+
+
+@query("""SELECT lang AS run, count(*) AS n_items, count(*) FILTER (quality = 1) AS n_right, round(avg(quality), 6) AS accuracy FROM documents JOIN labels USING (doc_id) WHERE lang IS NOT NULL AND quality IS NOT NULL GROUP BY lang""")
+def run_summaries(spark, sf_dir):
+    """One summary line for each run, beside the run's result lines; the lines are whole when the summary is there."""
+    path = new_path(spark, "runs")
+    results = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").where("lang IS NOT NULL AND quality IS NOT NULL").select(F.col("lang").alias("run"), "doc_id", F.col("quality").cast("int").alias("right"))
+    sinks.write_partitions(results, f"{path}/results", ["run"])
+    back = sinks.read_partitions(spark, f"{path}/results", "run STRING, doc_id LONG, right INT")
+    summed = back.groupBy("run").agg(F.count("*").alias("n_items"), F.sum("right").cast("bigint").alias("n_right"), F.round(F.avg("right"), 6).alias("accuracy"))
+    sinks.write_partitions(summed, f"{path}/summaries", ["run"])
+    return sinks.read_partitions(spark, f"{path}/summaries", "run STRING, n_items LONG, n_right LONG, accuracy DOUBLE")
