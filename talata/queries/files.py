@@ -47,7 +47,7 @@ def _annotation_file(spark, sf_dir):
     path = new_path(spark, "annotations")
     kind = F.when(F.col("prefix").isNotNull(), "prefix").otherwise("suffix")
     rows = _annotated(spark, sf_dir).select("word", "root", F.coalesce("prefix", "suffix").alias("affix"), kind.alias("affix_type"), F.array("root").alias("morphemes"), F.lit("test").alias("source"))
-    sinks.write_jsonl(rows.orderBy("word"), path, single=True)
+    sinks.write_jsonl(rows.orderBy("word"), path)  # parts of ranges of words, which the reader takes in order
     return path
 
 
@@ -279,7 +279,7 @@ def _loaded(name: str, rows, sql: str, **options):
 
     def run(spark, sf_dir):
         path = new_path(spark, name)
-        sinks.write_jsonl(rows(_items(spark, sf_dir)), path, single=True)
+        sinks.write_jsonl(rows(_items(spark, sf_dir)), path)
         made = loaders.load_benchmark(spark, name, path, **options)
         return made.select("sample_id", "prefix", "ground_truth", F.array_join(F.array_sort("false_options"), "|").alias("false_options"))
 

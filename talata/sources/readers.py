@@ -35,8 +35,8 @@ def bad_lines(spark: SparkSession, path: str | list[str], key: str = "text") ->
 
 
 def in_file_order(df: DataFrame, name: str = "position") -> DataFrame:
-    """Rows with a number that rises in file and line order; not consecutive."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """Rows just read from files, with a value that rises in order of file names and lines."""
+    return df.withColumn(name, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")))
 
 
 def annotations(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:

@@ -22,12 +22,9 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def write_jsonl(df: DataFrame, path: str, *, mode: str = "error", by: list[str] = (), single: bool = False) -> None:  # noqa: B006
-    """JSON lines in UTF-8; ``by`` makes a folder for each value.
-
-    ``single`` gives one file and is for small tables alone: one task writes all of it.
-    """
-    writer = (df.coalesce(1) if single else df).write.mode(mode)
+def write_jsonl(df: DataFrame, path: str, *, mode: str = "error", by: list[str] = ()) -> None:  # noqa: B006
+    """JSON lines in UTF-8, a part for each task; ``by`` makes a folder for each value. Sorted rows are read back in order by ``readers.in_file_order``."""
+    writer = df.write.mode(mode)
     (writer.partitionBy(*by) if by else writer).json(path)
 
 
