@@ -14,13 +14,18 @@ from ..functions.seeded import order_key
 from ..working import materialize
 
 
+def _row(df: DataFrame) -> Column:
+    """All columns as one, so that no name of theirs meets a helper column's."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def _placed(df: DataFrame, *order: str) -> DataFrame:
-    """``df`` in order over range partitions, written once, with ``_part`` and ``_at`` within it.
+    """``df`` as ``row`` in order over range partitions, written once, with ``_part`` and ``_at`` within it.
 
     As the table is written, numbers made from it do not change when an executor is lost.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    return materialize(ranged, "ordered").withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND((1 << 33) - 1)}).drop("_id")
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).select(_row(df).alias("row"), F.monotonically_increasing_id().alias("id"))
+    return materialize(ranged, "ordered").select("row", F.shiftright("id", 33).alias("_part"), F.col("id").bitwiseAND((1 << 33) - 1).alias("_at"))
 
 
 def _before(counts: DataFrame, n: str) -> DataFrame:
@@ -33,19 +38,21 @@ def with_row_index(df: DataFrame, *order: str, name: str = "row_index") -> DataF
     """Rows numbered from 0 in the order of ``order``, without one task for all of them.
 
     The rows are range-partitioned, sorted and written once; each partition's first number comes
-    from the partitions' counts, of which there is one row a partition.
+    from the partitions' counts, of which there is one row a partition. Columns may have any name.
     """
     placed = _placed(df, *order)
     first = _before(placed.groupBy("_part").agg(F.count("*").alias("_n")), "_n")
-    return placed.join(first, "_part").select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_first") + F.col("_at")).alias(name))
+    numbered = placed.join(first, "_part").select("row", (F.col("_first") + F.col("_at")).alias("number"))
+    return numbered.select(*[F.col("row").getField(c).alias(c) for c in df.columns], F.col("number").alias(name))
 
 
 def with_running_total(df: DataFrame, size: str, *order: str, name: str = "start") -> DataFrame:
     """The sum of ``size`` over all rows before each, in the order of ``order``; a window a partition, as above."""
-    placed = _placed(df, *order)
-    first = _before(placed.groupBy("_part").agg(F.sum(size).alias("_n")), "_n")
-    within = F.coalesce(F.sum(size).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return placed.withColumn("_within", within).join(first, "_part").select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_first") + F.col("_within")).alias(name))
+    placed = _placed(df, *order).withColumn("_size", F.col("row").getField(size))
+    first = _before(placed.groupBy("_part").agg(F.sum("_size").alias("_n")), "_n")
+    within = F.coalesce(F.sum("_size").over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    summed = placed.withColumn("_within", within).join(first, "_part").select("row", (F.col("_first") + F.col("_within")).alias("number"))
+    return summed.select(*[F.col("row").getField(c).alias(c) for c in df.columns], F.col("number").alias(name))
 
 
 def _offsets(batches):
@@ -154,4 +161,4 @@ def keep_first(df: DataFrame, key: str, *order: Column) -> DataFrame:
 def first_per_group(df: DataFrame, n: int, group: list[str], *order: str) -> DataFrame:
     """The first ``n`` rows of each group; Spark limits each task's groups before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+    return df.select(_row(df).alias("row"), rank.alias("rank")).where(F.col("rank") <= n).select("row.*")

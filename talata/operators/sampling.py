@@ -49,7 +49,7 @@ def sample_by_frequency(df: DataFrame, n: int, *key: str, freq_weight: float = 0
     """``n`` rows of ``df`` (with ``rank``) without replacement, all if there are fewer."""
     df = materialize(df, "sampled-from")  # counted and sampled without making it twice
     weight = frequency_weight(F.col("rank"), df.count(), freq_weight)
-    return df.withColumn("_order", weighted_order(weight, seed, *map(F.col, key))).orderBy("_order", *key).limit(n).drop("_order")
+    return df.orderBy(weighted_order(weight, seed, *map(F.col, key)), *key).limit(n)
 
 
 def uniform_sample(df: DataFrame, n: int, *key: str, seed: int = 42) -> DataFrame:
@@ -71,24 +71,80 @@ def sample_with_replacement(df: DataFrame, draws: int, *order: str, seed: int =
     return picks.join(numbered, "row_index").drop("row_index")
 
 
+#: Parts of a key that are reduced on their own before they are merged.
+SALTS = 64
+
+
+def least_of_each(df: DataFrame, k: int, keys: list[str], item: str, order: Column, salts: int = SALTS) -> DataFrame:
+    """``keys`` and ``items``: the ``k`` items of each key with the least ``order``, in that order; the item breaks ties.
+
+    A bottom-k sketch in two stages: each key's items are dealt to ``salts`` parts by their hash, the
+    least of each part are taken, and these, ``k * salts`` at most, are merged. So no task has all
+    items of a frequent key. Repeated items count once. Null keys are a key.
+    """
+    some = df.select(F.struct(*[F.col(f"`{c}`") for c in keys]).alias("key"), order.alias("order"), F.col(f"`{item}`").alias("item")).distinct()
+    salted = some.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(salts)))
+    first = F.row_number().over(Window.partitionBy("key", "part").orderBy("order", "item"))
+    parts = salted.withColumn("place", first).where(F.col("place") <= k).select("key", "order", "item")
+    merged = parts.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(F.struct("order", "item"))), 1, k).alias("least"))
+    return merged.select("key.*", F.transform("least", lambda x: x["item"]).alias("items"))
+
+
+#: Hexadecimal digits of the order that one round of a cut-off looks at; rows of a cut that are then ranked one by one.
+DIGITS, RANKED = 3, 1000
+
+
+def cut_offs(keys: DataFrame, quotas: DataFrame) -> tuple[DataFrame, int]:
+    """Where the ``take`` least keys of each stratum end: (stratum, prefix, left) and the prefix's length.
+
+    ``keys`` (stratum, key: digits of one length) and ``quotas`` (stratum, take: 1 to the stratum's
+    size). Keys below ``prefix`` are taken, and the ``left`` least of those that have it. Each round
+    counts the next digits of the keys that have a stratum's prefix, so no task sorts a stratum; it
+    ends when no prefix has more than RANKED keys.
+    """
+    state, digits = quotas.select("stratum", F.lit("").alias("prefix"), F.col("take").alias("left")), 0
+    while True:
+        small = F.broadcast(state) if state.count() <= MOST_BROADCAST else state
+        having = keys.join(small, "stratum").where(F.col("key").startswith(F.col("prefix")))
+        digits += DIGITS
+        counts = having.groupBy("stratum", "left", F.substring("key", 1, digits).alias("next")).agg(F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("stratum").orderBy("next").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most 16 ** DIGITS rows
+        at = counts.withColumn("before", before).where((F.col("before") < F.col("left")) & (F.col("left") <= F.col("before") + F.col("n")))
+        found = materialize(at.select("stratum", F.col("next").alias("prefix"), (F.col("left") - F.col("before")).alias("left"), "n"), "cut-offs")
+        state = found.drop("n")
+        if digits >= 32 or not found.where(F.col("n") > RANKED).head(1):
+            return state, digits
+
+
+def least_of_strata(df: DataFrame, stratum: Column, order: Column, quotas: DataFrame, *key: str) -> DataFrame:
+    """The rows of ``df`` with the least ``order`` (hexadecimal) of each stratum, as many as ``quotas`` (stratum, take) says.
+
+    ``key`` breaks ties. Rows at the cut-off's prefix alone are ranked. Columns of ``df`` may have any name.
+    """
+    rows = df.select(stratum.alias("stratum"), order.alias("key"), F.struct(*[F.col(f"`{c}`") for c in key]).alias("tie"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    rows = materialize(rows, "strata")
+    cuts, digits = cut_offs(rows.select("stratum", "key"), quotas.where("take > 0"))
+    near = rows.join(F.broadcast(cuts) if cuts.count() <= MOST_BROADCAST else cuts, "stratum").withColumn("head", F.substring("key", 1, digits))
+    place = F.row_number().over(Window.partitionBy("stratum").orderBy("key", "tie"))
+    last = near.where("head = prefix").withColumn("place", place).where("place <= left")
+    return near.where("head < prefix").select("row.*").unionAll(last.select("row.*"))
+
+
 def stratified_by_length(df: DataFrame, n: int, column: str, *key: str, seed: int = 42) -> DataFrame:
     """Shares of each length kept: quota = n * share rounded half to even.
 
     Where the quotas miss ``n``, the largest groups get one more or one less, one each; quotas end
-    at the group's size, so fewer than ``n`` rows may come.
+    at the group's size, so fewer than ``n`` rows may come. Each length's cut-off is found by counts.
     """
-    df = materialize(df.withColumn("_len", F.length(column)), "sampled-from")
+    df = materialize(df, "sampled-from")
     everything = Window.partitionBy()  # one row a length
-    total = F.greatest(F.sum("_size").over(everything), F.lit(1))
-    sizes = df.groupBy("_len").agg(F.count("*").alias("_size")).withColumn("_quota", F.bround(F.col("_size") * n / total.cast("double")).cast("bigint"))
-    off = F.lit(n) - F.sum("_quota").over(everything)
-    rank = F.row_number().over(Window.orderBy(F.col("_size").desc(), "_len"))
-    quota = F.least(F.col("_size"), F.col("_quota") + F.when(rank <= F.abs(off), F.signum(off)).otherwise(0).cast("bigint"))
-    quotas = sizes.select("_len", quota.alias("_take")).where("_take > 0")
-    order = order_key(seed, *map(F.col, key))
-    place = F.row_number().over(Window.partitionBy("_len").orderBy("_order", *key))
-    ranked = df.join(F.broadcast(quotas), "_len").withColumn("_order", order).withColumn("_place", place)
-    return ranked.where("_place <= _take").drop("_len", "_order", "_place", "_take")
+    total = F.greatest(F.sum("size").over(everything), F.lit(1))
+    sizes = df.groupBy(F.length(column).alias("stratum")).agg(F.count("*").alias("size")).withColumn("quota", F.bround(F.col("size") * n / total.cast("double")).cast("bigint"))
+    off = F.lit(n) - F.sum("quota").over(everything)
+    rank = F.row_number().over(Window.orderBy(F.col("size").desc(), "stratum"))
+    quota = F.least(F.col("size"), F.col("quota") + F.when(rank <= F.abs(off), F.signum(off)).otherwise(0).cast("bigint"))
+    quotas = materialize(sizes.select("stratum", quota.alias("take")), "quotas")
+    return least_of_strata(df, F.length(column), order_key(seed, *map(F.col, key)), quotas, *key)
 
 
 def is_validation(seed: int, percent: float, *key: Column) -> Column:

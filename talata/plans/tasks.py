@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import chars, syllables
 from ..functions.seeded import number, order_key, pick, shuffled
 from ..operators.ordering import balanced_answers, groups_of_four
+from ..operators.sampling import least_of_each
 from ..working import materialize
 from . import prompts
 
@@ -376,25 +377,43 @@ def affix_rows(annotated: DataFrame, seed: int = 42) -> DataFrame:
     return chosen.select("word", "root", "prefix", "infix", "suffix", "_a.affix_type", "_a.affix")
 
 
+#: Roots of a bucket on average, of which one may be drawn; draws for each word.
+BUCKET, ROOT_DRAWS = 4, 8
+#: Affixes of all types up to which they go to every row as pools.
+MOST_AFFIXES = 100_000
+
+
+def other_roots(rows: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
+    """(word, others): a few roots for each wanted word, drawn without numbering them.
+
+    Roots are dealt to buckets by their hash, and each bucket's least is what its number draws.
+    """
+    roots = materialize(rows.select("root").distinct(), "roots")
+    buckets = max(1, roots.count() // BUCKET)
+    drawn = roots.groupBy(F.pmod(number(f"{seed}-bucket", F.col("root")), F.lit(buckets)).alias("bucket")).agg(F.min_by("root", F.struct(order_key(seed, F.col("root")), "root")).alias("other"))
+    asked = wanted.select("word", F.explode(F.sequence(F.lit(0), F.lit(ROOT_DRAWS - 1))).alias("i")).select("word", F.pmod(number(seed, F.col("word"), F.col("i")), F.lit(buckets)).alias("bucket"))
+    return asked.join(drawn, "bucket").groupBy("word").agg(F.array_sort(F.collect_set("other")).alias("others"))
+
+
 def affix_levels(annotated: DataFrame, n: int | None = None, form: str = "mcq", seed: int = 42) -> DataFrame:
-    """Levels 2 to 5: name the affix, find the root, count syllables, remove, apply, and both in a row."""
+    """Levels 2 to 5: name the affix, find the root, count syllables, remove, apply, and both in a row.
+
+    The words are chosen first; what else a task needs is sampled for them alone.
+    """
     rows = materialize(affix_rows(annotated, seed), "affix-rows")
     mcq = form == "mcq"
-    pools = rows.groupBy("affix_type").agg(F.array_sort(F.collect_set("affix")).alias("pool"))  # three rows
+    affixes = materialize(rows.select("affix_type", "affix").distinct(), "affixes")
+    if affixes.count() > MOST_AFFIXES:
+        raise ValueError(f"more than {MOST_AFFIXES} affixes can't go to every row")
+    pools = affixes.groupBy("affix_type").agg(F.array_sort(F.collect_list("affix")).alias("pool"))  # three rows
     out = rows if n is None else rows.orderBy(order_key(seed, F.col("word")), "word").limit(n)
-    out = out.join(F.broadcast(pools), "affix_type").withColumn("count", F.size(syllables.syllabify(F.col("word"))))
-    # A few other roots for each row: neighbours by hash in place of a join of all with all.
-    from ..operators.ordering import with_row_index
-
-    ring = with_row_index(rows.select("root").distinct().withColumn("_order", order_key(seed, F.col("root"))), "_order", "root")
-    total = ring.count()
-    want = out.select("word", "root", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i")).withColumn("row_index", F.pmod(number(seed, F.col("word"), F.col("i")), F.lit(max(1, total))))
-    others = want.join(ring.select("row_index", F.col("root").alias("other")), "row_index").groupBy("word").agg(F.array_sort(F.collect_set("other")).alias("others"))
+    out = materialize(out.join(F.broadcast(pools), "affix_type").withColumn("count", F.size(syllables.syllabify(F.col("word")))), "chosen-words")
+    others = other_roots(rows, out, seed)
     out = materialize(out.join(others, "word", "left").withColumn("others", F.coalesce("others", F.array().cast(STRINGS))), "level-rows")
     w, root, affix, kind = F.col("word"), F.col("root"), F.col("affix"), F.col("affix_type")
     values = {"affix_type": kind, "affix": affix, "root": root}
     near = F.filter(F.array(F.col("count") - 1, F.col("count") + 1, F.col("count") + 2, F.col("count") - 2), lambda x: x > 0)
-    related = related_words(rows, out.select("word"))
+    related = related_words(rows, out.select("word"), seed=seed)
     applied = out.join(related, ["word", "affix_type", "affix"], "left")
     plain = F.concat(affix, root)
     distractors = F.slice(F.concat(_three(F.coalesce("related", F.array().cast(STRINGS)), w, seed, w), F.array_repeat(plain, 3)), 1, 3)
@@ -409,27 +428,23 @@ def affix_levels(annotated: DataFrame, n: int | None = None, form: str = "mcq",
     return union(parts)
 
 
-def related_words(rows: DataFrame, wanted: DataFrame, most: int = 20) -> DataFrame:
-    """Of the ``wanted`` words, up to ``most`` others with the same root or the same affix of a type, by two equi-joins.
+def related_words(rows: DataFrame, wanted: DataFrame, most: int = 20, seed: int = 42) -> DataFrame:
+    """(word, affix_type, affix, related): up to ``most`` other words with the same root, or the same affix of a type.
 
-    Words that share a key are reached by neighbouring numbers under the key, so a frequent affix
-    does not pair all of its words.
+    Each root and affix of the wanted words has a sketch of its least words in a seeded order, of
+    which any word of the group may be one; of both sketches the least are taken. A frequent affix
+    is sketched in parts, so neither its words nor their pairs come together.
     """
-    from pyspark.sql import Window
-
+    order = order_key(f"{seed}-related", F.col("word"))
+    own = materialize(rows.join(wanted.select("word").distinct(), "word", "left_semi").select("word", "affix_type", "affix", "root"), "wanted-words")
     found = []
     for keys in (["root"], ["affix_type", "affix"]):
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy("word"))
-        numbered = rows.select("word", "affix_type", "affix", "root", place.alias("at"))
-        numbered = materialize(numbered, "numbered-words")
-        steps = numbered.join(wanted, "word", "left_semi").withColumn("to", F.explode(F.array(*[F.col("at") + d for d in (-3, -2, -1, 1, 2, 3)])))
-        side = numbered.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("at").alias("_at"), F.col("word").alias("other"))
-        same = F.col("to") == F.col("_at")
-        for k in keys:
-            same = same & (F.col(k) == F.col(f"_{k}"))
-        found.append(steps.join(side, same).select("word", "affix_type", "affix", "other"))
+        asked = own.select(*keys).distinct()
+        sketches = least_of_each(rows.join(asked, keys, "left_semi"), most + 1, keys, "word", order)
+        found.append(own.join(sketches, keys).select("word", "affix_type", "affix", F.explode("items").alias("other")))
     both = union(found).where("other <> word")
-    return both.groupBy("word", "affix_type", "affix").agg(F.slice(F.array_sort(F.collect_set("other")), 1, most).alias("related"))
+    least = both.groupBy("word", "affix_type", "affix").agg(F.slice(F.array_sort(F.collect_set(F.struct(order_key(f"{seed}-related", F.col("other")).alias("k"), "other"))), 1, most).alias("least"))
+    return least.select("word", "affix_type", "affix", F.array_sort(F.transform("least", lambda x: x["other"])).alias("related"))
 
 
 def multi_step(rows: DataFrame, n: int | None, mcq: bool, seed: int) -> DataFrame:
@@ -437,7 +452,10 @@ def multi_step(rows: DataFrame, n: int | None, mcq: bool, seed: int) -> DataFram
     from ..operators.ordering import with_row_index
 
     usable = rows.where(F.col("prefix").isNotNull() | F.col("suffix").isNotNull()).select("word", "root", "prefix", "suffix")
-    ordered = with_row_index(usable.withColumn("_order", order_key(f"{seed}-pairs", F.col("word"))), "_order", "word")
+    usable = usable.withColumn("_order", order_key(f"{seed}-pairs", F.col("word")))
+    if n is not None:  # no more than these make pairs that are kept
+        usable = usable.orderBy("_order", "word").limit(2 * n)
+    ordered = with_row_index(usable, "_order", "word")
     pair = F.floor(F.col("row_index") / 2)
     one = ordered.where("row_index % 2 = 0").select(pair.alias("pair"), "word", "root")
     kind = F.when(F.col("prefix").isNotNull(), "prefix").otherwise("suffix")

@@ -22,6 +22,12 @@ def _lexicon(spark, sf_dir):
     )
 
 
+def _written(spark, sf_dir):
+    """Words as they are written, capitals kept, with their form without marks."""
+    rows = raw_words(spark, sf_dir).select(F.col("w").alias("word")).where(F.length("word") >= 3).distinct()
+    return rows.select("word", chars.normalize_text(F.col("word")).alias("normalized_word"))
+
+
 def _annotated(spark, sf_dir):
     rows = words(spark, sf_dir).where(F.length("word") >= 6)
     head, tail = F.substring("word", 1, 2), F.substr("word", F.length("word") - 1)
@@ -35,22 +41,22 @@ def _shown(made):
 
 @query(task_sql.composition("mcq"))
 def composition_mcq(spark, sf_dir):
-    return _shown(tasks.composition(_lexicon(spark, sf_dir), 20))
+    return _shown(tasks.composition(_written(spark, sf_dir), 20))
 
 
 @query(task_sql.composition("gen"))
 def composition_gen(spark, sf_dir):
-    return _shown(tasks.composition(_lexicon(spark, sf_dir), 20, "gen"))
+    return _shown(tasks.composition(_written(spark, sf_dir), 20, "gen"))
 
 
 @query(task_sql.manipulation("mcq"))
 def manipulation_mcq(spark, sf_dir):
-    return _shown(tasks.manipulation(_lexicon(spark, sf_dir), 20))
+    return _shown(tasks.manipulation(_written(spark, sf_dir), 20))
 
 
 @query(task_sql.manipulation("gen"))
 def manipulation_gen(spark, sf_dir):
-    return _shown(tasks.manipulation(_lexicon(spark, sf_dir), 20, "gen"))
+    return _shown(tasks.manipulation(_written(spark, sf_dir), 20, "gen"))
 
 
 @query(task_sql.syllabification("mcq"))
@@ -85,7 +91,7 @@ def hierarchical_affixes_mcq(spark, sf_dir):
 
 @query(task_sql.MCQ_ITEMS)
 def mcq_items(spark, sf_dir):
-    made = tasks.mcq_items(tasks.manipulation(_lexicon(spark, sf_dir), 20))
+    made = tasks.mcq_items(tasks.manipulation(_written(spark, sf_dir), 20))
     return made.groupBy("subcategory", "label").agg(F.count("*").alias("n_items"))
 
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from ..functions import chars, syllables
 from ..plans import prompts
-from .base import WORDS_SQL
+from .base import LETTERS, WORDS_SQL
 from .sqltext import (
     ALPHABET, LEXICON, Q, SYLLABLES, but, count_char, count_marks, diacritized, fold, half_upper, key, num, ordered_distinct, ordinal, permuted, perturbations, pick,
     random_case, reduplicated, reduplicated_syllable, render, rendered, row, shuffled, shuffled_word, spell, stress_of, union, upper,
 )
 
 N, SEED = 20, 100
+#: Distinct words as they are written, capitals kept.
+WRITTEN = f"(SELECT DISTINCT w AS word, {fold('w')} AS norm FROM (SELECT unnest(regexp_extract_all(text, '{LETTERS}')) AS w FROM documents) WHERE length(w) >= 3)"
 NAMES = {"normalized_word": "norm"}
 
 
@@ -31,9 +33,9 @@ def composition(form: str) -> str:
             ("diacritic", prompts.DIACRITIC_GEN, count_marks("word"), f"{count_marks('word')} > 0"),
             ("uppercase", prompts.UPPERCASE_GEN, r"length(regexp_replace(norm, '[^\p{Lu}]', '', 'g'))", r"regexp_matches(norm, '\p{Lu}')"),
         ]
-        return union([f"SELECT {row('composition', Q(kind), rendered(texts, character=letter, **NAMES), answer, None, 'norm')} FROM {_sampled(3, SEED + i, where)}" for i, (kind, texts, answer, where) in enumerate(parts)])
-    spelling = f"SELECT {row('composition', Q('spelling'), rendered(prompts.SPELLING_MCQ, **NAMES), spell('norm'), perturbations('norm', SEED), 'norm')} FROM {_sampled(3, SEED)}"
-    numbered = f"SELECT norm, word, row_number() OVER (ORDER BY {key(SEED, 'norm')}, norm, word) - 1 AS r FROM {LEXICON}"
+        return union([f"SELECT {row('composition', Q(kind), rendered(texts, character=letter, **NAMES), answer, None, 'norm')} FROM {_sampled(3, SEED + i, where, WRITTEN)}" for i, (kind, texts, answer, where) in enumerate(parts)])
+    spelling = f"SELECT {row('composition', Q('spelling'), rendered(prompts.SPELLING_MCQ, **NAMES), spell('norm'), perturbations('norm', SEED), 'norm')} FROM {_sampled(3, SEED, source=WRITTEN)}"
+    numbered = f"SELECT norm, word, row_number() OVER (ORDER BY {key(SEED, 'norm')}, norm, word) - 1 AS r FROM {WRITTEN}"
     groups = f"(SELECT r // 4 AS g, list(norm ORDER BY r) AS words, list(word ORDER BY r) AS marked FROM ({numbered}) GROUP BY 1 HAVING count(*) = 4 AND count(DISTINCT norm) = 4)"
     return union([spelling, *[_group(groups, kind) for kind in ("character_exactly", "character_most", "character_least", "diacritic_exactly", "uppercase_exactly", "length_exactly", "length_most", "length_least")]])
 
@@ -73,7 +75,7 @@ GROUP_CHARACTERS = f"""SELECT g AS group_id, ws[list_position(counts, list_max(c
 
 def manipulation(form: str) -> str:
     own = "list_sort(list_distinct(string_split(norm, '')))"
-    one = f"SELECT *, {pick(own, num('100-a', 'norm'))} AS a FROM {LEXICON} WHERE length(norm) >= 5"
+    one = f"SELECT *, {pick(own, num('100-a', 'norm'))} AS a FROM {WRITTEN} WHERE length(norm) >= 5"
     two = f"SELECT *, {pick(but(ALPHABET, 'a'), num('100-new', 'norm'))} AS new FROM ({one})"
     three = f"SELECT *, coalesce({pick(but(own, 'a'), num('100-b', 'norm'))}, new) AS b FROM ({two})"
     source = f"(SELECT *, coalesce({pick(but(own, 'a', 'b'), num('100-other', 'norm'))}, new) AS other FROM ({three}))"
@@ -94,11 +96,11 @@ def manipulation(form: str) -> str:
     mixed, half = random_case("norm", SEED), half_upper("norm")
     mcq = lambda *options: f"[{', '.join(options)}]" if form == "mcq" else None
     cased = r"regexp_matches(norm, '\p{L}')"
-    parts.append(f"SELECT {row('manipulation', Q('uppercasing'), rendered(texts['uppercasing'], **NAMES), upper('norm'), mcq('lower(norm)', half, mixed), 'norm')} FROM {_sampled(5, 105, cased)}")
-    parts.append(f"SELECT {row('manipulation', Q('lowercasing'), rendered(texts['lowercasing'], **NAMES), 'lower(norm)', mcq(half, mixed, upper('norm')), 'norm')} FROM {_sampled(5, 106, cased)}")
+    parts.append(f"SELECT {row('manipulation', Q('uppercasing'), rendered(texts['uppercasing'], **NAMES), upper('norm'), mcq('lower(norm)', half, mixed), 'norm')} FROM {_sampled(5, 105, cased, WRITTEN)}")
+    parts.append(f"SELECT {row('manipulation', Q('lowercasing'), rendered(texts['lowercasing'], **NAMES), 'lower(norm)', mcq(half, mixed, upper('norm')), 'norm')} FROM {_sampled(5, 106, cased, WRITTEN)}")
     bare = fold("word")
     marks = f"list_transform([word, {diacritized('word', 100)}, {diacritized('word', 101, 0.5)}], lambda vx: CASE WHEN vx = {bare} THEN {shuffled_word('word', '100-m', '')} ELSE vx END)"
-    parts.append(f"SELECT {row('manipulation', Q('diacritic_normalization'), rendered(texts['diacritic_normalization'], word='word'), bare, marks if form == 'mcq' else None, 'norm')} FROM {_sampled(5, 107, count_marks('word') + ' > 0')}")
+    parts.append(f"SELECT {row('manipulation', Q('diacritic_normalization'), rendered(texts['diacritic_normalization'], word='word'), bare, marks if form == 'mcq' else None, 'norm')} FROM {_sampled(5, 107, count_marks('word') + ' > 0', WRITTEN)}")
     return union(parts)
 
 
@@ -223,10 +225,12 @@ ANNOTATED = f"""(SELECT word, length(word) % 2 = 0 AS even, CASE WHEN length(wor
 
 def affix_levels() -> str:
     rows = f"SELECT a.word, root, kind, affix, len(syl) AS count FROM {ANNOTATED} a JOIN {SYLLABLES} s ON a.word = s.word ORDER BY {key(42, 'a.word')}, a.word LIMIT {N}"
-    ring = f"(SELECT root, row_number() OVER (ORDER BY {key(42, 'root')}, root) - 1 AS r FROM (SELECT DISTINCT root FROM {ANNOTATED}))"
-    others = f"SELECT word, list_sort(list(DISTINCT ring.root)) AS others FROM (SELECT o.word, unnest([0, 1, 2, 3, 4, 5]) AS i FROM picked o) w JOIN ring ON ring.r = {num(42, 'w.word', 'w.i')} % (SELECT count(*) FROM ring) GROUP BY word"
-    steps = " UNION ALL ".join(f"SELECT word, kind, affix, {f}(word, {d}) OVER (PARTITION BY {by} ORDER BY word) AS other FROM {ANNOTATED}" for by in ("root", "kind, affix") for f in ("lag", "lead") for d in (1, 2, 3))
-    related = f"SELECT word, kind, affix, (list_sort(list(DISTINCT other)))[1:20] AS related FROM ({steps}) WHERE other <> word GROUP BY word, kind, affix"
+    buckets = f"greatest(1, (SELECT count(DISTINCT root) FROM {ANNOTATED}) // 4)"
+    drawn = f"SELECT bucket, arg_min(root, k || root) AS other FROM (SELECT root, {num('42-bucket', 'root')} % {buckets} AS bucket, {key(42, 'root')} AS k FROM (SELECT DISTINCT root FROM {ANNOTATED})) GROUP BY bucket"
+    others = f"SELECT word, list_sort(list(DISTINCT other)) AS others FROM (SELECT word, {num(42, 'word', 'i')} % {buckets} AS bucket FROM (SELECT word, unnest(range(8)) AS i FROM picked)) JOIN ({drawn}) USING (bucket) GROUP BY word"
+    sketch = lambda by: f"SELECT {by}, word AS other FROM (SELECT {by}, word, row_number() OVER (PARTITION BY {by} ORDER BY {key('42-related', 'word')}, word) AS r FROM {ANNOTATED}) WHERE r <= 21"
+    shared = " UNION ".join(f"SELECT word, kind, affix, other FROM picked JOIN ({sketch(by)}) USING ({by}) WHERE other <> word" for by in ("root", "kind, affix"))
+    related = f"SELECT word, kind, affix, list_sort((list(other ORDER BY {key('42-related', 'other')}, other))[1:20]) AS related FROM ({shared}) GROUP BY word, kind, affix"
     pools = f"SELECT kind, list_sort(list(DISTINCT affix)) AS pool FROM {ANNOTATED} GROUP BY kind"
     near = "(list_filter([count - 1, count + 1, count + 2, count - 2], lambda x: x > 0))[1:3]"
     values = {"affix_type": "kind", "affix": "affix", "root": "root"}
@@ -245,7 +249,7 @@ def affix_levels() -> str:
         f"SELECT {_level('composition', 'affix_application', 'word', applied, values, Q('affix_application_') + ' || kind')} FROM out_",
         f"SELECT {_level('reasoning', 'multi_step', joined('root'), multi, {'affix_type': 'kind', 'affix': 'affix'})} FROM ({both})",
     ]
-    return f"""WITH picked AS ({rows}), ring AS {ring}, pairs AS ({pairs}), pools AS ({pools}), others AS ({others}), related AS ({related}),
+    return f"""WITH picked AS ({rows}), pairs AS ({pairs}), pools AS ({pools}), others AS ({others}), related AS ({related}),
 out_ AS (SELECT picked.*, pool, coalesce(others, []) AS others, related FROM picked JOIN pools USING (kind) LEFT JOIN others USING (word) LEFT JOIN related USING (word, kind, affix))
 {union(parts)}"""
 
