@@ -78,7 +78,7 @@ def mcq_items(tasks: DataFrame, seed: int = 42) -> DataFrame:
     placed = balanced_answers(tasks.where(F.size("wrong") == 3), F.col("answer"), F.col("wrong"), seed, "subcategory", "key", "text_en")
     options = F.struct(F.col("answer").alias("correct"), *[F.get("wrong", F.lit(i)).alias(f"incorrect{i + 1}") for i in range(3)])
     prompt = F.struct("text_en", "text_tl", options.alias("mcq_options"), "choice1", "choice2", "choice3", "choice4")
-    return placed.select("category", "subcategory", F.array(prompt).alias("prompts"), "label", "row_index")
+    return placed.select("category", "subcategory", F.array(prompt).alias("prompts"), "label", "row_index", "key")
 
 
 def gen_items(tasks: DataFrame) -> DataFrame:
@@ -158,12 +158,36 @@ def composition(lexicon: DataFrame, n: int | None = None, form: str = "mcq", see
         ]
         return union(parts)
     spelling = task(sampled(words, n, seed), "composition", "spelling", rendered(prompts.SPELLING_MCQ), chars.spell(w), chars.perturbations(w, seed), key)
-    ordered = words.select("word", "normalized_word").distinct().withColumn("_order", order_key(seed, w))
-    groups = materialize(groups_of_four(ordered, "_order", "normalized_word", "word"), "groups-of-four")
-    counted = {subject: materialize(counted_groups(groups, subject, seed), "counted-groups") for subject in ("character", "diacritic", "uppercase", "length")}
+    counted = {subject: enough_groups(words, subject, n, seed) for subject in ("character", "diacritic", "uppercase", "length")}
     return union([spelling, *[first(_group_task(counted[kind.partition("_")[0]], kind), n, F.col("key")) for kind in COMPOSITION_GROUPS]])
 
 
+#: Rounds of grouping at most; group ids of a round begin at its number times ROUND_IDS.
+ROUNDS, ROUND_IDS = 5, 100_000_000_000
+
+
+def enough_groups(words: DataFrame, subject: str, n: int | None, seed: int = 100, rounds: int = ROUNDS) -> DataFrame:
+    """Unambiguous groups of four for a subject, as ``counted_groups`` gives them: at least ``n`` if the rounds find them.
+
+    Words of groups that were ambiguous are ordered anew and grouped again, without those used
+    already, until there are ``n`` groups, four words are not left, or ``rounds`` are over. Without
+    ``n`` there is one round.
+    """
+    left, found, total = words.select("word", "normalized_word").distinct(), None, 0
+    for i in range(rounds):
+        order = order_key(seed if i == 0 else f"{seed}-{i}", F.col("normalized_word"))
+        groups = groups_of_four(left.withColumn("_order", order), "_order", "normalized_word", "word")
+        groups = materialize(groups.withColumn("group_id", F.col("group_id") + i * ROUND_IDS), "groups-of-four")
+        good = materialize(counted_groups(groups, subject, seed), "counted-groups")
+        found = good if found is None else found.unionByName(good)
+        total += 0 if n is None else good.count()
+        if n is None or total >= n or groups.isEmpty() or i + 1 == rounds:
+            return found
+        used = groups.join(good.select("group_id"), "group_id", "left_semi").select(F.explode(F.transform("members", lambda x: x["word"])).alias("word"))
+        left = materialize(left.join(used, "word", "left_anti"), "words-left")
+    return found
+
+
 def counted_groups(groups: DataFrame, subject: str, seed: int = 100) -> DataFrame:
     """(group_id, words, char, counts) of the groups of four in which what is counted gives an unambiguous answer."""
     m = F.col("members")

@@ -91,8 +91,18 @@ def hierarchical_affixes_mcq(spark, sf_dir):
 
 @query(task_sql.MCQ_ITEMS)
 def mcq_items(spark, sf_dir):
+    """Each item with the place of its right answer, which the options are read from."""
     made = tasks.mcq_items(tasks.manipulation(_written(spark, sf_dir), 20))
-    return made.groupBy("subcategory", "label").agg(F.count("*").alias("n_items"))
+    prompt = F.col("prompts")[0]
+    right = F.element_at(F.array(*[prompt[f"choice{i + 1}"] for i in range(4)]), F.instr(F.lit("ABCD"), F.col("label")))
+    return made.select("subcategory", "key", prompt["text_en"].alias("text_en"), right.alias("answer"), "label")
+
+
+@query(f"""SELECT lpad(g::VARCHAR, 12, '0') AS key, array_to_string(ws, '|') AS words FROM {task_sql.rounds('length', 100_000)}""")
+def groups_in_rounds(spark, sf_dir):
+    """More groups than one round finds, so the words left are grouped again until the rounds are over."""
+    made = tasks.enough_groups(_written(spark, sf_dir), "length", 100_000)
+    return made.select(F.lpad(F.col("group_id").cast("string"), 12, "0").alias("key"), F.array_join("words", "|").alias("words"))
 
 
 FOLD = f"translate(word, '{chars.MARKED}', '{chars.PLAIN}')"

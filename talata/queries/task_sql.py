@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions import chars, syllables
 from ..plans import prompts
+from ..plans.tasks import ROUND_IDS, ROUNDS
 from .base import LETTERS, WORDS_SQL
 from .sqltext import (
     ALPHABET, LEXICON, Q, SYLLABLES, but, count_char, count_marks, diacritized, fold, half_upper, key, num, ordered_distinct, ordinal, permuted, perturbations, pick,
@@ -35,9 +36,7 @@ def composition(form: str) -> str:
         ]
         return union([f"SELECT {row('composition', Q(kind), rendered(texts, character=letter, **NAMES), answer, None, 'norm')} FROM {_sampled(3, SEED + i, where, WRITTEN)}" for i, (kind, texts, answer, where) in enumerate(parts)])
     spelling = f"SELECT {row('composition', Q('spelling'), rendered(prompts.SPELLING_MCQ, **NAMES), spell('norm'), perturbations('norm', SEED), 'norm')} FROM {_sampled(3, SEED, source=WRITTEN)}"
-    numbered = f"SELECT norm, word, row_number() OVER (ORDER BY {key(SEED, 'norm')}, norm, word) - 1 AS r FROM {WRITTEN}"
-    groups = f"(SELECT r // 4 AS g, list(norm ORDER BY r) AS words, list(word ORDER BY r) AS marked FROM ({numbered}) GROUP BY 1 HAVING count(*) = 4 AND count(DISTINCT norm) = 4)"
-    return union([spelling, *[_group(groups, kind) for kind in ("character_exactly", "character_most", "character_least", "diacritic_exactly", "uppercase_exactly", "length_exactly", "length_most", "length_least")]])
+    return union([spelling, *[_group(kind) for kind in ("character_exactly", "character_most", "character_least", "diacritic_exactly", "uppercase_exactly", "length_exactly", "length_most", "length_least")]])
 
 
 def _letter(words: str) -> str:
@@ -47,21 +46,33 @@ def _letter(words: str) -> str:
     return pick(apart, num(SEED, f"array_to_string({words}, '|')"))
 
 
-def _group(groups: str, kind: str) -> str:
-    subject, _, how = kind.partition("_")
+def rounds(subject: str, n: int) -> str:
+    """(g, ws, char, counts) of unambiguous groups: rounds over the words left, each of them empty once there are n."""
     source, char, count, where = {
         "length": ("words", "''", "length(x)", "len(list_distinct(counts)) = 4"),
         "character": ("words", _letter("words"), count_char("x", "char"), "char IS NOT NULL AND len(list_distinct(counts)) = 4"),
         "diacritic": ("marked", "'diacritic'", count_marks("x"), "list_sum(counts) = 1"),
         "uppercase": ("words", "'uppercase'", r"length(regexp_replace(x, '[^\p{Lu}]', '', 'g'))", "list_sum(counts) = 1"),
     }[subject]
+    parts = []
+    for i in range(ROUNDS):
+        before = " UNION ALL ".join(f"SELECT marked FROM a{k}" for k in range(i))
+        words = f"SELECT norm, word FROM {WRITTEN}" if not i else f"SELECT norm, word FROM w0 WHERE (SELECT count(*) FROM ({before})) < {n} AND word NOT IN (SELECT unnest(marked) FROM ({before}))"
+        numbered = f"SELECT norm, word, row_number() OVER (ORDER BY {key(SEED if not i else f'{SEED}-{i}', 'norm')}, norm, word) - 1 AS r FROM w{i}"
+        groups = f"SELECT {i * ROUND_IDS} + r // 4 AS g, list(norm ORDER BY r) AS words, list(word ORDER BY r) AS marked FROM ({numbered}) GROUP BY 1 HAVING count(*) = 4 AND count(DISTINCT norm) = 4"
+        counted = f"SELECT g, ws, char, marked, list_transform(ws, lambda x: {count}) AS counts FROM (SELECT g, marked, {source} AS ws, {char} AS char FROM ({groups}))"
+        parts.append(f"w{i} AS MATERIALIZED ({words}), a{i} AS MATERIALIZED (SELECT * FROM ({counted}) WHERE {where})")
+    return f"(WITH {', '.join(parts)} {' UNION ALL '.join(f'SELECT g, ws, char, counts FROM a{i}' for i in range(ROUNDS))})"
+
+
+def _group(kind: str) -> str:
+    subject, _, how = kind.partition("_")
     wanted = {"most": "list_max(counts)", "least": "list_min(counts)"}.get(how, "1" if subject in ("diacritic", "uppercase") else "counts[1]")
     texts = {"length_exactly": prompts.LENGTH_EXACTLY, "length_most": prompts.LENGTH_MOST, "length_least": prompts.LENGTH_LEAST, "character_most": prompts.CHAR_MOST, "character_least": prompts.CHAR_LEAST}.get(kind, prompts.CHAR_EXACTLY)
     right = f"ws[list_position(counts, {wanted})]"
     wrong = f"({but(ordered_distinct('ws'), right)})[1:3]"
-    counted = f"SELECT g, ws, char, list_transform(ws, lambda x: {count}) AS counts FROM (SELECT g, {source} AS ws, {char} AS char FROM {groups})"
     made = row("composition", Q(kind), rendered(texts, target_count=wanted, target_length=wanted, char="char"), right, wrong, "lpad(g::VARCHAR, 12, '0')")
-    return f"SELECT {made} FROM ({counted}) WHERE {where} ORDER BY g LIMIT {N}"
+    return f"SELECT {made} FROM {rounds(subject, N)} ORDER BY g LIMIT {N}"
 
 
 GROUP_CHARACTERS = f"""SELECT g AS group_id, ws[list_position(counts, list_max(counts))] AS answer, {render(prompts.CHAR_MOST[0], char='char')} AS question
@@ -104,8 +115,8 @@ def manipulation(form: str) -> str:
     return union(parts)
 
 
-MCQ_ITEMS = f"""SELECT subcategory, label, count(*) AS n_items FROM (
-  SELECT subcategory, substr('ABCD', ((row_number() OVER (ORDER BY subcategory, key, text_en) - 1) % 4 + 1)::INT, 1) AS label FROM ({manipulation('mcq')}) WHERE len(string_split(wrong, '|')) = 3) GROUP BY 1, 2"""
+MCQ_ITEMS = f"""SELECT subcategory, key, text_en, answer, label FROM (
+  SELECT subcategory, key, text_en, answer, substr('ABCD', ((row_number() OVER (ORDER BY subcategory, key, text_en) - 1) % 4 + 1)::INT, 1) AS label FROM ({manipulation('mcq')}) WHERE len(string_split(wrong, '|')) = 3)"""
 
 
 # --- syllables and stress --------------------------------------------------------------------
