@@ -9,11 +9,11 @@ from .base import query, table
 
 
 def _confidences(spark, sf_dir):
-    c = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
+    c = F.transform("embedding", lambda x: x.cast("double"))
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", c.alias("confidences"))
 
 
-CONF = "(SELECT vec_id, label, list_transform(embedding[1:4], lambda x: x::DOUBLE) AS c FROM embeddings)"
+CONF = "(SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS c FROM embeddings)"
 HIT = "CASE WHEN c[1] = list_max(c) THEN 1.0::DOUBLE ELSE 0.0 END"
 SOFT = "exp(c[1] - list_max(c)) / list_sum(list_transform(c, lambda x: exp(x - list_max(c))))"
 BASE = f"(SELECT label, c, {HIT} AS h, {SOFT} AS s FROM {CONF})"
@@ -21,11 +21,11 @@ BASE = f"(SELECT label, c, {HIT} AS h, {SOFT} AS s FROM {CONF})"
 
 def _metrics_sql(group: str) -> str:
     lead, tail = (f"{group}, ", f" GROUP BY {group}") if group else ("", "")
-    return f"""SELECT {lead}n_rows, round(a, 6) AS accuracy, round(p, 6) AS path_confidence, round(g, 6) AS ground_confidence, 4::BIGINT AS num_options,
-      round((a * 4 - 1) / 3, 6) AS normalized_accuracy, round((p * 4 - 1) / 3, 6) AS normalized_path_confidence,
+    return f"""SELECT {lead}n_rows, round(a, 6) AS accuracy, round(p, 6) AS path_confidence, round(g, 6) AS ground_confidence, k AS num_options,
+      round((a * k - 1) / (k - 1), 6) AS normalized_accuracy, round((p * k - 1) / (k - 1), 6) AS normalized_path_confidence,
       round(x / (x + 1e-10), 6) AS precision, round(x / (n_rows + 1e-10), 6) AS recall,
       round(2 * (x / (x + 1e-10)) * (x / (n_rows + 1e-10)) / (x / (x + 1e-10) + x / (n_rows + 1e-10) + 1e-10), 6) AS f1
-      FROM (SELECT {lead}count(*) AS n_rows, avg(h) AS a, avg(s) AS p, avg(c[1]) AS g, sum(h) AS x FROM {BASE}{tail})"""
+      FROM (SELECT {lead}count(*) AS n_rows, avg(h) AS a, avg(s) AS p, avg(c[1]) AS g, sum(h) AS x, max(len(c)) AS k FROM {BASE}{tail})"""
 
 
 @query(_metrics_sql(""))

@@ -28,7 +28,8 @@ GENERATED = [
     "affix_contract_expand", "sample_with_replacement", "bpe_round_trip", "indexed_files", "stream_batches", "game_training", "sum_training", "sum_question_answers", "rank_means", "stamped_names", "infix_positions",
     "corpus_file", "bad_lines", "annotation_scan_first", "wide_affixes", "newest_per_model", "newest_file", "frequency_file", "affix_files", "ranked_vocabulary_file", "flat_ids", "padded_ids", "merge_cache", "chunk_files",
     "indexed_pairs", "load_hierarchical_mcq", "load_arc", "load_mmlu", "load_winogrande", "load_blimp", "load_cute", "load_nested_categories", "word_predicates", "cut_and_splice", "flat_questions", "segment_masks",
-    "tokenization_information", "masked_loss", "capitalize_word", "case_variants", "contraction_table",
+    "tokenization_information", "masked_loss", "capitalize_word", "case_variants", "contraction_table", "merged_encoding", "stochastic_contract", "affix_cycles", "expanded_batches", "converted_folder",
+    "level_files", "combined_files", "csv_export", "run_summaries", "groups_in_rounds", "sql_choice_metrics", "sql_word_splits", "sql_windows", "mcq_metrics_by_label", "mcq_predictions", "mcq_outcome_summary",
 ]
 
 
@@ -38,6 +39,31 @@ def test_generated_query_matches_sql(spark, data, duck, name):  # noqa: F811
     assert made[0] == wanted[0] and made[1].equals(wanted[1])
 
 
+def test_an_idle_edit_fails(spark, data, duck, monkeypatch):  # noqa: F811
+    for name in ("expand", "contract", "cycles", "contract_expand"):
+        monkeypatch.setattr(expand, name, lambda ids, tables, draws, *a, **b: list(ids))
+    for name in ("stochastic_expand", "stochastic_contract", "affix_cycles", "affix_contract_expand"):
+        made, wanted = rows(catalog.QUERIES[name](spark, data).toPandas()), rows(duck.execute(catalog.ORACLES[name]).df())
+        assert made[0] == wanted[0] and not made[1].equals(wanted[1]), name
+
+
+def test_upper_case_kinds_have_tasks(spark, data):
+    made = {r.subcategory: r["count"] for r in catalog.QUERIES["composition_mcq"](spark, data).groupBy("subcategory").count().collect()}
+    assert len(made) == 9 and set(made.values()) == {20}
+    assert catalog.QUERIES["composition_gen"](spark, data).where("subcategory = 'uppercase'").count() == 20
+
+
+def test_rounds_go_on_until_there_are_enough(spark, data):
+    from talata.queries.generated import _written
+
+    words = _written(spark, data)
+    one, more = (tasks.enough_groups(words, "length", n).select("group_id", F.explode("words").alias("w")).toPandas() for n in (None, 100_000))
+    assert len(more) > len(one) and more.w.is_unique and set(one.group_id) < set(more.group_id)
+    n = one.group_id.nunique()
+    assert tasks.enough_groups(words, "length", n).count() == n  # no round more than needed
+    assert tasks.enough_groups(words.limit(3), "length", 5).count() == 0
+
+
 def test_distractors_are_three_and_wrong(spark, data):
     """Of every task with options: three of them, all different, none right."""
     made = [tasks.manipulation(_lexicon(spark, data), 200), tasks.composition(_lexicon(spark, data), 200), tasks.syllabification(_lexicon(spark, data), 200)]
