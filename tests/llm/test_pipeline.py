@@ -91,6 +91,16 @@ def test_a_run_goes_on_after_the_last_whole_stage(spark, data, tmp_path, monkeyp
     monkeypatch.setattr(corpus_pipeline, "STAGES", counted)
     first = sorted(map(str, corpus_pipeline.run(spark, data, folder).select("doc_id", "piece", "ids_crc32").collect()))
     assert ran == [n for n, _ in counted] and ran.clear() is None
-    (tmp_path / "stages" / "3-personal_data" / "_SUCCESS").unlink()
+    (done,) = (tmp_path / "stages").glob("*/3-personal_data/_SUCCESS")
+    done.unlink()
     again = sorted(map(str, corpus_pipeline.run(spark, data, folder).select("doc_id", "piece", "ids_crc32").collect()))
-    assert ran == ["personal_data", "packing"] and again == first
+    assert ran == ["personal_data", "packing"] and again == first and ran.clear() is None
+    # Another key, and other input files, are another run.
+    docs, benchmark = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "benchmark"))
+    known = corpus_pipeline.fingerprint(spark, docs, benchmark)
+    assert known == corpus_pipeline.fingerprint(spark, docs, benchmark) != corpus_pipeline.fingerprint(spark, docs)
+    spark.conf.set(corpus_pipeline.KEY_SETTING, "a secret of its own")
+    try:
+        assert corpus_pipeline.fingerprint(spark, docs, benchmark) != known
+    finally:
+        spark.conf.unset(corpus_pipeline.KEY_SETTING)
