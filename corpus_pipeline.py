@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +13,18 @@ from talata.llm import decontaminate, langid, packing, shingles, surrogates
 from talata.llm.common import materialize, read
 from talata.sources.sinks import exists
 
-#: The session's setting with the secret that surrogates are made with; without it the key of the tests.
+#: The session's setting with the secret that surrogates are made with.
 KEY_SETTING = "spark.talata.surrogates.key"
+#: Part of what a kept stage is known by; raised when a stage's results change.
+VERSION = 3
+
+
+def surrogate_key(spark: SparkSession) -> str:
+    """The secret of the session. Without one the key of the tests, which anyone can read here, so that is said."""
+    key = spark.conf.get(KEY_SETTING, "")
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set: surrogates are made with the tests' key, and anyone can recompute them", stacklevel=3)
+    return key or surrogates.TEST_KEY
 
 
 def tokenizer_path() -> str:
@@ -39,7 +53,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data and secrets by surrogates; n_chars follows the new text."""
-    out = surrogates.replace_entities(docs, spark.conf.get(KEY_SETTING, surrogates.TEST_KEY))
+    out = surrogates.replace_entities(docs, surrogate_key(spark))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
@@ -60,18 +74,32 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def fingerprint(spark: SparkSession, *tables: DataFrame) -> str:
+    """Names, sizes and times of the tables' files, the key, the stages and their version, hashed."""
+    jvm, conf, files = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    for name in sorted(f for t in tables for f in t.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        files.append((name, status.getLen(), status.getModificationTime()))
+    known = [files, hashlib.sha256(surrogate_key(spark).encode()).hexdigest(), [name for name, _ in STAGES], VERSION]
+    return hashlib.sha256(json.dumps(known).encode()).hexdigest()[:24]
+
+
 def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
     """All stages over ``documents``, each one's result written as Parquet and read again.
 
     With ``folder``, on storage that driver and executors share, the stages' results are kept there,
     and a run that finds some goes on after the last whole one: a driver that was lost costs one stage.
+    Results are known by a fingerprint of the input files, the key and VERSION: those of other inputs
+    or keys are not taken.
     """
     docs = read(spark, sf_dir, "documents")
+    known = folder and fingerprint(spark, docs, read(spark, sf_dir, "benchmark"))
     for i, (name, stage) in enumerate(STAGES[:-1]):
         if folder is None:
             docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
             continue
-        path = f"{folder.rstrip('/')}/{i}-{name}"
+        path = f"{folder.rstrip('/')}/{known}/{i}-{name}"
         if not exists(spark, f"{path}/_SUCCESS"):
             stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
         docs = spark.read.schema(docs.schema).parquet(path)
