@@ -57,10 +57,10 @@ def test_rounds_go_on_until_there_are_enough(spark, data):
     from talata.queries.generated import _written
 
     words = _written(spark, data)
-    one, more = (tasks.enough_groups(words, "length", n).select("group_id", F.explode("words").alias("w")).toPandas() for n in (None, 100_000))
+    one, more = (tasks.enough_groups(words, "diacritic", n).select("group_id", F.explode("words").alias("w")).toPandas() for n in (None, 100_000))
     assert len(more) > len(one) and more.w.is_unique and set(one.group_id) < set(more.group_id)
     n = one.group_id.nunique()
-    assert tasks.enough_groups(words, "length", n).count() == n  # no round more than needed
+    assert tasks.enough_groups(words, "diacritic", n).count() == n  # no round more than needed
     assert tasks.enough_groups(words.limit(3), "length", 5).count() == 0
 
 
