@@ -56,6 +56,24 @@ def uniform_sample(df: DataFrame, n: int, *key: str, seed: int = 42) -> DataFram
     return df.orderBy(order_key(seed, *map(F.col, key)), *key).limit(n)
 
 
+def sample_until(df: DataFrame, n: int, valid: Column, *key: str, seed: int = 42, factor: int = 4) -> DataFrame:
+    """The first ``n`` rows in the seeded order that are ``valid``, which is asked of as few rows as it takes.
+
+    Rows are scanned by ranges of their seeded number, the first for ``factor * n`` rows and each
+    later one eight times as long, until there are ``n``; so a dear test is not made for all rows.
+    All valid rows come if there are fewer.
+    """
+    found, had, low = None, 0, 0.0
+    share = min(1.0, factor * n / max(1, df.count()))
+    place = uniform(seed, *map(F.col, key))
+    while True:
+        part = materialize(df.where((place > low) & (place <= share)).where(valid), "valid-rows")
+        found, had = (part if found is None else found.unionAll(part)), had + part.count()
+        if had >= n or share >= 1:
+            return found.orderBy(order_key(seed, *map(F.col, key)), *key).limit(n)
+        low, share = share, min(1.0, share * 8)
+
+
 def shuffle_rows(df: DataFrame, *key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(order_key(seed, *map(F.col, key)), *key)
 

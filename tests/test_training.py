@@ -30,6 +30,7 @@ GENERATED = [
     "indexed_pairs", "load_hierarchical_mcq", "load_arc", "load_mmlu", "load_winogrande", "load_blimp", "load_cute", "load_nested_categories", "word_predicates", "cut_and_splice", "flat_questions", "segment_masks",
     "tokenization_information", "masked_loss", "capitalize_word", "case_variants", "contraction_table", "merged_encoding", "stochastic_contract", "affix_cycles", "expanded_batches", "converted_folder",
     "level_files", "combined_files", "csv_export", "run_summaries", "groups_in_rounds", "sql_choice_metrics", "sql_word_splits", "sql_windows", "mcq_metrics_by_label", "mcq_predictions", "mcq_outcome_summary",
+    "validation_loss", "level_task_counts", "chunk_path_scan", "first_samples", "oversampled_scan", "homograph_sample",
 ]
 
 
