@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, range_partitions, read
+from .common import drop_table, materialize, new_path, range_partitions, read
 from .wordbpe import word_bpe
 
 MAGIC = b"TLTIDS01"
@@ -40,6 +40,7 @@ SAMPLE_DOCS = 600  # documents that the dictionary is trained on, about
 SAMPLE_IDS = 16_384  # ids taken from each of them at most, as the trainer asks for short samples
 DICT_BYTES = 64 << 10
 LEVEL = 3
+KEPT = 600_000  # words that an encoder remembers in each of its generations: some 240 MB a worker at most
 NO_ID = -(1 << 63)
 MOST_READERS = 10_000  # tasks that read files back; beyond it a task reads several
 
@@ -51,18 +52,18 @@ def _open(folder: str):
 
 
 def _serialized(batches, path: str, width: int, most: int):
-    encoder = word_bpe(path)
+    encoder = word_bpe(path, KEPT)
     for batch in batches:
         out = [np.frombuffer(encoder.encode(t.as_py() or ""), dtype="<u4")[:most].astype(f"<u{width}").tobytes() for t in batch.column(0)]
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
 
 
 def train_dictionary(docs: DataFrame, path: str, width: int) -> bytes:
-    """A dictionary from about SAMPLE_DOCS documents chosen by the hash of their id; b"" if too few."""
+    """A dictionary from about SAMPLE_DOCS documents chosen by the hash of their id and text; b"" if too few."""
     import zstandard
 
     every = max(1, docs.count() // SAMPLE_DOCS)
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").limit(2 * SAMPLE_DOCS)
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).select("text").limit(2 * SAMPLE_DOCS)
     samples = [bytes(r.ids) for r in chosen.mapInArrow(partial(_serialized, path=path, width=width, most=SAMPLE_IDS), "ids binary").collect()]
     samples = [s for s in samples if len(s) >= 8]
     if len(samples) < 16:
@@ -101,21 +102,32 @@ class _Writer:
         return self.path, len(self.docs), total, self.docs[0], self.docs[-1]
 
 
-def _write(batches, path: str, folder: str, dictionary, width: int, end_id: int, file_bytes: int):
+FRAMES = "doc_id long, size int, hash long, row long, frame binary, ids long"
+
+
+def _encode(batches, path: str, dictionary, width: int, end_id: int):
+    """Rows (doc_id, size, hash, row, text) with the text as its compressed frame and the number of its ids."""
     import zstandard
 
-    encoder, end = word_bpe(path), int(end_id).to_bytes(4, "little")
-    raw = dictionary.value
-    shared = zstandard.ZstdCompressionDict(raw) if raw else None
-    digest = hashlib.sha256(raw).digest() if raw else bytes(32)
+    encoder, end = word_bpe(path, KEPT), int(end_id).to_bytes(4, "little")
+    shared = zstandard.ZstdCompressionDict(dictionary.value) if dictionary.value else None
     compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_checksum=False).compress
+    for batch in batches:
+        frames, counts = [], []
+        for text in batch.column(4):
+            ids = encoder.encode(text.as_py() or "") + end
+            frames.append(compress(ids if width == 4 else np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes()))
+            counts.append(len(ids) // 4)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(frames, pa.binary()), pa.array(counts, pa.int64())], ["doc_id", "size", "hash", "row", "frame", "ids"])
+
+
+def _write(batches, folder: str, digest: bytes, width: int, file_bytes: int):
+    """Rows (doc_id, frame, ids) in order to files."""
     writer, done = None, []
     for batch in batches:
-        for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+        for doc_id, frame, ids in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             writer = writer or _Writer(folder, digest, width)
-            ids = encoder.encode(text.as_py() or "") + end
-            data = ids if width == 4 else np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes()
-            writer.add(doc_id.as_py(), compress(data), len(ids) // 4)
+            writer.add(doc_id, frame.as_buffer(), ids)
             if writer.at >= file_bytes:
                 done.append(writer.close())
                 writer = None
@@ -139,27 +151,29 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_
     Returns the manifest: one row per file with its path, counts, doc_id range and ``start``, the
     ids in all files before it. Null text counts as empty and is written as the end id alone; a null
     doc_id sorts first; repeated doc_ids are all written, shorter texts first and equal ones next to
-    each other; an empty table gives no file. The table is range-partitioned once, by doc_id and then
-    by text length, text hash and row, so rows of one id or without an id are split like any others;
+    each other; an empty table gives no file. Texts become frames where they lie and are written as
+    such; the frames, not the texts, are then range-partitioned, by doc_id and then by text length,
+    text hash and row, so rows of one id or without an id are split like any others;
     each task writes its own range, so no file or order is made in one place.
     """
     spark = docs.sparkSession
     width = 2 if word_bpe(tokenizer_path).vocab_size <= 1 << 16 and end_id < 1 << 16 else 4
-    parts, usual = range_partitions(docs), int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", "text")
     raw = train_dictionary(docs, tokenizer_path, width)
+    digest = hashlib.sha256(raw).digest() if raw else bytes(32)
     fs, base = _open(folder)
     fs.create_dir(base, recursive=True)
     with fs.open_output_stream(f"{base}/dictionary-{hashlib.sha256(raw).hexdigest()}.zdict") as f:
         f.write(raw)
     shared = spark.sparkContext.broadcast(raw)  # DICT_BYTES at most
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.length("text"), F.lit(0)).alias("size"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"), "text")
+    frames = materialize(keyed.mapInArrow(partial(_encode, path=tokenizer_path, dictionary=shared, width=width, end_id=end_id), FRAMES), "frames")
     # Left to the session, small partitions are merged; a number is given only where the session's is too few.
-    order = ["doc_id", "size", "hash", "row"]
-    docs = docs.withColumns({"size": F.coalesce(F.length("text"), F.lit(0)), "hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
-    ranged = docs.repartitionByRange(parts, *order) if parts > usual else docs.repartitionByRange(*order)
-    ordered = ranged.sortWithinPartitions(*order).select("doc_id", "text")
-    write = partial(_write, path=tokenizer_path, folder=folder, dictionary=shared, width=width, end_id=end_id, file_bytes=file_bytes)
-    manifest = materialize(ordered.mapInArrow(write, MANIFEST), "token-manifest")
+    order, parts, usual = ["doc_id", "size", "hash", "row"], range_partitions(frames), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = frames.repartitionByRange(parts, *order) if parts > usual else frames.repartitionByRange(*order)
+    ordered = ranged.sortWithinPartitions(*order).select("doc_id", "frame", "ids")
+    manifest = materialize(ordered.mapInArrow(partial(_write, folder=folder, digest=digest, width=width, file_bytes=file_bytes), MANIFEST), "token-manifest")
+    drop_table(frames)
     before = Window.orderBy("task", "part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 

@@ -54,7 +54,7 @@ class _Remembered(dict):
 class WordBpe:
     """Encodes texts to the bytes of little-endian unsigned 32-bit ids, special tokens not added."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = MOST_KEPT):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -64,7 +64,7 @@ class WordBpe:
         self.plain = self._is_plain(spec)
         self._alphabet = _byte_alphabet()
         self._tokenize = self.tokenizer.model.tokenize
-        self._pieces = _Remembered(self._piece)
+        self._pieces = _Remembered(self._piece, kept)
         self.vocab_size = self.tokenizer.get_vocab_size()
 
     @staticmethod
@@ -98,11 +98,11 @@ class WordBpe:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
-_loaded: dict[str, WordBpe] = {}
+_loaded: dict[tuple[str, int], WordBpe] = {}
 
 
-def word_bpe(path: str) -> WordBpe:
-    """One encoder for each vocabulary file and Python worker."""
-    if path not in _loaded:
-        _loaded[path] = WordBpe(path)
-    return _loaded[path]
+def word_bpe(path: str, kept: int = MOST_KEPT) -> WordBpe:
+    """One encoder for each vocabulary file and Python worker; it remembers up to twice ``kept`` words, some 200 bytes each."""
+    if (path, kept) not in _loaded:
+        _loaded[path, kept] = WordBpe(path, kept)
+    return _loaded[path, kept]
