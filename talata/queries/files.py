@@ -403,15 +403,27 @@ def _h(sql: str) -> str:
     return f"(SELECT round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) FROM (SELECT count(*) AS n FROM ({sql}) GROUP BY v))"
 
 
-@query(f"""SELECT name AS tokenization, round(te, 5) AS token_entropy, round(me, 5) AS morpheme_entropy FROM (
-    SELECT 'letters' AS name, {_h(f"SELECT unnest(string_split(word, '')) AS v FROM {task_sql.ANNOTATED}")} AS te, {_h(f"SELECT unnest([root, affix]) AS v FROM {task_sql.ANNOTATED}")} AS me
-    UNION ALL SELECT 'words', {_h(f"SELECT word AS v FROM {task_sql.ANNOTATED}")}, {_h(f"SELECT unnest([root, affix]) AS v FROM {task_sql.ANNOTATED}")})""")
+def _information(name: str, tokens: str, pairs: str) -> str:
+    """The terms of a tokenization: ``tokens`` (v) of all words, and ``pairs`` (m, v) of a morpheme and each token that it meets."""
+    morphemes = f"SELECT unnest([root, affix]) AS v FROM {task_sql.ANNOTATED}"
+    each = lambda of, other: f"(SELECT {of} AS k, abs(round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6)) AS h FROM (SELECT {of}, {other}, count(*) AS n FROM ({pairs}) GROUP BY ALL) GROUP BY ALL)"
+    given = lambda of, other, all_: f"(SELECT round(sum(n * h) / sum(n), 6) FROM (SELECT v AS k, count(*) AS n FROM ({all_}) GROUP BY ALL) JOIN {each(of, other)} USING (k))"
+    return f"SELECT '{name}' AS tokenization, {_h(tokens)} AS te, {_h(morphemes)} AS me, {given('m', 'v', morphemes)} AS tm, {given('v', 'm', tokens)} AS mt"
+
+
+LETTERS_OF = _information("letters", f"SELECT unnest(string_split(word, '')) AS v FROM {task_sql.ANNOTATED}", f"SELECT m, unnest(string_split(m, '')) AS v FROM (SELECT unnest([root, affix]) AS m FROM {task_sql.ANNOTATED})")
+WORDS_OF = _information("words", f"SELECT word AS v FROM {task_sql.ANNOTATED}", f"SELECT unnest([root, affix]) AS m, word AS v FROM {task_sql.ANNOTATED}")
+
+
+@query(f"""SELECT tokenization, round(te, 5) AS token_entropy, round(me, 5) AS morpheme_entropy, round(tm, 5) AS token_given_morpheme_entropy, round(mt, 5) AS morpheme_given_token_entropy,
+    round(me - mt, 5) AS mutual_information FROM ({LETTERS_OF} UNION ALL {WORDS_OF})""")
 def tokenization_information(spark, sf_dir):
     """Information content of two tokenizations of the same words."""
     rows = _annotated(spark, sf_dir)
     morphemes = F.when(F.col("prefix").isNotNull(), F.array("prefix", "root")).otherwise(F.array("root", "suffix"))
     made = information.compare_information({"letters": rows.select(morphemes.alias("morphemes"), chars.to_chars(F.col("word")).alias("tokens")), "words": rows.select(morphemes.alias("morphemes"), F.array("word").alias("tokens"))})
-    return made.select("tokenization", F.round("token_entropy", 5).alias("token_entropy"), F.round("morpheme_entropy", 5).alias("morpheme_entropy"))
+    terms = ("token_entropy", "morpheme_entropy", "token_given_morpheme_entropy", "morpheme_given_token_entropy", "mutual_information")
+    return made.select("tokenization", *[F.round(c, 5).alias(c) for c in terms])
 
 
 @query("SELECT subcategory, count(*) AS count FROM (SELECT lang AS subcategory FROM documents) GROUP BY 1")
