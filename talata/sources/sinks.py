@@ -126,6 +126,15 @@ def _write(batches, folder: str, name: str, dtype: str, opener: Opener | None):
         yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([path]), pa.array([rows], pa.int64()), pa.array([ids], pa.int64())], ["task", "path", "n_rows", "n_ids"])
 
 
+def _qualified(spark: SparkSession, folder: str, opener: Opener | None) -> str:
+    """A folder without a scheme is on the session's default file system, as it is for Spark."""
+    if opener or "://" in folder:
+        return folder
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return uri if "://" in uri else uri.replace(":/", ":///", 1)
+
+
 def _make(folder: str, opener: Opener | None):
     system, base = opened(folder, opener)
     system.create_dir(base, recursive=True)
@@ -138,6 +147,7 @@ def write_ids(df: DataFrame, folder: str, ids: str, *order: str, name: str = "id
     The parts follow each other by name, so their concatenation is one flat array. The driver sees
     one metadata row a part.
     """
+    folder = _qualified(df.sparkSession, folder, opener)
     system, base = _make(folder, opener)
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).select(ids)
     parts = placed.mapInArrow(partial(_write, folder=folder, name=name, dtype=dtype, opener=opener), "task long, path string, n_rows long, n_ids long").collect()
@@ -184,6 +194,7 @@ def write_indexed(df: DataFrame, folder: str, ids: str, *order: str, name: str =
     Each row is one document of one sequence, with ``end_id`` after it if given; null ids are an
     empty one. The driver sees one row a pair. A blend takes all prefixes.
     """
+    folder = _qualified(df.sparkSession, folder, opener)
     _make(folder, opener)
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).select(ids)
     parts = placed.mapInArrow(partial(_write_indexed, folder=folder, name=name, dtype=dtype, end_id=end_id, opener=opener), "task long, prefix string, n_rows long, n_ids long").collect()
@@ -228,6 +239,7 @@ def convert_files(spark: SparkSession, pattern: str, folder: str, encode, *, fie
     """
     from ..working import materialize
 
+    folder = _qualified(spark, folder, opener)
     lines = spark.read.text(pattern, recursiveFileLookup=True).where("trim(value) <> ''").select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value"
     )

@@ -84,7 +84,7 @@ def test_indexed_files_byte_by_byte(spark):
     folder = working.new_path(spark, "test-indexed")
     prefixes = sinks.write_indexed(df.coalesce(1), folder, "ids", "id", end_id=9)
     ids, sizes = [], []
-    for p in prefixes:
+    for p in [p.removeprefix("file://") for p in prefixes]:
         raw = open(f"{p}.idx", "rb").read()
         assert raw[:9] == b"MMIDIDX\0\0" and struct.unpack("<QB", raw[9:18]) == (1, 8)
         n, docs = struct.unpack("<QQ", raw[18:34])
@@ -145,8 +145,8 @@ def test_folders_are_converted_file_by_file(spark, tmp_path):
     codes = lambda s: F.transform(F.split(s, ""), lambda c: F.ascii(c))
     made = sinks.convert_folder(spark, f"{tmp_path}/*.jsonl", f"file://{tmp_path}/out", codes)
     assert set(made) == {"one.jsonl", "two.jsonl", "large.jsonl"} and made["one.jsonl"]["n_ids"] == 3 and "ids do not fit" in made["large.jsonl"] or isinstance(made["large.jsonl"], str)
-    assert b"".join(open(p, "rb").read() for p in made["one.jsonl"]["parts"]) == np.array([97, 98, 99], "<u2").tobytes()
-    assert b"".join(open(p, "rb").read() for p in made["two.jsonl"]["parts"]) == np.array([120, 121, 122], "<u2").tobytes()
+    assert b"".join(open(p.removeprefix("file://"), "rb").read() for p in made["one.jsonl"]["parts"]) == np.array([97, 98, 99], "<u2").tobytes()
+    assert b"".join(open(p.removeprefix("file://"), "rb").read() for p in made["two.jsonl"]["parts"]) == np.array([120, 121, 122], "<u2").tobytes()
     assert sinks.convert_folder(spark, f"{tmp_path}/*.none", f"file://{tmp_path}/out", codes) == {}
 
 
