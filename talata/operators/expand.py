@@ -3,15 +3,18 @@
 Each edit changes the positions of the next, so a sequence is edited in Python, in Arrow batches.
 Draws are counted: the number of a step is a hash of (seed, row key, edit, step, purpose), so results
 do not depend on partitions, order or retries, and SQL can make the same ones. The places an edit
-may choose from are kept in ``places``, so a step takes the logarithm of the length. Tables of
-pairs are broadcast; they are as large as the vocabulary.
+may choose from are kept in ``places``, so a step takes the logarithm of the length.
+
+Tables of pairs are either broadcast whole (``Tables.collect``), for vocabularies of up to
+``Tables.MOST`` tokens and pairs, or, for vocabularies of any size, joined to the rows: an edit keeps
+a row's bytes, so ``with_known`` gives each row the tokens and affix versions that are byte runs of it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -72,7 +75,7 @@ class Tables:
         vocab, expansions = materialize(vocab.select("token_id", "token"), "vocabulary"), materialize(expansions.select("token_id", "pairs"), "expansions")
         pairs_each = expansions.agg(F.coalesce(F.sum(F.size("pairs")), F.lit(0))).first()[0]
         if max(vocab.count(), pairs_each) > cls.MOST:
-            raise ValueError(f"a vocabulary of more than {cls.MOST} tokens or pairs can't be shared with every task")
+            raise ValueError(f"a vocabulary of more than {cls.MOST} tokens or pairs can't be shared with every task; join it to the rows by with_known")
         pairs = {r.token_id: [(p.left, p.right) for p in r.pairs] for r in expansions.select("token_id", "pairs").collect()}
         tokens = {r.token_id: bytes(r.token) for r in vocab.select("token_id", "token").collect()}
         affixes = [r.version for r in versions.select("version").distinct().limit(cls.MOST + 1).collect()] if versions is not None else []
@@ -80,6 +83,16 @@ class Tables:
             raise ValueError(f"more than {cls.MOST} affix versions can't be shared with every task")
         return cls(pairs, tokens, affixes, pattern)
 
+    @classmethod
+    def of(cls, known: list[dict] | None, pattern: str = PIECES) -> Tables:
+        """The part of the tables that one row needs, from its ``known``; a token's pairs are all two tokens that make it up."""
+        tokens = {e["token_id"]: e["token"] for e in known or () if e["token_id"] is not None}
+        named = defaultdict(list)
+        for i, t in tokens.items():
+            named[t].append(i)
+        pairs = {i: sorted((a, b) for k in range(1, len(t)) for a in named.get(t[:k], ()) for b in named.get(t[k:], ())) for i, t in tokens.items()}
+        return cls({i: p for i, p in pairs.items() if p}, tokens, [e["token"].decode() for e in known or () if e["is_affix"]], pattern)
+
     def decode(self, ids: list[int]) -> str:
         """The text of the ids; bytes that are no UTF-8 come as lone surrogates, which ``encode`` turns back."""
         return b"".join(self.tokens[i] for i in ids).decode("utf-8", "surrogateescape")
@@ -346,3 +359,90 @@ def text_decoder(spark: SparkSession, tables: Tables) -> Callable[[Column], Colu
             yield pd.Series([None if x is None else shared.value.decode(list(map(int, x))).encode("utf-8", "surrogateescape").decode("utf-8", "replace") for x in ids])
 
     return run
+
+
+def entries(vocab: DataFrame, versions: DataFrame | None = None) -> DataFrame:
+    """(token, token_id, is_affix): the tokens and the affix versions by their bytes, written once; a version that is no token has no id."""
+    made = vocab.select("token", "token_id")
+    if versions is None:
+        return materialize(made.withColumn("is_affix", F.lit(False)), "entries")
+    named = versions.select(F.encode("version", "UTF-8").alias("token"), F.lit(True).alias("is_affix")).distinct()
+    return materialize(made.join(named, "token", "full").select("token", "token_id", F.coalesce("is_affix", F.lit(False)).alias("is_affix")), "entries")
+
+
+def _with_runs(rows: DataFrame, key: Column, pieces: DataFrame, listed: DataFrame) -> DataFrame:
+    """``rows`` with ``known``: the entries that are byte runs of the row's ``pieces`` (key, piece).
+
+    Runs are as long as the longest entry at most, and each is looked up by an equi-join. Keys are
+    hashes: rows that share one share its runs, and an entry that a row has not changes nothing.
+    """
+    longest = listed.agg(F.max(F.octet_length("token"))).first()[0] or 0
+    size = F.octet_length("piece")
+    starts = pieces.where(size > 0).distinct().select("key", "piece", F.explode(F.sequence(F.lit(1), size)).alias("at"))
+    sizes = F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("at") + 1))
+    runs = starts.select("key", F.explode(F.transform(sizes, lambda n: F.substr("piece", F.col("at"), n))).alias("token")).distinct()
+    known = runs.join(listed, "token").groupBy("key").agg(F.collect_list(F.struct("token", "token_id", "is_affix")).alias("known"))
+    keyed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), key.alias("key"))
+    return keyed.join(known, "key", "left").select("row.*", "known")
+
+
+def with_known(rows: DataFrame, text: Column, listed: DataFrame) -> DataFrame:
+    """``rows`` with ``known``: the ``entries`` that occur in the bytes of ``text``."""
+    key = F.xxhash64(text)
+    return _with_runs(rows, key, rows.select(key.alias("key"), F.encode(text, "UTF-8").alias("piece")), listed)
+
+
+def with_known_of_ids(rows: DataFrame, ids: Column, listed: DataFrame) -> DataFrame:
+    """``rows`` with ``known``: the ``entries`` that occur within single tokens of ``ids``, all that expansions need."""
+    key = F.xxhash64(ids)
+    named = rows.select(key.alias("key"), F.explode(F.array_distinct(ids)).alias("token_id")).distinct()
+    return _with_runs(rows, key, named.join(listed, "token_id").select("key", F.col("token").alias("piece")), listed)
+
+
+def _by_row(run: Callable, kind: T.DataType, arrow: pa.DataType) -> Callable[..., Column]:
+    """A column function of ``run`` on the values of a row."""
+
+    @F.arrow_udf(kind)
+    def column(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([run(*(x.as_py() for x in row)) for row in zip(*batch, strict=True)], arrow)
+
+    return column
+
+
+def known_encoder(pattern: str = PIECES) -> Callable[[Column, Column], Column]:
+    """A column function (text, known) -> ids, as ``text_encoder`` gives them."""
+
+    def ids(text: str | None, known: list[dict] | None) -> list[int] | None:
+        if text is not None and (found := Tables.of(known, pattern).encode(text)) is None:
+            raise ValueError(f"a byte of {text[:60]!r} is no token of the vocabulary")
+        return None if text is None else found
+
+    return _by_row(ids, IDS, pa.list_(pa.int32()))
+
+
+def known_edit(edit: Callable[..., list[int]], seed: int = 0, pattern: str = PIECES, **options) -> Callable[[Column, Column, Column], Column]:
+    """A column function (key, ids, known) -> edited ids, as ``per_row`` gives them."""
+
+    def edited(key: object, ids: list[int] | None, known: list[dict] | None) -> list[int] | None:
+        return None if ids is None else edit(ids, Tables.of(known, pattern), generator(seed, key), **options)
+
+    return _by_row(edited, IDS, pa.list_(pa.int32()))
+
+
+def expand_known_batches(batches: DataFrame, listed: DataFrame, seed: int = 0, share: float = 1.0) -> DataFrame:
+    """``batches`` expanded as ``expand_batches`` does, by the ``entries`` joined to them."""
+    run = known_edit(expand, seed, share=share)
+    return with_known_of_ids(batches, F.col("ids"), listed).select("batch", run(F.col("batch"), F.col("ids"), F.col("known")).alias("ids"))
+
+
+def known_decoder() -> Callable[[Column, Column], Column]:
+    """A column function (ids, known) -> text, as ``text_decoder`` gives it."""
+
+    def text(ids: list[int] | None, known: list[dict] | None) -> str | None:
+        if ids is None:
+            return None
+        tokens = {e["token_id"]: e["token"] for e in known or ()}
+        return b"".join(tokens[i] for i in ids).decode("utf-8", "replace")
+
+    return _by_row(text, T.StringType(), pa.string())

@@ -152,6 +152,17 @@ def _tables(spark, sf_dir):
     return expand.Tables.collect(vocabulary.expansions(vocab), vocab, vocabulary.affix_versions(_affixes(spark)), CUT)
 
 
+def _entries(spark, sf_dir):
+    """The vocabulary grows with the documents, so it is joined to the rows and not shared."""
+    return expand.entries(_bytes_vocab(spark, sf_dir), vocabulary.affix_versions(_affixes(spark)))
+
+
+def _known_items(spark, sf_dir, entries):
+    """Whole texts as ids and what of the vocabulary they hold; a null text has none and is left out."""
+    items = expand.with_known(table(spark, sf_dir, "benchmark").where("text IS NOT NULL"), F.col("text"), entries)
+    return items.select("item_id", "text", "known", expand.known_encoder(CUT)(F.col("text"), F.col("known")).alias("ids"))
+
+
 def _joined(ids):
     return F.array_join(F.col(ids).cast("array<string>"), " ")
 
@@ -164,7 +175,7 @@ def _items(spark, sf_dir, tables):
 
 @query(f"WITH RECURSIVE {ENCODED_SQL} SELECT item_id, array_to_string(ids, ' ') AS ids FROM encoded")
 def merged_encoding(spark, sf_dir):
-    return _items(spark, sf_dir, _tables(spark, sf_dir)).select("item_id", _joined("ids").alias("ids"))
+    return _known_items(spark, sf_dir, _entries(spark, sf_dir)).select("item_id", _joined("ids").alias("ids"))
 
 
 def _edited(spark, sf_dir, edit, single=False, **options):
