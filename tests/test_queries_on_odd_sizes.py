@@ -7,7 +7,7 @@ from talata import catalog
 from tests.test_queries import duck, rows  # noqa: F401
 
 
-@pytest.mark.parametrize("name", ["flat_generative"])
+@pytest.mark.parametrize("name", ["flat_generative", "nested_generative"])
 def test_words_are_as_written(spark, data, duck, name):  # noqa: F811
     made, wanted = rows(catalog.QUERIES[name](spark, data).toPandas()), rows(duck.execute(catalog.ORACLES[name]).df())
     assert made[0] == wanted[0] and made[1].equals(wanted[1])
