@@ -42,7 +42,7 @@ def train_val_split(spark, sf_dir):
 def range_split(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id")
     total = docs.count()
-    return ordering.with_row_index(docs, "doc_id").select("doc_id", sampling.range_split(F.col("row_index"), total, {"validation": 0.1, "train": 0.5, "test": 0.4}).alias("split"))
+    return ordering.with_row_index(docs, "doc_id").select("doc_id", sampling.range_split(F.col("row_index"), total, {"validation": 0.1, "train": 0.5, "test": 0.4}, rounded=True).alias("split"))
 
 
 @query("""SELECT item_id, array_to_string(list_transform(range(1, 201), lambda i: CASE WHEN i > length(text) THEN 0 WHEN ascii(substr(text, i, 1)) < 128 THEN ascii(substr(text, i, 1)) ELSE 0 END), ',') AS ids,
