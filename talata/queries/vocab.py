@@ -147,11 +147,6 @@ def _bytes_vocab(spark, sf_dir):
     return single.unionByName(numbered)
 
 
-def _tables(spark, sf_dir):
-    vocab = _bytes_vocab(spark, sf_dir)
-    return expand.Tables.collect(vocabulary.expansions(vocab), vocab, vocabulary.affix_versions(_affixes(spark)), CUT)
-
-
 def _entries(spark, sf_dir):
     """The vocabulary grows with the documents, so it is joined to the rows and not shared."""
     return expand.entries(_bytes_vocab(spark, sf_dir), vocabulary.affix_versions(_affixes(spark)))
@@ -167,12 +162,6 @@ def _joined(ids):
     return F.array_join(F.col(ids).cast("array<string>"), " ")
 
 
-def _items(spark, sf_dir, tables):
-    """Whole texts as ids; a null text has none and is left out."""
-    items = table(spark, sf_dir, "benchmark").where("text IS NOT NULL")
-    return items.select("item_id", "text", expand.text_encoder(spark, tables)(F.col("text")).alias("ids"))
-
-
 @query(f"WITH RECURSIVE {ENCODED_SQL} SELECT item_id, array_to_string(ids, ' ') AS ids FROM encoded")
 def merged_encoding(spark, sf_dir):
     return _known_items(spark, sf_dir, _entries(spark, sf_dir)).select("item_id", _joined("ids").alias("ids"))
@@ -180,12 +169,11 @@ def merged_encoding(spark, sf_dir):
 
 def _edited(spark, sf_dir, edit, single=False, **options):
     """``single``: the ids are the texts' bytes, not merged."""
-    tables = _tables(spark, sf_dir)
-    made = _items(spark, sf_dir, tables)
+    made = _known_items(spark, sf_dir, _entries(spark, sf_dir))
     if single:
         made = made.withColumn("ids", F.transform(F.sequence(F.lit(1), F.octet_length("text")), lambda i: F.ascii(F.decode(F.substr(F.encode("text", "UTF-8"), i, F.lit(1)), "ISO-8859-1"))))
-    made = made.select("item_id", "text", "ids", expand.per_row(spark, tables, edit, seed=1, **options)(F.col("item_id"), F.col("ids")).alias("edited"))
-    return tables, made.withColumns({"n_before": F.size("ids"), "n_after": F.size("edited")})
+    made = made.select("item_id", "text", "known", "ids", expand.known_edit(edit, seed=1, pattern=CUT, **options)(F.col("item_id"), F.col("ids"), F.col("known")).alias("edited"))
+    return made.withColumns({"n_before": F.size("ids"), "n_after": F.size("edited")})
 
 
 def _draw_sql(name, step: str, what: str) -> str:
@@ -211,12 +199,12 @@ CONTRACTED_SQL = TRIED_SQL.format(
 
 @query(EXPANDED_SQL)
 def stochastic_expand(spark, sf_dir):
-    return _edited(spark, sf_dir, expand.expand, share=0.3)[1].select("item_id", "n_before", "n_after", _joined("edited").alias("ids"))
+    return _edited(spark, sf_dir, expand.expand, share=0.3).select("item_id", "n_before", "n_after", _joined("edited").alias("ids"))
 
 
 @query(CONTRACTED_SQL)
 def stochastic_contract(spark, sf_dir):
-    return _edited(spark, sf_dir, expand.contract, single=True, share=0.3)[1].select("item_id", "n_before", "n_after", _joined("edited").alias("ids"))
+    return _edited(spark, sf_dir, expand.contract, single=True, share=0.3).select("item_id", "n_before", "n_after", _joined("edited").alias("ids"))
 
 
 #: Six phases, expansions and contractions in turn; each step chooses among the places that the table has, affixes last or first.
@@ -240,11 +228,11 @@ CYCLES_SQL = f"""WITH RECURSIVE {ENCODED_SQL}, pairs AS MATERIALIZED {PAIRS_SQL}
 
 @query(CYCLES_SQL)
 def affix_cycles(spark, sf_dir):
-    return _edited(spark, sf_dir, expand.cycles)[1].select("item_id", "n_before", "n_after", _joined("edited").alias("ids"))
+    return _edited(spark, sf_dir, expand.cycles).select("item_id", "n_before", "n_after", _joined("edited").alias("ids"))
 
 
 @query(f"WITH RECURSIVE {ENCODED_SQL} SELECT item_id, len(ids)::INT AS n_before, text, len(ids) > 1 AS changed FROM encoded JOIN benchmark USING (item_id)")
 def affix_contract_expand(spark, sf_dir):
     """SQL has no merging within a recursion; tests hold the edit itself against plain lists."""
-    tables, made = _edited(spark, sf_dir, expand.contract_expand, contract_share=0.5)
-    return made.select("item_id", "n_before", expand.text_decoder(spark, tables)(F.col("edited")).alias("text"), (F.col("ids") != F.col("edited")).alias("changed"))
+    made = _edited(spark, sf_dir, expand.contract_expand, contract_share=0.5)
+    return made.select("item_id", "n_before", expand.known_decoder()(F.col("edited"), F.col("known")).alias("text"), (F.col("ids") != F.col("edited")).alias("changed"))
