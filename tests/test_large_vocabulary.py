@@ -7,7 +7,7 @@ from talata import catalog
 from talata.operators import expand, vocabulary
 from tests.test_queries import duck, rows  # noqa: F401
 
-QUERIES = ["merged_encoding", "expanded_batches", "affix_contract_expand", "affix_cycles", "stochastic_contract"]
+QUERIES = ["merged_encoding", "expanded_batches", "affix_contract_expand", "affix_cycles", "stochastic_contract", "stochastic_expand"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
